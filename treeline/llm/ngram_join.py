@@ -52,7 +52,8 @@ def _set_prints(row: np.ndarray, g: np.ndarray, rows: int) -> tuple[np.ndarray,
     """Fingerprint (a sum of scrambled hashes, order-free) and size of each row's set."""
     size = np.bincount(row, minlength=rows)
     ends = np.concatenate([[0], np.cumsum(size)])
-    total = np.concatenate([[0], np.cumsum(mix(g + _U(0x51ED270B)))]).astype(_U)
+    total = np.zeros(len(g) + 1, _U)
+    np.cumsum(mix(g + _U(0x51ED270B)), out=total[1:])
     return mix(total[ends[1:]] - total[ends[:-1]] + size.astype(_U)).view(np.int64), size
 
 
