@@ -1,9 +1,10 @@
 """Self-join of texts on the Jaccard similarity of their word n-gram sets, exact, by prefixes of token combinations.
 
-Tokens are the n-grams, in one order for all texts: by frequency class, then by hash. If two sets share enough
-tokens for the threshold t, then their first |x| - ceil(t|x|) + k tokens have k in common. So either a rare token is
-common to both prefixes, or k frequent ones are: rare tokens are indexed singly, frequent ones only in combinations of
-k = 2. Texts with equal entries are candidates, and all candidates are verified on their whole sets.
+Tokens are the n-grams, in one order for all texts: by frequency class, then by hash. If two sets have enough tokens in
+common for the threshold t, then the first |x| - ceil(t|x|) + k tokens of each have k in common, for any k. The extension
+k is 2 for small sets and grows with the set, and the smaller of two sets' k holds for both. So either two frequent tokens
+are common to both prefixes, or all but one of the k are rare: rare tokens are indexed singly and counted, frequent ones
+are indexed only in combinations of two. What passes is verified on whole sets.
 
 Frequency classes come from counts over all documents. They only order the tokens and tell rare from frequent; they
 never decide about a pair, so that hash collisions among them cost time alone.
@@ -28,7 +29,10 @@ from treeline.llm._text import GRAM_BITS, gram_sets, mix, pack, texts_of, unpack
 
 N = 2
 THRESHOLD = 0.7
+#: Tokens in a combination, and the least extension of a prefix.
 K = 2
+#: One token more in a prefix, and in what must be common, for so many tokens of a set.
+EXTEND = 20
 #: The table of frequency classes has 2**CLASS_BITS bytes at any size of the input.
 CLASS_BITS = 24
 #: Text bytes whose tokens one task counts or joins.
@@ -36,6 +40,8 @@ PART = 1 << 26
 #: A token is frequent if it occurs in more documents than LEAST and than one in SHARE of them, MOST at most.
 LEAST, SHARE, MOST = 64, 64, 16384
 FLUSH = 1 << 22
+#: What a common combination counts.
+COMBINED = 1 << 40
 _U = np.uint64
 
 
@@ -108,6 +114,8 @@ def frequency_classes(texts: DataFrame, n: int, total_bytes: int) -> bytes:
 def _index(n: int, t: float, parts: int, classes, frequent: int):
     """Map side of the index: for each part, entries of (token, number of the set) and the sets' fingerprints and sizes."""
     pbits = int(math.log2(parts))
+    # The last bit that stays of a token tells combinations from single ones.
+    mark = _U(1 << (GRAM_BITS - pbits - 32))
 
     def flush(entries, owners, prints, sizes):
         token, owner, fp, size = (np.concatenate(x) for x in (entries, owners, prints, sizes))
@@ -138,10 +146,10 @@ def _index(n: int, t: float, parts: int, classes, frequent: int):
             ends = np.concatenate([[0], np.cumsum(size)])
             need = np.ceil(t * size - 1e-9).astype(np.int64)
             rank = np.arange(len(g)) - ends[row]
-            inside = rank < (size - need + K)[row]
+            inside = rank < (size - need + K + size // EXTEND)[row]
             often = (cls >= frequent) & (size > (K - 1) / t)[row]
             single = inside & ~often
-            entries.append(g[single])
+            entries.append(g[single] & ~mark)
             owners.append(row[single] + sets)
             both = np.flatnonzero(inside & often)
             # Pairs of frequent tokens of one prefix: with the 1st, 2nd, ... next one as long as any row has it.
@@ -149,7 +157,7 @@ def _index(n: int, t: float, parts: int, classes, frequent: int):
             last = np.searchsorted(row[both], row[both], "right")
             while len(left := left[left + d < last[left]]):
                 a, b = both[left], both[left + d]
-                entries.append(mix(g[a] * _U(0xC2B2AE3D27D4EB4F) + g[b]) >> _U(64 - GRAM_BITS))
+                entries.append((mix(g[a] * _U(0xC2B2AE3D27D4EB4F) + g[b]) >> _U(64 - GRAM_BITS)) | mark)
                 owners.append(row[a] + sets)
                 count += len(a)
                 d += 1
@@ -167,7 +175,7 @@ def _index(n: int, t: float, parts: int, classes, frequent: int):
 
 
 def _candidates(t: float):
-    """Reduce side: distinct pairs of different sets that share an entry of this part and whose sizes allow t."""
+    """Reduce side: pairs of different sets whose sizes allow t, with how many entries of this part they share and need."""
 
     def run(batch: pa.Table) -> pa.Table:
         tokens, owners, prints, sizes, base = [], [], [], [], 0
@@ -189,19 +197,29 @@ def _candidates(t: float):
         token, owner = (key >> _U(32)).astype(np.uint32), (key & _U(0xFFFFFFFF)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         last = np.repeat(np.append(starts[1:], len(token)), np.diff(starts, append=len(token))) if len(token) else starts
-        held, count, found = [], 0, np.zeros(0, np.int64)
+        held, weights, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def merged():
+            pair, at = np.unique(np.concatenate(held), return_inverse=True)
+            return pair, np.bincount(at, np.concatenate(weights), len(pair)).astype(np.int64)
+
         left, d = np.arange(len(token)), 1
         while len(left := left[left + d < last[left]]):
             a, b = owner[left], owner[left + d]
             ok = np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9
             held.append(np.minimum(a, b)[ok] * len(sets) + np.maximum(a, b)[ok])
+            weights.append(np.where(token[left][ok] & np.uint32(1), COMBINED, 1))
             count += len(held[-1])
             if count > FLUSH:
-                found, held, count = np.unique(np.concatenate([found, *held])), [], 0
+                pair, weight = merged()
+                held, weights, count = [pair], [weight], 0
             d += 1
-        found = np.unique(np.concatenate([found, *held]))
-        a, b = sets[found // max(len(sets), 1)], sets[found % max(len(sets), 1)]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        found, shared = merged()
+        a, b = found // max(len(sets), 1), found % max(len(sets), 1)
+        # One less than the theorem needs, for two tokens of a set that look alike in 32 bits.
+        need = np.maximum(1, K - 2 + np.minimum(size[a], size[b]) // EXTEND)
+        a, b = sets[a], sets[b]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "shared": pa.array(shared), "need": pa.array(need)})
 
     return run
 
@@ -262,8 +280,8 @@ def set_pairs(df: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     classes = spark.sparkContext.broadcast(frequency_classes(texts, n, total))
     frequent = int(math.log2(max(LEAST, min(documents // SHARE, MOST)))) + 1
     index = texts.mapInArrow(_index(n, threshold, parts, classes, frequent), "p int, token binary, owner binary, fp binary, size binary")
-    found = index.groupBy("p").applyInArrow(_candidates(threshold), "a bigint, b bigint")
-    pairs = cut(found.distinct())
+    found = index.groupBy("p").applyInArrow(_candidates(threshold), "a bigint, b bigint, shared bigint, need bigint")
+    pairs = cut(found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b"))
 
     # One document of each set that is in a pair gives the set; the sets go where their pairs are verified.
     used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
