@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("language_id", "quality", "bpe", "token_counts", "chat_format", "decontaminate", "line_dedup", "exact_dedup", "ngram_join")
+_MODULES = ("secrets", "language_id", "quality", "bpe", "token_counts", "chat_format", "decontaminate", "line_dedup", "exact_dedup", "ngram_join")
 
 
 def _found() -> dict:
