@@ -60,13 +60,11 @@ class Walker:
         self.children = {t: model.children(t) for t in model.tables}
         near = {t: {w for w in wanted if w in model.reachable(t)} for t in model.tables}
         self.way = {t: [e for e in self.children[t] if near[e.child]] for t in model.tables}
+        self.by_name = {t: {e.xml_name: e for e in es} for t, es in self.children.items()}
         self.required = {n: [f for f in t.fields if f.required and f.role in (M.ATTRIBUTE, M.ELEMENT) and f.default is None and f.fixed is None] for n, t in model.tables.items()}
         self.fields = {n: [model.tables[n].field(c) for c in cs] for n, cs in wanted.items()}
         self.keyed = model.options.hash_algorithm, model.options.hash_size
         self.declared = {n: ({f.xml_name for f in t.fields if f.role == M.ELEMENT} | {e.xml_name for e in self.children[n]}, {f.xml_name for f in t.fields if f.role == M.ATTRIBUTE}) for n, t in model.tables.items()}
-        # Keys that nobody asked for are not hashed.
-        self.hashed = {n: any(f.role in (M.PRIMARY,) for f in fs) for n, fs in self.fields.items()}
-        self.parents_key = {n: [f for f in fs if f.role == M.FOREIGN] for n, fs in self.fields.items()}
 
     def rows(self, document: str, root: ET.Element) -> dict[str, list[tuple]]:
         out: dict[str, list[tuple]] = {t: [] for t in self.wanted}
@@ -123,9 +121,17 @@ class Walker:
                 else:
                     row.append(self.value(f, table, el, attributes))
             out[table].append(row)
-        way = self.way[table]
-        if way:
-            for e in way:
+        if self.order:
+            # Places are counted over all tables' nodes in document order, so that rows of tables shredded apart compare.
+            by, seen = self.by_name[table], {}
+            for c in el:
+                e = by.get(local(c.tag))
+                if e is not None:
+                    k = seen[e.xml_name] = seen.get(e.xml_name, 0) + 1
+                    if e.most is None or k <= e.most:
+                        self.visit(out, e.child, c, document, f"{path}/{e.xml_name}[{k}]" if e.repeated else f"{path}/{e.xml_name}", table, path, k)
+        else:
+            for e in self.way[table]:
                 k = 0
                 for c in el:
                     if local(c.tag) == e.xml_name:

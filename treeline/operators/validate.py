@@ -7,13 +7,14 @@ import xml.etree.ElementTree as ET
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeline.operators.shred import checked, local, raw_rows
 from treeline.schema import model as M
 from treeline.schema.types import parsed
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(T.BooleanType())
 def well_formed(xml: pa.Array) -> pa.Array:
     """Whether a text is an XML document; null for null."""
     out = []

@@ -11,6 +11,7 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def document_id(path: Column, extension: str = ".xml", prefix: str = "", case: str = "") -> Column:
@@ -23,7 +24,7 @@ def document_id(path: Column, extension: str = ".xml", prefix: str = "", case: s
     return F.lower(name) if case == "lower" else F.upper(name) if case == "upper" else name
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _unpacked(path: pa.Array, content: pa.Array) -> pa.Array:
     out = []
     for p, c in zip(path.to_pylist(), content.to_pylist()):
@@ -66,8 +67,6 @@ def list_files(*paths: str, pattern: str | None = None) -> list[str]:
 
 def read_delimited(spark: SparkSession, path: str, schema: str, *, tab: bool = True) -> DataFrame:
     """Rows of a delimited file that write_delimited made."""
-    from pyspark.sql import types as T
-
     from treeline.functions.text import unescape_tsv
 
     fields = T._parse_datatype_string(schema).fields
