@@ -53,6 +53,10 @@ def _order(model: M.SchemaModel, table: str) -> Column:
     return F.col("serial_id") if model.tables[table].field("serial_id") else F.col(model.tables[table].primary)
 
 
+def _member(name: str):
+    return lambda x: x[name]
+
+
 def _with_children(engine, table: str, rows: DataFrame, made: dict[str, Column], build, seen: tuple[str, ...]) -> DataFrame:
     """rows with a column for each child table: its built values in order, by one aggregation and one join each."""
     model = engine.model
@@ -140,7 +144,7 @@ def to_json(engine, table: str | None = None, dialect: str = "object", subset: D
             ct = model.tables[child]
             if dialect == "column":
                 kind = rows.schema[f"__c_{child}"].dataType.elementType.fieldNames()
-                v = F.when(c.isNotNull(), F.struct(*[F.transform(c, lambda x, n=n: x[n]).alias(n) for n in kind])) if kind else F.size(c)
+                v = F.when(c.isNotNull(), F.struct(*[F.transform(c, _member(n)).alias(n) for n in kind])) if kind else F.size(c)
             else:
                 v = c if e.repeated or style.arrays_always else F.get(c, F.lit(0))
             parts.append(v.alias(ct.xml_name))

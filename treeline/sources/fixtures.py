@@ -98,7 +98,7 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = li.select("l_orderkey", F.struct(*LINE_ORDER, line.alias("xml")).alias("x")).groupBy("l_orderkey").agg(joined(F.col("x")).alias("lines"))
     orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    order = F.concat(F.lit("<order"), attr("key", F.col("o_orderkey")), attr("status", F.col("o_orderstatus")), attr("totalprice", money("o_totalprice")), attr("date", moment("o_orderdate")), attr("priority", F.col("o_orderpriority")), F.lit(">"), F.coalesce("lines", F.lit("")), F.lit("</order>"))
+    order = F.concat(F.lit("<order"), attr("key", F.col("o_orderkey")), attr("status", F.col("o_orderstatus")), attr("totalprice", money("o_totalprice")), attr("date", moment("o_orderdate")), attr("priority", F.col("o_orderpriority")), F.when(F.col("lines").isNull(), "/>").otherwise(F.concat(F.lit(">"), F.col("lines"), F.lit("</order>"))))
     per = orders.select("o_custkey", F.struct("o_orderkey", order.alias("xml")).alias("x")).groupBy("o_custkey").agg(joined(F.col("x")).alias("orders"))
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     c = table(spark, sf_dir, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
