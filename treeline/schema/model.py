@@ -26,7 +26,6 @@ class Options:
     relational_keys: bool = True
     hash_algorithm: str = "sha1"
     hash_size: str = "long"
-    inline_simple: bool = False
     case_sensitive: bool = True
     integer: str = "int"
     decimal: str = "big"
