@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm._spark import pick, table
-from treeline.llm._text import span_hashes, text_bytes, blocks
+from treeline.llm._text import blocks, give_back, span_hashes, text_bytes
 from treeline.llm._vocabulary import Vocabulary, rank_file
 
 #: Fragments that a worker remembers; then it starts afresh.
-REMEMBER = 1 << 20
+REMEMBER = 1 << 18
 
 _encoders: dict = {}
 
@@ -102,6 +102,7 @@ def encoded(text: Column, ranks) -> Column:
             ends.append(at[1:] + ends[-1][-1])
         ids, ends = np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate(ends).astype(np.int32)
         where = pa.array(ends, mask=np.append(~valid, False)) if not valid.all() else pa.array(ends)
+        give_back()
         return pa.ListArray.from_arrays(where, pa.array(ids))
 
     return of(text)

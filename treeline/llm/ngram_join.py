@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm._spark import cut, pick, pieces, table
-from treeline.llm._text import GRAM_BITS, gram_sets, mix, pack, texts_of, unpack
+from treeline.llm._text import GRAM_BITS, give_back, gram_sets, mix, pack, texts_of, unpack
 
 N = 2
 THRESHOLD = 0.7
@@ -40,6 +40,8 @@ PART = 1 << 26
 #: A token is frequent if it occurs in more documents than LEAST and than one in SHARE of them, MOST at most.
 LEAST, SHARE, MOST = 64, 64, 16384
 FLUSH = 1 << 22
+#: Pairs that a task gathers before it adds up equal ones, and entries that it pairs at a time.
+PAIRS = 1 << 20
 #: What a common combination counts.
 COMBINED = 1 << 40
 _U = np.uint64
@@ -170,6 +172,7 @@ def _index(n: int, t: float, parts: int, classes, frequent: int):
                 entries, owners, prints, sizes, count, sets = [], [], [], [], 0, 0
         if sets:
             yield flush(entries, owners, prints, sizes)
+        give_back()
 
     return run
 
@@ -188,38 +191,50 @@ def _candidates(t: float):
             sizes.append(np.frombuffer(r["size"], np.int32))
             base += len(fp)
         token, owner, fp, size = (np.concatenate(x) for x in (tokens, owners, prints, sizes))
+        del tokens, owners, prints, sizes
         # Equal sets become one: the number of a set is its place among the distinct fingerprints.
         sets, first, same = np.unique(fp, return_index=True, return_inverse=True)
         size, owner = size[first].astype(np.int64), same[owner]
         key = (token.astype(_U) << _U(32)) | owner.astype(_U)
         key.sort()
         key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        token, owner = (key >> _U(32)).astype(np.uint32), (key & _U(0xFFFFFFFF)).astype(np.int64)
+        token, owner = (key >> _U(32)).astype(np.uint32), key.astype(np.uint32)
+        del key, fp, first, same
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         last = np.repeat(np.append(starts[1:], len(token)), np.diff(starts, append=len(token))) if len(token) else starts
         held, weights, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
 
         def merged():
-            pair, at = np.unique(np.concatenate(held), return_inverse=True)
-            return pair, np.bincount(at, np.concatenate(weights), len(pair)).astype(np.int64)
-
-        left, d = np.arange(len(token)), 1
-        while len(left := left[left + d < last[left]]):
-            a, b = owner[left], owner[left + d]
-            ok = np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9
-            held.append(np.minimum(a, b)[ok] * len(sets) + np.maximum(a, b)[ok])
-            weights.append(np.where(token[left][ok] & np.uint32(1), COMBINED, 1))
-            count += len(held[-1])
-            if count > FLUSH:
-                pair, weight = merged()
-                held, weights, count = [pair], [weight], 0
-            d += 1
+            pair, weight = np.concatenate(held), np.concatenate(weights)
+            held.clear()
+            weights.clear()
+            order = np.argsort(pair)
+            pair, weight = pair[order], weight[order]
+            at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+            return pair[at], np.add.reduceat(weight, at) if len(at) else weight
+
+        for lo in range(0, len(token), PAIRS):
+            left, d = np.arange(lo, min(lo + PAIRS, len(token))), 1
+            while len(left := left[left + d < last[left]]):
+                a, b = owner[left].astype(np.int64), owner[left + d].astype(np.int64)
+                ok = np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9
+                held.append(np.minimum(a, b)[ok] * len(sets) + np.maximum(a, b)[ok])
+                weights.append(np.where(token[left][ok] & np.uint32(1), COMBINED, 1))
+                count += len(held[-1])
+                # As much is gathered as was found before, so that adding up stays in proportion.
+                if count > max(PAIRS, len(held[0])):
+                    pair, weight = merged()
+                    held, weights, count = [pair], [weight], 0
+                d += 1
         found, shared = merged()
+        del token, owner, last
         a, b = found // max(len(sets), 1), found % max(len(sets), 1)
         # One less than the theorem needs, for two tokens of a set that look alike in 32 bits.
         need = np.maximum(1, K - 2 + np.minimum(size[a], size[b]) // EXTEND)
         a, b = sets[a], sets[b]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "shared": pa.array(shared), "need": pa.array(need)})
+        out = pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "shared": pa.array(shared), "need": pa.array(need)})
+        give_back()
+        return out
 
     return run
 
