@@ -5,8 +5,10 @@ language is clustered by spherical k-means, and a text has the language of the c
 whose cosine is below the threshold of its length is rejected: short texts are farther from any centroid, so thresholds
 are set for classes of length, from the distances of labelled texts to their own language.
 
-The fit reads at most SAMPLE labelled texts, chosen by hash over the whole table; idf is part of that fit. Labels that
-are null and languages with fewer than LEAST_LABELLED texts are not learnt. Without any labelled text all is rejected.
+The fit reads at most SAMPLE labelled texts, chosen by hash over the whole table; idf is part of that fit. Languages share
+SAMPLE evenly, each with LEAST_SHARE texts at least (or all it has), so that also those of a small share are learnt at any
+size of the table; more than SAMPLE / LEAST_SHARE languages make the sample larger. Labels that are null and languages
+with fewer than LEAST_LABELLED labelled texts in the table are not learnt. Without any labelled text all is rejected.
 A null text has null language and score and is rejected; a text without letters is rejected with score 0. Ties go to the
 language that sorts first. Every row gives one row, repeated or with a null id; other columns are not read.
 """
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.llm._spark import pick, table
@@ -23,7 +25,9 @@ from treeline.llm._text import blocks, text_bytes
 
 #: Labelled texts that the fit reads at most; a bound on the training of the classifier only.
 SAMPLE = 2000
+#: Labelled texts in the whole table from which on a language is learnt, and those of one language that the fit reads at least.
 LEAST_LABELLED = 5
+LEAST_SHARE = 20
 CENTROIDS = 4
 BITS = 13
 #: Texts of fewer n-grams are too short to be rejected for their distance.
@@ -89,7 +93,8 @@ def _length_class(n: np.ndarray) -> np.ndarray:
 
 class Model:
     def __init__(self, texts: list[str], labels: list[str], centroids: int = CENTROIDS, seed: int = 7):
-        self.names = sorted({x for x in set(labels) if labels.count(x) >= LEAST_LABELLED})
+        """All languages of labels are learnt; fit() leaves out those with too few texts in its table."""
+        self.names = sorted(set(labels))
         self.idf = np.ones(1 << BITS, np.float32)
         self.centres = np.zeros((0, 1 << BITS), np.float32)
         self.of = np.zeros(0, np.int64)
@@ -145,13 +150,28 @@ class Model:
         return best, score, (best >= 0) & (score >= self.least[_length_class(n)])
 
 
+def shares(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """How many texts of each language are read: `sample` dealt evenly, what rare languages leave over going to the others."""
+    out, left = {}, sample
+    for k, x in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[x] = min(counts[x], max(LEAST_SHARE, left // (len(counts) - k)))
+        left = max(0, left - out[x])
+    return out
+
+
 def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of at most `sample` labelled texts; which ones depends on their content alone."""
+    """A model of about `sample` labelled texts at most; which ones depends on their content alone."""
     labelled = pick(df, text=text_col, label=label_col).where("text is not null and label is not null").select("text", F.col("label").cast("string").alias("label"))
-    n = labelled.count()
-    # A threshold on a hash takes a little more than the sample without a sort of the table; the rest is cut off in order.
-    part = labelled.select("*", F.xxhash64("text", "label").alias("h")).where(F.pmod("h", F.lit(1_000_003)) < max(1, min(1_000_003, int(1.2 * sample / max(n, 1) * 1_000_003) + 1)))
-    rows = part.orderBy("h", "text", "label").limit(sample).collect()
+    counts_ = {r["label"]: r["count"] for r in labelled.groupBy("label").count().where(F.col("count") >= LEAST_LABELLED).collect()}
+    if not counts_:
+        return Model([], [])
+    take = shares(counts_, sample)
+    # A threshold on a hash takes a little more than the share without a sort of the table; the rest is cut off in order.
+    most = [(x, take[x], min(1_000_003, int((1.2 * take[x] + 4 * take[x] ** 0.5 + 8) / n * 1_000_003) + 1)) for x, n in counts_.items()]
+    bounds = df.sparkSession.createDataFrame(most, "label string, take int, bound int")
+    part = labelled.join(F.broadcast(bounds), "label").select("*", F.xxhash64("text", "label").alias("h")).where(F.pmod("h", F.lit(1_000_003)) < F.col("bound"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
+    rows = part.withColumn("place", place).where("place <= take").orderBy("h", "text", "label").select("text", "label").collect()
     return Model([r["text"] for r in rows], [r["label"] for r in rows])
 
 
