@@ -7,7 +7,8 @@ are set for classes of length, from the distances of labelled texts to their own
 
 The fit reads at most SAMPLE labelled texts, chosen by hash over the whole table; idf is part of that fit. Languages share
 SAMPLE evenly, each with LEAST_SHARE texts at least (or all it has), so that also those of a small share are learnt at any
-size of the table; more than SAMPLE / LEAST_SHARE languages make the sample larger. Labels that are null and languages
+size of the table; more than SAMPLE / LEAST_SHARE languages make the sample larger. Equal texts of one label are read
+once, however many copies the table has. Labels that are null and languages
 with fewer than LEAST_LABELLED labelled texts in the table are not learnt. Without any labelled text all is rejected.
 A null text has null language and score and is rejected; a text without letters is rejected with score 0. Ties go to the
 language that sorts first. Every row gives one row, repeated or with a null id; other columns are not read.
@@ -162,14 +163,16 @@ def shares(counts: dict[str, int], sample: int) -> dict[str, int]:
 def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of about `sample` labelled texts at most; which ones depends on their content alone."""
     labelled = pick(df, text=text_col, label=label_col).where("text is not null and label is not null").select("text", F.col("label").cast("string").alias("label"))
-    counts_ = {r["label"]: r["count"] for r in labelled.groupBy("label").count().where(F.col("count") >= LEAST_LABELLED).collect()}
-    if not counts_:
+    hashed = labelled.select("*", F.xxhash64("text", "label").alias("h"))
+    # Copies count as labelled texts, but the sample is of distinct ones, whose number may be a little off.
+    kinds = {r["label"]: max(1, r["kinds"]) for r in hashed.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("kinds")).where(F.col("n") >= LEAST_LABELLED).collect()}
+    if not kinds:
         return Model([], [])
-    take = shares(counts_, sample)
+    take = shares(kinds, sample)
     # A threshold on a hash takes a little more than the share without a sort of the table; the rest is cut off in order.
-    most = [(x, take[x], min(1_000_003, int((1.2 * take[x] + 4 * take[x] ** 0.5 + 8) / n * 1_000_003) + 1)) for x, n in counts_.items()]
+    most = [(x, take[x], min(1_000_003, int((1.2 * take[x] + 4 * take[x] ** 0.5 + 8) / n * 1_000_003) + 1)) for x, n in kinds.items()]
     bounds = df.sparkSession.createDataFrame(most, "label string, take int, bound int")
-    part = labelled.join(F.broadcast(bounds), "label").select("*", F.xxhash64("text", "label").alias("h")).where(F.pmod("h", F.lit(1_000_003)) < F.col("bound"))
+    part = hashed.join(F.broadcast(bounds), "label").where(F.pmod("h", F.lit(1_000_003)) < F.col("bound")).select("h", "text", "label", "take").distinct()
     place = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
     rows = part.withColumn("place", place).where("place <= take").orderBy("h", "text", "label").select("text", "label").collect()
     return Model([r["text"] for r in rows], [r["label"] for r in rows])

@@ -8,7 +8,9 @@ positives (the least ratio of the two distribution functions over high scores).
 
 Features are read off the bytes of the whole text: frequencies of pairs of byte classes, shares of repeated words and
 lines, lengths of words and of the text. The fit reads at most SAMPLE positives and as many unlabelled texts, chosen by
-hash over the whole table; negative labels are not used. With no positives every text is kept with score 0.5.
+hash over the whole table; negative labels are not used. Unlabelled texts are drawn as distinct texts, each with a chance
+in proportion to its copies, and stand in the fit for as many documents as they are of, so that a group of copies has the
+weight in the prior that it has in the table. With no positives every text is kept with score 0.5.
 
 A null text has a null score and is not kept; an empty one is scored like any other. Every row gives one row, repeated or
 with a null id; further columns are not read. A document counts as trusted if any of its labels says so.
@@ -163,10 +165,22 @@ class Model:
         return _sigmoid(self._score(self._scaled(x))) if self.trained else np.full(len(x), 0.5)
 
 
-def _some(df: DataFrame, n: int, sample: int) -> list[str]:
-    """At most `sample` texts of df (of n rows), by hash."""
-    part = df.select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(1_000_003)) < max(1, min(1_000_003, int(1.2 * sample / max(n, 1) * 1_000_003) + 1)))
-    return [r["text"] for r in part.orderBy("h", "text").limit(sample).collect()]
+def _repeats(weights: list[float], total: int) -> np.ndarray:
+    """Indices of `total` evenly spaced draws, each index in proportion to its weight."""
+    w = np.cumsum(np.asarray(weights, float))
+    return np.searchsorted(w, (np.arange(total) + 0.5) * (w[-1] / total), "right") if len(w) else np.zeros(0, np.int64)
+
+
+def _some(df: DataFrame, n: int, sample: int) -> tuple[list[str], np.ndarray]:
+    """Distinct texts of df (of n rows), about `sample` at most, and for which of them each of min(n, sample) documents stands."""
+    rate = min(1.0, sample / max(n, 1))
+    hashed = df.select("text", F.xxhash64("text").alias("h"))
+    # A text is drawn with the chance min(1, rate * copies); drawn ones then weigh 1 / rate or, if more, their copies.
+    drawn = hashed.groupBy("h").agg(F.count("*").alias("copies")).where(F.pmod("h", F.lit(1_000_003)) < F.col("copies") * (rate * 1_000_003))
+    few = df.sparkSession.createDataFrame([tuple(r) for r in drawn.collect()], "h bigint, copies bigint")
+    hashed = hashed.join(F.broadcast(few), "h")
+    rows = hashed.groupBy("h", "text").agg(F.first("copies").alias("copies")).orderBy("h", "text").collect()
+    return [r["text"] for r in rows], _repeats([max(r["copies"], 1 / rate) for r in rows], min(n, sample))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, label_id_col: str = "doc_id", quality_col: str = "quality", sample: int = SAMPLE) -> Model:
@@ -179,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = [r["id"] for r in few.collect()]
     known = docs.sparkSession.createDataFrame([(i,) for i in ids], "id bigint")
     positive = [r["text"] for r in texts.join(F.broadcast(known), "id").select("text").orderBy(F.xxhash64("text"), "text").limit(sample).collect()] if ids else []
-    unlabelled = _some(texts, n, sample)
-    return Model(column_features(pa.array(positive, pa.string())), column_features(pa.array(unlabelled, pa.string())))
+    unlabelled, stands_for = _some(texts, n, sample)
+    return Model(column_features(pa.array(positive, pa.string())), column_features(pa.array(unlabelled, pa.string()))[stands_for])
 
 
 def scored(text: Column, model) -> Column:
