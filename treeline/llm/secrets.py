@@ -1,7 +1,9 @@
 """Secrets in texts: candidates by their shape, false ones removed by a random forest trained on labelled findings.
 
 A candidate is a run of letters, digits, '-', '_', '+' and '/' (and '=' at its end) of at least MIN_LENGTH characters
-with a digit, or with a capital within. The forest reads its length, its transitions between classes of characters and
+with a digit, with a capital within, or with a known prefix of keys; and, of any length and characters, the quoted or
+unbroken value that a key word (password, token, secret ...) is given. A run within a value that is found is not reported
+beside it. The forest reads its length, its transitions between classes of characters and
 between letters, how much of it a dictionary covers, the path the text came from and the words next to it.
 
 labelled_findings() makes the findings that the forest is trained on when no table of them is given: keys, tokens and
@@ -58,7 +60,18 @@ _VOWEL[[*b"aeiouyAEIOUY"]] = True
 _WORD = re.compile(rb"[A-Za-z]+")
 _DICTIONARY = re.compile("|".join(sorted((re.escape(w) for w in WORDS if len(w) > 2), key=len, reverse=True)).encode())
 
-FEATURES = 24
+FEATURES = 26
+
+PREFIXES = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"xoxb", b"sk_l", b"AIza", b"glpa")
+#: A key word before the '=', ':' or quote that a value follows; words of many other uses must stand alone.
+_KEYWORD = re.compile(
+    rb"(?:(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|credential)[\w.\-]{0,24}"
+    rb"|(?:(?<![A-Za-z])(?i:key|auth|authorization|api|pass|aws|login|bearer)|(?<=[a-z0-9])(?:Key|Auth|Pass|Login)))[\"'\])]{0,2}[ \t]{0,3}$"
+)
+_VALUE = re.compile(rb"[=>]?[ \t]{0,3}(?:(?:(?i:bearer|basic)[ \t]{1,3})?)(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|`([^`\r\n]+)`|([^\s\"'`]+))")
+_BEARER = re.compile(rb"(?:[Bb]earer|BEARER)[ \t]|--?[a-z\-]*(?:password|passwd|token|secret|key)[ \t]")
+_PLACEHOLDER = re.compile(rb"[$<{%*\[(]|x+$|\.+$|-+$", re.I)
+_NO_VALUE = frozenset(b"none null nil true false string str int integer bool boolean text value undefined optional required input varchar password passwd secret token key the a an is are and or this that your it to for not".split())
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,6 +97,8 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     capital = np.zeros(n + 1, np.int64)
     capital[2:] = np.cumsum((cls[1:] == 2) & (cls[:-1] == 1))
     some = (digits[end] > digits[start]) | (capital[end] > capital[start + 1])
+    head = sum(data[start + k].astype(np.uint32) << np.uint32(8 * k) for k in range(4))
+    some |= np.isin(head, [int.from_bytes(x, "little") for x in PREFIXES])
     start, end = start[some], end[some].copy()
     row = np.searchsorted(offsets, start, "right") - 1
     for _ in range(2):
@@ -92,6 +107,35 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return row, start, end
 
 
+def values(raw: bytes, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """Row, start and end of the values of key words."""
+    data = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero((data == 61) | (data == 58) | (data == 34) | (data == 39))
+    rows = np.searchsorted(offsets, at, "right") - 1
+    begin = []
+    for r, p in zip(rows.tolist(), at.tolist()):
+        quote = raw[p] in b"\"'"
+        # A quote after a key word and a space opens its value; one without closes the word.
+        if (not quote or raw[p - 1 : p] in (b" ", b"\t")) and _KEYWORD.search(raw, max(int(offsets[r]), p - 48), p):
+            begin.append((r, p if quote else p + 1))
+    for m in _BEARER.finditer(raw):
+        r = int(np.searchsorted(offsets, m.start(), "right")) - 1
+        if m.end() < offsets[r + 1]:
+            begin.append((r, m.end()))
+    out = set()
+    for r, p in begin:
+        m = _VALUE.match(raw, p, int(offsets[r + 1]))
+        if m is None:
+            continue
+        s, e = m.span(m.lastindex)
+        if m.lastindex == 4:
+            other = re.search(rb"&[\w.\-]+=", raw[s:e])
+            e = s + (other.start() if other else len(raw[s:e].rstrip(b",;.)]}")))
+        if e > s:
+            out.add((r, s, e))
+    return sorted(out)
+
+
 def features(candidate: bytes, before: bytes, after: bytes, path: str) -> list[float]:
     b = np.frombuffer(candidate, np.uint8)
     n = len(b)
@@ -115,8 +159,9 @@ def features(candidate: bytes, before: bytes, after: bytes, path: str) -> list[f
         covered / n, candidate.count(b"/") / n, candidate.count(b"-") / n,
         float(any(w in _KEYS for w in last)), float(bool(last) and last[-1] in _KEYS), float(any(w in _PLAIN for w in last + nxt)),
         float(head[-1:] in (b"=", b":")), float(before[-1:] in (b'"', b"'")), float(after[:1] == before[-1:] and after[:1] in (b'"', b"'")),
-        float(candidate[:4] in (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"xoxb", b"sk_l", b"AIza", b"glpa")), float(candidate.endswith(b"=")),
+        float(candidate[:4] in PREFIXES), float(candidate.endswith(b"=")),
         float(any(x in path for x in ("test", "example", "sample", "fixture", "doc"))), float(any(x in path for x in (".env", "config", "settings", ".yml", ".yaml", ".ini"))),
+        float(_PLACEHOLDER.match(candidate) is not None), float(candidate.lower() in _NO_VALUE or b"(" in candidate or b" " in candidate),
     ]
 
 
@@ -191,7 +236,7 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple]:
     for i in range(n):
         path = r.choice(paths)
         if i % 2:
-            kind = r.randint(0, 6)
+            kind = r.randint(0, 10)
             key = r.choice(("token", "secret", "api_key", "password", "access_key", "auth_token", "client_secret", "passwd"))
             sep, q = r.choice((" = ", "=", ": ", ":")), r.choice(('"', "'", ""))
             before, after = prose(3) + " " + key + sep + q, q + " " + prose(2)
@@ -207,11 +252,19 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple]:
                 c = pick_(alnum, r.randint(16, 44))
             elif kind == 5:
                 c, before = pick_(alnum + "+/", 40) + r.choice(("", "=", "==")), prose(2) + r.choice((" Authorization: Bearer ", " aws_secret_access_key = ", " key: "))
+            elif kind == 7:
+                c = pick_(alnum + "!@#$%^&*?.", r.randint(6, 20))
+            elif kind == 8:
+                # Chosen by people: words with digits or signs in place of letters or behind.
+                c = word() + word() + pick_(string.digits, r.randint(1, 4)) + r.choice(("", "", "!", "x", "#", word()))
+                c = r.choice((c, c.capitalize(), c.replace("a", "@").replace("o", "0"), c.replace("e", "3").capitalize() + r.choice("!@#?") + pick_(string.digits, 2)))
+            elif kind == 9:
+                c = pick_(r.choice((string.ascii_lowercase, string.ascii_uppercase)), r.randint(8, 32))
             else:
                 c, before, after = r.choice(("sk_live_", "xoxb-", "AIza", "glpat-")) + pick_(alnum, 28), r.choice((prose(3) + " ", before)), " " + prose(2)
             out.append((c.encode(), before.encode()[-NEAR:], after.encode()[:NEAR], path, True))
         else:
-            kind = r.randint(0, 9)
+            kind = r.randint(0, 11)
             before, after = prose(4) + " ", r.choice((" ", ". ", ", ")) + prose(3)
             if kind == 0:
                 c = pick_(string.digits, r.choice((12, 13, 15, 16)))
@@ -236,6 +289,12 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple]:
             elif kind == 8:
                 c = r.choice(("Enter", "Your", "my", "example", "CHANGE")) + r.choice(("Password", "Token", "Secret", "ApiKey")) + r.choice(("Here", "Value123", "Example1", "123"))
                 before = prose(2) + r.choice((" password = ", ' token: "', " key "))
+            elif kind >= 10:
+                # What key words are given that is no secret.
+                key = r.choice(("token", "secret", "api_key", "password", "key", "auth", "login", "passwd"))
+                c = r.choice((r.choice(sorted(WORDS)), r.choice(sorted(WORDS)), r.choice(sorted(x.decode() for x in _NO_VALUE)), "${" + key.upper() + "}", "<your-" + key + ">", "*" * r.randint(3, 12), "xxxxxxxx", "os.environ.get(" + key, "get_" + key + "()", prose(3), str(r.randint(0, 99))))
+                sep, q = r.choice((" = ", "=", ": ", ":")), r.choice(('"', "'", "", ""))
+                before, after = prose(3) + " " + key + sep + q, q + r.choice((" ", ", ", "\n")) + prose(2)
             else:
                 c = "".join(word() for _ in range(5)) + str(r.randint(1, 99))
             out.append((c.encode(), before.encode()[-NEAR:], after.encode()[:NEAR], path, False))
@@ -250,7 +309,7 @@ def fit(findings: DataFrame | None = None, sample: int = SAMPLE) -> Forest:
     return Forest([((r[0]).encode(), (r[1] or "").encode()[-NEAR:], (r[2] or "").encode()[:NEAR], r[3] or "", r[4]) for r in rows])
 
 
-def found(text: Column, path: Column, forest) -> Column:
+def found(text: Column, path: Column, forest, keep: float = KEEP) -> Column:
     """Array of the findings in a text."""
 
     @F.arrow_udf("array<struct<start:bigint,length:int,score:double,digest:string>>")
@@ -263,14 +322,22 @@ def found(text: Column, path: Column, forest) -> Column:
             base = offsets[lo]
             part = data[base : offsets[hi]]
             row, start, end = candidates(part, offsets[lo : hi + 1] - base)
-            if not len(row):
-                continue
             x, raw = [], part.tobytes()
-            for r, s, e in zip(row.tolist(), start.tolist(), end.tolist()):
+            given = values(raw, offsets[lo : hi + 1] - base)
+            spans = sorted({*zip(row.tolist(), start.tolist(), end.tolist()), *given})
+            if not spans:
+                continue
+            for r, s, e in spans:
                 a, z = int(offsets[lo + r] - base), int(offsets[lo + r + 1] - base)
                 x.append(features(raw[s:e], raw[max(a, s - NEAR) : s], raw[e : min(z, e + NEAR)], paths[lo + r].as_py() or ""))
             score = forest.value.predict(np.array(x))
-            for r, s, e, p in zip(row.tolist(), start.tolist(), end.tolist(), score.tolist()):
+            known, whole = set(given), {}
+            for (r, s, e), p in zip(spans, score.tolist()):
+                if p >= keep and (r, s, e) in known:
+                    whole.setdefault(r, []).append((s, e))
+            for (r, s, e), p in zip(spans, score.tolist()):
+                if any(a <= s and e <= z and (a, z) != (s, e) for a, z in whole.get(r, ())):
+                    continue
                 a = int(offsets[lo + r] - base)
                 chars = int(np.count_nonzero(part[a:s] & 0xC0 != 0x80))
                 out[lo + r].append({"start": chars, "length": e - s, "score": p, "digest": sha256(raw[s:e]).hexdigest()})
@@ -283,7 +350,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col
     """(doc_id, start, length, score, digest) of the findings that the forest takes for secrets; start counts characters."""
     forest = df.sparkSession.sparkContext.broadcast(fit(findings))
     docs = pick(df, id=id_col, text=text_col, path=path_col).select("id", "text", F.col("path").cast("string").alias("path"))
-    each = docs.select(F.col("id").alias("doc_id"), F.explode(found(F.col("text"), F.col("path"), forest)).alias("f")).select("doc_id", "f.*")
+    each = docs.select(F.col("id").alias("doc_id"), F.explode(found(F.col("text"), F.col("path"), forest, keep)).alias("f")).select("doc_id", "f.*")
     return each.where(F.col("score") >= keep).withColumn("score", F.round("score", 6))
 
 
