@@ -3,7 +3,8 @@
 Texts become vectors of hashed byte n-grams, weighted by (1 + ln tf) * idf and normalised. The labelled sample of each
 language is clustered by spherical k-means, and a text has the language of the centroid of the largest cosine. A text
 whose cosine is below the threshold of its length is rejected: short texts are farther from any centroid, so thresholds
-are set for classes of length, from the distances of labelled texts to their own language.
+are set for classes of length, from the distances of labelled texts to their own language. Classes of short texts take
+theirs from pieces of labelled texts of that length, as few labelled texts are so short.
 
 The fit reads at most SAMPLE labelled texts, chosen by hash over the whole table; idf is part of that fit. Languages share
 SAMPLE evenly, each with LEAST_SHARE texts at least (or all it has), so that also those of a small share are learnt at any
@@ -31,10 +32,14 @@ LEAST_LABELLED = 5
 LEAST_SHARE = 20
 CENTROIDS = 4
 BITS = 13
-#: Texts of fewer n-grams are too short to be rejected for their distance.
+#: Classes of fewer n-grams have thresholds from pieces of labelled texts, PIECES of each text, and LEAST_COSINE at least.
 LEAST_GRAMS = 32
+PIECES = 2
+LEAST_COSINE = 0.03
 #: Share of labelled texts beyond the threshold of their class of length, and the part of their distance allowed on top.
 QUANTILE, SLACK = 0.002, 0.6
+#: The same for pieces, some of which are from junk within a text.
+PIECES_QUANTILE = 0.01
 _U = np.uint32
 
 _LETTER = np.zeros(256, np.uint8)
@@ -92,6 +97,21 @@ def _length_class(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 15)
 
 
+def _pieces(text: str, k: int, rng) -> list[str]:
+    """Runs of words of a text whose letter bytes are of length class k."""
+    words = text.split()
+    sizes = [int(np.count_nonzero(_LETTER[np.frombuffer(w.encode(), np.uint8)])) for w in words[:2000]]
+    out = []
+    for at in rng.integers(0, len(sizes), PIECES).tolist() if sizes else ():
+        n, end = 0, at
+        while end < len(sizes) and n < 1 << k:
+            n += sizes[end]
+            end += 1
+        if 1 << k <= n < 2 << k:
+            out.append(" ".join(words[at:end]))
+    return out
+
+
 class Model:
     def __init__(self, texts: list[str], labels: list[str], centroids: int = CENTROIDS, seed: int = 7):
         """All languages of labels are learnt; fit() leaves out those with too few texts in its table."""
@@ -125,25 +145,37 @@ class Model:
         cos = x @ self.centres.T
         own = np.where(self.of[None, :] == y[:, None], cos, -1).max(1)
         kind = _length_class(n)
-        last = 0.0
+        last = LEAST_COSINE
         for k in range(16):
-            if 1 << k < LEAST_GRAMS:
-                self.least[k] = 0.0
-                continue
             # Neighbouring classes make up for few texts in one.
-            near = own[(np.abs(kind - k) <= 1) & (n > 0)]
-            last = float(np.quantile(near, QUANTILE)) * SLACK if len(near) >= 20 else last
+            near, q = own[(np.abs(kind - k) <= 1) & (n > 0)], QUANTILE
+            if 1 << k < LEAST_GRAMS or len(near) < 20:
+                cut = [(p, v) for t, v in known for p in _pieces(t, k, rng)]
+                near, q = self._own([p for p, _ in cut], np.array([self.names.index(v) for _, v in cut], np.int64)), PIECES_QUANTILE
+            last = max(LEAST_COSINE, float(np.quantile(near, q)) * SLACK) if len(near) >= 20 else last
             self.least[k] = last
 
+    def _cosines(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        tf = counts(data, offsets)
+        n = tf.sum(1)
+        return n, _weighted(tf, self.idf) @ self.centres.T
+
+    def _own(self, texts: list[str], y: np.ndarray) -> np.ndarray:
+        """Cosine of texts to the nearest centroid of their language."""
+        data, offsets, _ = text_bytes(pa.array(texts, pa.large_string()))
+        out = np.zeros(len(texts))
+        for lo, hi in blocks(offsets, rows=256):
+            _, cos = self._cosines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            out[lo:hi] = np.where(self.of[None, :] == y[lo:hi, None], cos, -1).max(1)
+        return out
+
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of the language (-1 if none), cosine, and whether it is accepted."""
         data, offsets, _ = text_bytes(column)
         best, score, n = np.full(len(column), -1), np.zeros(len(column)), np.zeros(len(column))
         for lo, hi in blocks(offsets, rows=256):
-            tf = counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            n[lo:hi] = tf.sum(1)
+            n[lo:hi], cos = self._cosines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             if len(self.centres):
-                cos = _weighted(tf, self.idf) @ self.centres.T
                 at = cos.argmax(1)
                 best[lo:hi], score[lo:hi] = self.of[at], cos[np.arange(hi - lo), at]
         best[n == 0] = -1
