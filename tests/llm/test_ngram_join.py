@@ -12,14 +12,32 @@ def grams(text, n):
 
 
 def brute(rows, n, t):
-    sets = [(i, grams(x, n)) for i, x in rows if i is not None and x is not None]
-    out = {}
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[k + 1 :]:
-            if i != j and a and b and len(a & b) >= t * len(a | b) - 1e-12:
-                key = (min(i, j), max(i, j))
-                out[key] = max(out.get(key, 0), round(len(a & b) / len(a | b), 9))
-    return out
+    """Pairs of documents, which are ids with a set."""
+    sets = {(i, frozenset(grams(x, n))) for i, x in rows if i is not None and x is not None}
+    sets = sorted((x for x in sets if x[1]), key=lambda x: (x[0], sorted(x[1])))
+    return {(x, y) for k, x in enumerate(sets) for y in sets[k + 1 :] if len(x[1] & y[1]) >= t * len(x[1] | y[1]) - 1e-12}
+
+
+def classes(pairs, whole=False):
+    """Class and links of each document in pairs; whole: also one member that stands for the class."""
+    root, links = {}, {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        links[x], links[y] = links.get(x, 0) + 1, links.get(y, 0) + 1
+        root[top(x)] = top(y)
+    least = {}
+    for x in links:
+        least[top(x)] = min(least.get(top(x), x[0]), x[0])
+    return {x: (least[top(x)], links[x], top(x))[: 2 + whole] for x in links}
+
+
+def rows_of(pairs):
+    return sorted((x[0], *c) for x, c in classes(pairs).items())
 
 
 def corpus(seed, size=160):
@@ -38,11 +56,10 @@ def corpus(seed, size=160):
 
 
 @pytest.mark.parametrize("n,t", [(2, 0.7), (1, 0.5), (3, 0.85)])
-def test_all_pairs_as_by_brute_force(spark, n, t):
+def test_all_links_as_by_brute_force(spark, n, t):
     rows = corpus(n) + [(900, None), (None, "w1 w2 w3"), (901, ""), (902, "..."), (903, "w1"), (904, "W1!"), (5, "w1 w2"), (5, "w1 w2")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {(r[0], r[1]): r[2] for r in J.ngram_jaccard_pairs(df, n=n, threshold=t).collect()}
-    assert got == brute(rows, n, t)
+    assert sorted(map(tuple, J.ngram_jaccard_links(df, n=n, threshold=t).collect())) == rows_of(brute(rows, n, t))
 
 
 def test_frequent_tokens_are_joined_by_combinations(spark, monkeypatch):
@@ -50,29 +67,53 @@ def test_frequent_tokens_are_joined_by_combinations(spark, monkeypatch):
     monkeypatch.setattr(J, "SHARE", 1 << 30)
     rows = corpus(7)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {(r[0], r[1]): r[2] for r in J.ngram_jaccard_pairs(df).collect()} == brute(rows, 2, 0.7)
+    assert sorted(map(tuple, J.ngram_jaccard_links(df).collect())) == rows_of(brute(rows, 2, 0.7))
 
 
-def test_groups_leave_their_least_id(spark):
-    rows = corpus(3, 120)
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, id string, fp int")
-    root = {i: i for i, _ in rows}
+def test_more_parts_than_bits_to_spare():
+    # As from 100 TB of text: 2**22 parts leave 31 bits of a token.
+    import pyarrow as pa
+
+    class Classes:
+        value = bytes(1 << J.CLASS_BITS)
 
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c d e f", "a b c d e f", "x y"])], names=["text"])
+    for parts in (1 << 8, 1 << 22):
+        got = [r for b in J._index(2, 0.7, parts, Classes, 1)([batch]) for r in b.to_pylist()]
+        owners = {}
+        for r in got:
+            for tk, ow in zip(J.unpack(r["token"]).tolist(), J.np.frombuffer(r["owner"], J.np.uint16).tolist()):
+                owners.setdefault((r["p"], tk), set()).add(J.np.frombuffer(r["fp"], J.np.int64)[ow])
+        assert len(owners) >= 4 and all(len(x) == 1 for x in owners.values())
 
-    for a, b in brute(rows, 2, 0.7):
-        x, y = top(a), top(b)
-        root[max(x, y)] = min(x, y)
-    want = {(i, top(i)) for i, _ in rows if top(i) != i}
-    assert {tuple(r) for r in J.near_duplicates(df).collect()} == want
+
+def test_groups_leave_one_document(spark):
+    rows = corpus(3, 120) + [(3, "another text of the same id that copies none"), (3, "w1 w2 w3 w4 w5 w6 w7 w8"), (500, "w1 w2 w3 w4 w5 w6 w7 w8"), (501, "another text of the same id that copies none")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, id string, fp int")
+    pairs = brute(rows, 2, 0.7)
+    gone = {(r[0], r[1]) for r in J.near_duplicates(df).collect()}
+    hashes = {(r[0], r[1]): (r[0], r[2]) for r in df.selectExpr("doc_id", "text", "xxhash64(text)").collect()}
+    sets = {d: (d[0], frozenset(grams(d[1], 2))) for d in hashes}
+    group, about = {}, classes(pairs, True)
+    for d, h in hashes.items():
+        if sets[d] in about:
+            group.setdefault(about[sets[d]][::2], []).append(h)
+    # All of a class but one, which has its least id.
+    for (least, _), members in group.items():
+        stays = [h for h in members if h not in gone]
+        assert len(stays) == 1 and stays[0][0] == least
+    assert gone <= {h for g in group.values() for h in g}
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a-1", "one two three four"), ("b-2", "one two three four"), ("c", "else")], "doc_id string, text string")
+    assert sorted(map(tuple, J.ngram_jaccard_links(df).collect())) == [("a-1", "a-1", 1), ("b-2", "a-1", 1)]
+    assert J.near_duplicates(df).count() == 1
 
 
 def test_empty_tables_and_bad_thresholds(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
-    assert J.ngram_jaccard_pairs(df).count() == 0
+    assert J.ngram_jaccard_links(df).count() == 0
     assert J.near_duplicates(df).count() == 0
     with pytest.raises(ValueError):
-        J.ngram_jaccard_pairs(df, threshold=0)
+        J.ngram_jaccard_links(df, threshold=0)

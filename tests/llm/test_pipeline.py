@@ -2,6 +2,7 @@ import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_ngram_join import brute as pairs
+from tests.llm.test_ngram_join import classes
 from treeline.llm import language_id
 from treeline.llm._vocabulary import Vocabulary, rank_file
 
@@ -17,17 +18,9 @@ def test_run_is_the_stages_by_brute_force(spark):
         if t not in seen:
             seen.add(t)
             unique.append((i, t))
-    root = {i: i for i, _ in unique}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in pairs(unique, 2, 0.7):
-        x, y = top(a), top(b)
-        root[max(x, y)] = min(x, y)
-    left = [(i, t) for i, t in unique if top(i) == i]
+    about = classes(pairs(unique, 2, 0.7))
+    least = {x[0]: c[0] for x, c in about.items()}
+    left = [(i, t) for i, t in unique if least.get(i, i) == i]
     # Only documents that hold a long piece of an item can be within its distance; the rest is spared the slow comparison.
     near = [(i, t) for i, t in left if any(x[k : k + 12].lower() in t.lower() for _, x in bench for k in range(0, len(x) - 12, 12))]
     bad = {i for i, _ in leaks([(i, t) for i, t in near if len(t) < 8000], bench)}

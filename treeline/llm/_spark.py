@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,9 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the given columns under fixed names, so that further columns of df cannot clash. Ids become bigint, texts string."""
-    kinds = {"id": T.LongType(), "text": T.StringType()}
-    return df.select(*[F.col(f"`{c}`").cast(kinds[k]).alias(k) if k in kinds else F.col(f"`{c}`").alias(k) for k, c in columns.items()])
+    """Only the given columns under fixed names, so that further columns of df cannot clash. Ids keep their type, texts become string."""
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(k) if k == "text" else F.col(f"`{c}`").alias(k) for k, c in columns.items()])
 
 
 def text_bytes_total(df: DataFrame, text: str) -> int:

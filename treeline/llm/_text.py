@@ -17,7 +17,10 @@ MAX_ROWS = 1 << (64 - GRAM_BITS)
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INV = _U(pow(int(_BASE), -1, 1 << 64))
-_powers = {"p": np.ones(1, _U), "i": np.ones(1, _U)}
+_powers = {"p": np.ones(1, _U), "i": np.ones(1, _U), "q": np.ones(1, _U), "j": np.ones(1, _U)}
+#: A second polynomial modulo a prime: modulo a power of two alone, Thue-Morse words of 1,024 letters have one hash.
+_PRIME = (1 << 31) - 1
+_POINT = 1_640_531_527
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -45,15 +48,20 @@ def blocks(offsets: np.ndarray, size: int = BLOCK, rows: int = MAX_ROWS):
         lo = hi
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64."""
+def powers(n: int) -> tuple[np.ndarray, ...]:
+    """The first n powers of the hash base and of its inverse, modulo 2**64, then those of the point modulo the prime."""
     if len(_powers["p"]) < n:
         m = 1 << (n - 1).bit_length()
         for k, b in (("p", _BASE), ("i", _INV)):
             x = np.full(m, b, _U)
             x[0] = 1
             _powers[k] = np.multiply.accumulate(x)
-    return _powers["p"][:n], _powers["i"][:n]
+        for k, b in (("q", _POINT), ("j", pow(_POINT, -1, _PRIME))):
+            x = np.ones(1, _U)
+            while len(x) < m:
+                x = np.concatenate([x, x * _U(pow(b, len(x), _PRIME)) % _U(_PRIME)])
+            _powers[k] = x
+    return tuple(_powers[k][:n] for k in "piqj")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,11 +74,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end] for many spans, from differences of one running sum."""
-    p, inverse = powers(len(data) + 1)
+    """Hashes of data[start:end] for many spans, from differences of running sums."""
+    p, inverse, q, back = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * p[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(_U))
+    value = data.astype(_U) + _U(1)
+    np.cumsum(value * p[: len(data)], out=total[1:])
+    h = (total[end] - total[start]) * inverse[start]
+    # Terms are below 2**40, so that sums over 16 million bytes stay exact; longer data are summed modulo the prime.
+    value *= q[: len(data)]
+    if len(data) > 1 << 23:
+        value %= _U(_PRIME)
+    np.cumsum(value, out=total[1:])
+    second = (total[end] - total[start]) % _U(_PRIME) * back[start] % _U(_PRIME)
+    return mix(h + second * _U(0xC2B2AE3D27D4EB4F) + (end - start).astype(_U))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

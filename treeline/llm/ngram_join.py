@@ -10,9 +10,12 @@ Frequency classes come from counts over all documents. They only order the token
 never decide about a pair, so that hash collisions among them cost time alone.
 
 A word is a run of letters and digits of ASCII and of characters beyond it, in lower case. A text of fewer words than n
-is one n-gram; a null text or one without words joins nothing. Ids that repeat count once for each distinct text, and no
-document is paired with itself; rows with a null id are left out of pairs. Equal sets are indexed once and the result
-lists all their pairs. Sets are of 53-bit hashes of n-grams, and a set is known by 64 bits of fingerprint with its size.
+is one n-gram; a null text or one without words joins nothing, and rows with a null id are left out. A document is an id
+with a set of n-grams: repeated rows are one document, an id that repeats with another set is another one. Equal sets are
+indexed once, and copies are never expanded into pairs: the result has one row for each document that has a link, with
+the class it belongs to (documents connected by links; its least id) and the number of its links, which are all other
+documents at or above the threshold. Ids may be of any type that sorts. Sets are of 53-bit hashes of n-grams, and a set
+is known by 64 bits of fingerprint.
 """
 
 from __future__ import annotations
@@ -48,12 +51,11 @@ _U = np.uint64
 
 
 def _tokens(batches, n: int):
-    """For runs of rows of (id, text) batches: ids, null ids, row and hash of each distinct token."""
+    """For runs of rows of batches of texts: number of rows, row and hash of each distinct token."""
     for batch in batches:
-        ids = batch.column(0)
-        for lo, hi, data, offsets in texts_of(batch.column(1)):
+        for lo, hi, data, offsets in texts_of(batch.column(0)):
             row, g = gram_sets(data, offsets, n)
-            yield ids.slice(lo, hi - lo), row, g
+            yield hi - lo, row, g
 
 
 def _set_prints(row: np.ndarray, g: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +118,10 @@ def frequency_classes(texts: DataFrame, n: int, total_bytes: int) -> bytes:
 def _index(n: int, t: float, parts: int, classes, frequent: int):
     """Map side of the index: for each part, entries of (token, number of the set) and the sets' fingerprints and sizes."""
     pbits = int(math.log2(parts))
-    # The last bit that stays of a token tells combinations from single ones.
-    mark = _U(1 << (GRAM_BITS - pbits - 32))
+    # Within a part 32 bits of a token, or all that are left, tell it from others; a rare mistake makes a candidate that
+    # fails. The last of them tells combinations from single ones.
+    spare = max(0, GRAM_BITS - pbits - 32)
+    mark = _U(1 << spare)
 
     def flush(entries, owners, prints, sizes):
         token, owner, fp, size = (np.concatenate(x) for x in (entries, owners, prints, sizes))
@@ -128,8 +132,7 @@ def _index(n: int, t: float, parts: int, classes, frequent: int):
         for p, (tk, ow) in enumerate(zip(np.split(token, at), np.split(owner, at))):
             if len(tk):
                 used, ow = np.unique(ow, return_inverse=True)
-                # Within a part 32 bits of a token tell it from others; a rare mistake makes a candidate that fails.
-                code = (tk >> _U(GRAM_BITS - pbits - 32)).astype(np.uint32)
+                code = (tk >> _U(spare)).astype(np.uint32)
                 out["p"].append(p)
                 out["token"].append(pack(code))
                 out["owner"].append(ow.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes())
@@ -140,8 +143,8 @@ def _index(n: int, t: float, parts: int, classes, frequent: int):
     def run(batches):
         table_ = np.frombuffer(classes.value, np.uint8)
         entries, owners, prints, sizes, count, sets = [], [], [], [], 0, 0
-        for ids, row, g in _tokens(batches, n):
-            fp, size = _set_prints(row, g, len(ids))
+        for rows, row, g in _tokens(batches, n):
+            fp, size = _set_prints(row, g, rows)
             cls = table_[(g >> _U(GRAM_BITS - CLASS_BITS)).astype(np.int64)]
             order = np.argsort((row.astype(_U) << _U(8 + 40)) | (cls.astype(_U) << _U(40)) | (g >> _U(GRAM_BITS - 40)), kind="stable")
             row, g, cls = row[order], g[order], cls[order]
@@ -165,7 +168,7 @@ def _index(n: int, t: float, parts: int, classes, frequent: int):
                 d += 1
             prints.append(fp)
             sizes.append(size)
-            sets += len(ids)
+            sets += rows
             count += int(single.sum())
             if count >= FLUSH // 2:
                 yield flush(entries, owners, prints, sizes)
@@ -243,8 +246,8 @@ def _sets(n: int):
     """(fp, m, grams): whole sets with their least scrambled hash, which near copies mostly have in common."""
 
     def run(batches):
-        for ids, row, g in _tokens(batches, n):
-            fp, size = _set_prints(row, g, len(ids))
+        for rows, row, g in _tokens(batches, n):
+            fp, size = _set_prints(row, g, rows)
             ends = np.concatenate([[0], np.cumsum(size)])
             some = np.flatnonzero(size)
             if len(some):
@@ -273,25 +276,36 @@ def _verify(t: float):
 
 
 def _prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return pick(df, id=id_col, text=text_col).where("id is not null and text is not null").select("id", F.lower("text").alias("text"))
+    """(id, th, text): th is the hash of the text as it is, text is in lower case."""
+    return pick(df, id=id_col, text=text_col).where("id is not null and text is not null").select("id", F.xxhash64("text").alias("th"), F.lower("text").alias("text"))
+
+
+def _prints(text, n: int):
+    """struct(fp, size) of a text's set."""
+
+    @F.arrow_udf("struct<fp:bigint,size:int>")
+    def of(column: pa.Array) -> pa.Array:
+        fp, size = np.zeros(len(column), np.int64), np.zeros(len(column), np.int32)
+        for lo, hi, data, offsets in texts_of(column):
+            row, g = gram_sets(data, offsets, n)
+            fp[lo:hi], size[lo:hi] = _set_prints(row, g, hi - lo)
+        return pa.StructArray.from_arrays([pa.array(fp), pa.array(size)], ["fp", "size"])
+
+    return of(text)
 
 
 def set_pairs(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(id, fp, size) of all texts with words, and (a, b, jaccard) of the pairs of different sets."""
+    """(id, th, fp) of all texts with words, and (a, b, jaccard) of the pairs of different sets."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     spark = df.sparkSession
-    texts = _prepared(df, id_col, text_col)
+    docs = _prepared(df, id_col, text_col)
+    texts = docs.select("text")
     sized = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     total, documents = int(sized[0]), int(sized[1])
     parts = pieces(total, PART // 2)
 
-    def mapping(batches):
-        for ids, row, g in _tokens(batches, n):
-            fp, size = _set_prints(row, g, len(ids))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fp), pa.array(size.astype(np.int32))], names=["id", "fp", "size"])
-
-    known = cut(texts.mapInArrow(mapping, "id bigint, fp bigint, size int").where("size > 0"))
+    known = cut(docs.select("id", "th", _prints(F.col("text"), n).alias("s")).where("s.size > 0").select("id", "th", "s.fp"))
     classes = spark.sparkContext.broadcast(frequency_classes(texts, n, total))
     frequent = int(math.log2(max(LEAST, min(documents // SHARE, MOST)))) + 1
     index = texts.mapInArrow(_index(n, threshold, parts, classes, frequent), "p int, token binary, owner binary, fp binary, size binary")
@@ -300,11 +314,11 @@ def set_pairs(df: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
 
     # One document of each set that is in a pair gives the set; the sets go where their pairs are verified.
     used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    one = known.join(used, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
-    docs = texts.join(one.select("id").distinct(), "id", "left_semi")
-    sets = docs.mapInArrow(_sets(n), "fp bigint, m bigint, grams binary")
-    sets = cut(sets)
-    m = sets.select("fp", "m").distinct()
+    one = known.join(used, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "th")).alias("d")).select("d.id", "d.th")
+    sets = docs.join(one, ["id", "th"], "left_semi").select("text").mapInArrow(_sets(n), "fp bigint, m bigint, grams binary")
+    # Repeated rows of a document give its set more than once.
+    sets = cut(sets.dropDuplicates(["fp"]))
+    m = sets.select("fp", "m")
     keyed = pairs.join(m.toDF("a", "ma"), "a").join(m.toDF("b", "mb"), "b").select("a", "b", F.least("ma", "mb").alias("key"))
     # A key of very many pairs is cut into squares.
     hot = keyed.groupBy("key").agg(F.ceil(F.sqrt(F.count("*") / (1 << 20))).alias("s"))
@@ -316,20 +330,24 @@ def set_pairs(df: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     return known, verified
 
 
-def ngram_jaccard_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard) with doc_a < doc_b of all pairs of documents at or above the threshold."""
+def ngram_jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document that another one is linked to; class_id is the least id of its class."""
     known, pairs = set_pairs(df, id_col, text_col, n, threshold)
-    known = known.select("id", "fp").distinct()
-    pairs = cut(pairs)
-    both = pairs.select("a", "b", "jaccard").unionAll(known.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"), F.lit(1.0)))
-    wide = both.join(known.toDF("x", "a"), "a").join(known.toDF("y", "b"), "b").where("x != y and (a != b or x < y)")
-    out = wide.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 9).alias("jaccard"))
-    # Only an id that repeats with other texts can give a pair twice.
-    return out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    pairs = cut(pairs.select("a", "b"))
+    documents = known.select("id", "fp").distinct()
+    sets = documents.groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+    ways = pairs.unionAll(pairs.select("b", "a"))
+    others = ways.join(sets.select(F.col("fp").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    linked = cut(sets.join(others, F.col("fp") == F.col("a"), "left").withColumn("others", F.coalesce("others", F.lit(0))).where("copies > 1 or others > 0").select("fp", "copies", "least", "others"))
+    root = components(pairs).select(F.col("id").alias("x"), "root")
+    classed = linked.join(root, F.col("fp") == F.col("x"), "left").withColumn("root", F.coalesce("root", "fp"))
+    least = classed.groupBy("root").agg(F.min("least").alias("class_id"))
+    about = classed.join(least, "root").select("fp", "class_id", (F.col("copies") - 1 + F.col("others")).alias("n_links"))
+    return documents.join(about, "fp").select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of all ids in edges (a, b): root is the least id of the connected component, by large and small stars."""
+    """(id, root) of all ids in edges (a, b) but the roots: root is the least id of the connected component, by large and small stars."""
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
     before = None
     while True:
@@ -348,20 +366,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, root) of the documents that go: each is linked by pairs at or above the threshold to root, the least id, which stays."""
+    """(id, th) of the documents that go, th being xxhash64 of the text: one document of each class stays, that of the least id.
+
+    Classes are of sets, so that an id that repeats with other texts does not join their classes.
+    """
     known, pairs = set_pairs(df, id_col, text_col, n, threshold)
-    first = known.groupBy("fp").agg(F.min("id").alias("first"))
-    edges = pairs.select("a", "b").join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = known.join(first, "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    return components(cut(edges.unionAll(same).where("a != b")))
+    # Most sets are of one document and in no pair.
+    root = cut(components(cut(pairs.select("a", "b")))).select(F.col("id").alias("x"), "root")
+    shared = known.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
+    held = root.select(F.explode(F.array("x", "root")).alias("fp")).unionAll(shared).distinct()
+    classed = cut(known.join(held, "fp", "left_semi").join(root, F.col("fp") == F.col("x"), "left").select("id", "th", F.coalesce("root", "fp").alias("root")).distinct())
+    stays = classed.groupBy("root").agg(F.min(F.struct("id", "th")).alias("one")).select(F.col("one.id").alias("id"), F.col("one.th").alias("th"))
+    return classed.select("id", "th").distinct().join(stays, ["id", "th"], "left_anti")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_pairs(table(spark, sf_dir, "documents"))
+    return ngram_jaccard_links(table(spark, sf_dir, "documents"))
 
 
 SQL = r"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS ws
   FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 g AS (
@@ -372,7 +396,11 @@ e AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS t FROM g),
 p AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS o
   FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9
-  GROUP BY ALL)
-SELECT doc_a, doc_b, round(o / (na + nb - o)::DOUBLE, 9) AS jaccard
-FROM p WHERE o >= 0.7 * (na + nb - o) - 1e-12
+  GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT doc_a, doc_b FROM p WHERE o >= 0.7 * (na + nb - o) - 1e-12),
+ways AS MATERIALIZED (SELECT doc_a AS x, doc_b AS y FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+reach AS (SELECT x, y FROM ways UNION SELECT r.x, w.y FROM reach r JOIN ways w ON r.y = w.x),
+class AS (SELECT x, least(x, min(y)) AS class_id FROM reach GROUP BY x)
+SELECT ways.x AS doc_id, any_value(class.class_id) AS class_id, count(*) AS n_links
+FROM ways JOIN class ON ways.x = class.x GROUP BY ways.x
 """
