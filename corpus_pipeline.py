@@ -4,7 +4,7 @@ Stages, in order: language ID (rejected documents go), exact dedup, n-gram Jacca
 near copies stays), benchmark decontamination, BPE encoding. All but the last return the columns they got. Nulls, empty
 and long texts, repeated rows and further columns are handled as the operators' docstrings say. A document of null text
 is rejected by language ID, so that later stages see none unless they are called alone: they keep it, and it has null
-tokens. Near copies are dropped by id: rows of an id go together, and rows without id stay.
+tokens. Near copies are dropped by id and text, and rows without id stay.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = ngram_join.near_duplicates(docs)
-    key = fresh(docs, "gone")
-    return docs.join(gone.select(F.col("id").alias(key)).distinct(), docs["doc_id"].try_cast("bigint") == F.col(key), "left_anti")
+    key, text = fresh(docs, "gone"), fresh(docs, "gone_text")
+    return docs.join(gone.toDF(key, text), (docs["doc_id"] == F.col(key)) & (F.xxhash64(docs["text"].cast("string")) == F.col(text)), "left_anti")
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
