@@ -1,6 +1,7 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -77,3 +78,45 @@ def test_decoding_of_broken_and_null_ids(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert bpe.encode(df).count() == 0 and token_counts.token_counts(df).count() == 0
+
+
+def _thue_morse(n):
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return out
+
+
+def test_words_of_one_hash_modulo_a_power_of_two(spark):
+    bits = _thue_morse(4096)
+    pairs = [("".join("ab"[x] for x in bits[:n]), "".join("ba"[x] for x in bits[:n])) for n in (1024, 2048, 4096)]
+    texts = [f"{a} {b}" for a, b in pairs] + [f"{b} {a}" for a, b in pairs]
+    enc = Vocabulary(rank_file()).encoding
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r[0]: r[1] for r in bpe.encode(df).select("doc_id", "tokens").collect()} == {k: enc.encode_ordinary(t) for k, t in enumerate(texts)}
+
+
+def test_fragments_are_compared_when_all_hashes_collide(monkeypatch):
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64))
+    e = bpe.Encoder(rank_file())
+    text = "the cat and the dog saw one red fox; été"
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert e.encode(data, np.array([0, len(data)]))[0].tolist() == e.vocabulary.encoding.encode_ordinary(text)
+
+
+def test_very_long_texts_and_runs_without_a_cut(spark):
+    r = random.Random(4)
+    prose = " ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(1, 9))) for _ in range(450_000))
+    texts = [prose, "a" * 50_000, "ab" * 40_000 + "!" + "é" * 9000, "".join(r.choice("etaoinsh") for _ in range(60_000)), "\n" * 5000 + " " * 5000, ""]
+    assert len(prose) > 2 * bpe.BLOCK
+    enc = Vocabulary(rank_file()).encoding
+    want = {k: enc.encode_ordinary(t) for k, t in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in bpe.encode(df).collect()}
+    assert {k: x["tokens"] for k, x in got.items()} == want and all(x["round_trip"] for x in got.values())
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df).collect()} == {k: len(x) for k, x in want.items()}
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", "one two"), (None, "three")], "doc_id string, text string")
+    assert {r["doc_id"] for r in bpe.encode(df).collect()} == {"a", None} == {r["doc_id"] for r in token_counts.token_counts(df).collect()}

@@ -40,6 +40,33 @@ def _kinds() -> np.ndarray:
     return _wide[0]
 
 
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def borders(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """offsets with further ones about every `size` bytes within longer texts, and the places of the given ones among them.
+
+    They are at blanks between two ASCII letters, where a piece begins whatever else the text has, so that encoding the
+    parts apart gives what encoding the text gives. A part that has no such blank stays whole.
+    """
+    more = []
+    for r in np.flatnonzero(np.diff(offsets) > 2 * size).tolist():
+        at, end = int(offsets[r]) + size, int(offsets[r + 1])
+        while at < end - size:
+            w = data[at : min(at + size, end)]
+            blank = (w[1:-1] == 32) & _ASCII_LETTER[w[:-2]] & _ASCII_LETTER[w[2:]]
+            k = int(blank.argmax()) if len(blank) else 0
+            if len(blank) and blank[k]:
+                more.append(at + k + 1)
+                at += k + 1 + size
+            else:
+                at += max(1, len(w) - 2)
+    if not more:
+        return offsets, np.arange(len(offsets))
+    return np.sort(np.concatenate([offsets, np.array(more, offsets.dtype)])), np.arange(len(offsets)) + np.searchsorted(more, offsets, "left")
+
+
 class Vocabulary:
     def __init__(self, ranks: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
