@@ -5,13 +5,15 @@ and that encoding leaves in place after the last token before it. So a state hol
 may still grow, how far back it is, the last token there and how many tokens fewer it has: finitely many states. Each
 transition is annotated with the change of the number of tokens. States are compiled as texts need them.
 
-Texts run through the transducer in chunks of equal size, all at once. A chunk's state map sends the state before it to
-the state after it with a count; beyond the first cut of a chunk it does not depend on the state before. The maps are
-composed from the left in a scan whose rounds are as many as the longest run of chunks without a cut, and chunks that
-have a cut are all done in the first. Texts need no alignment with chunks, and a huge text is many chunks.
+Texts run through the transducer in chunks of equal size, all at once. A chunk's state map sends each state that may come
+before it to the state after it and a count. Beyond its first cut a chunk does not depend on what was before, so its map
+is of its head only, and the state after it is known. Maps of chunks without a cut start from what the chunk before them
+makes of the first state, and are closed under what their neighbours send them, all in parallel. Runs of such chunks are
+then composed by doubling: the maps of 1, 2, 4 ... chunks, by which every chunk's state before it is found in a number of
+rounds that is the logarithm of the longest run. Texts need no alignment with chunks, and a huge text is many chunks.
 
 The count is that of the vocabulary's own encoder. A null text has a null count, an empty one 0. Every row gives one row,
-repeated or with a null id; further columns are not read.
+repeated or with a null id; ids keep their type and further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm._spark import pick, table
-from treeline.llm._text import blocks, text_bytes
-from treeline.llm._vocabulary import Vocabulary, rank_file
+from treeline.llm._text import BLOCK, blocks, text_bytes
+from treeline.llm._vocabulary import Vocabulary, borders, rank_file
 
 CHUNK = 512
 #: Compiled states that a worker keeps; then it starts afresh. Counts do not depend on it.
 STATES = 200_000
 START, UNKNOWN = 0, 1
-_SHIFT, _ZERO = 6, 32
+#: A transition is its target and, in the low bits, the change of count.
+_SHIFT, _ZERO = 9, 256
+_LOW = (1 << _SHIFT) - 1
 
 _machines: dict = {}
 
@@ -87,6 +91,8 @@ class Transducer:
                 token, fewer = t, less
         # The encoding of the prefix is that of an earlier place and one token.
         delta = 1 - fewer
+        if not -_ZERO <= delta < _ZERO:
+            raise OverflowError("a token ends what is more than 256 tokens without it")
         target = tuple([(n, last, less + delta) for n, last, less in opened if self.grows[n]] + [(0, token, 0)])
         k = self.number.get(target)
         if k is None:
@@ -118,9 +124,66 @@ class Transducer:
             value[new] = self.table[state[new], column[new]]
         return value
 
-    def changes(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """By how much each byte changes the number of tokens of its text."""
+    def _heads(self, b: np.ndarray, head: np.ndarray, lane: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State after the heads of lanes, and change of count, from given states before them."""
+        state, total = state.copy(), np.zeros(len(lane), np.int64)
+        left = np.arange(len(lane))
+        for t in range(CHUNK):
+            left = left[head[lane[left]] > t]
+            if not len(left):
+                break
+            value = self._step(state[left], b[t, lane[left]])
+            total[left] += (value & _LOW) - _ZERO
+            state[left] = value >> _SHIFT
+        return state, total
+
+    def _scan(self, b: np.ndarray, head: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Change of count over each lane's head. after: states after the lanes that have a cut."""
+        lanes = len(head)
+        out = np.zeros(lanes, np.int64)
+        need = np.flatnonzero(head > 0)
+        if not len(need):
+            return out
+        whole = head == CHUNK
+        # What may be before each head: what is known of the lane before, or what that one makes of the first state.
+        before = after.copy()
+        closed = np.flatnonzero(whole[need - 1])
+        if len(closed):
+            lane = np.unique(need[closed] - 1)
+            before[lane] = self._heads(b, head, lane, np.full(len(lane), START, np.int32))[0]
+        key = need.astype(np.int64) << 32 | before[need - 1]
+        known, to, change = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while len(key):
+            lane, state = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+            end, total = self._heads(b, head, lane, state)
+            goes = whole[lane] & (lane + 1 < lanes)
+            nxt = np.where(goes, (lane + 1) << 32 | end, -1)
+            known, to, change = np.concatenate([known, key]), np.concatenate([to, nxt]), np.concatenate([change, total])
+            order = np.argsort(known)
+            known, to, change = known[order], to[order], change[order]
+            key = np.unique(nxt[goes])
+            key = key[known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key]
+        # A head after a lane with a cut begins a run; the states before the others of the run follow by doubled maps.
+        first = ~whole[need - 1]
+        at = np.zeros(len(need), np.int64)
+        run = np.maximum.accumulate(np.where(first, np.arange(len(need)), 0))
+        at[:] = np.searchsorted(known, (need[run].astype(np.int64) << 32) | after[need[run] - 1])
+        far = np.arange(len(need)) - run
+        jump = np.where(to >= 0, np.searchsorted(known, to), np.arange(len(known)))
+        bit = 1
+        while bit <= far.max():
+            move = far & bit > 0
+            at[move] = jump[at[move]]
+            jump = jump[jump]
+            bit <<= 1
+        out[need] = change[at]
+        return out
+
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Tokens of each text."""
         n = len(data)
+        if not n:
+            return np.zeros(len(offsets) - 1, np.int64)
         if len(self.states) > STATES:
             self.forget()
         lanes = -(-n // CHUNK)
@@ -130,39 +193,22 @@ class Transducer:
         # What pads the last chunk begins with a cut, so that it is not part of a fragment.
         cut[n:] = True
         b, cut = np.ascontiguousarray(b.reshape(lanes, CHUNK).T), np.ascontiguousarray(cut.reshape(lanes, CHUNK).T)
-        out = np.zeros((CHUNK, lanes), np.int8)
+        change = np.zeros((CHUNK, lanes), np.int16)
         state = np.full(lanes, UNKNOWN, np.int32)
         for t in range(CHUNK):
             state[cut[t]] = START
             value = self._step(state, b[t])
-            out[t] = (value & 63) - _ZERO
+            change[t] = (value & _LOW) - _ZERO
             state = value >> _SHIFT
-        # Composition: a chunk's head runs from the state after the chunk before it, as soon as that is known.
-        has = cut.any(0)
-        head = np.where(has, cut.argmax(0), CHUNK)
-        left = np.flatnonzero(head > 0)
-        while len(left):
-            known = state[left - 1] != UNKNOWN
-            ready, left = left[known], left[~known]
-            own, t = state[ready - 1], 0
-            while len(ready):
-                value = self._step(own, b[t, ready])
-                out[t, ready] = (value & 63) - _ZERO
-                own = value >> _SHIFT
-                t += 1
-                done = head[ready] == t
-                if done.any():
-                    whole = done & (t == CHUNK)
-                    state[ready[whole]] = own[whole]
-                    ready, own = ready[~done], own[~done]
-        return out.T.reshape(-1)[:n]
-
-    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Tokens of each text."""
-        if not len(data):
-            return np.zeros(len(offsets) - 1, np.int64)
-        total = np.concatenate([[0], np.cumsum(self.changes(data, offsets), dtype=np.int64)])
-        return total[offsets[1:]] - total[offsets[:-1]]
+        head = np.where(cut.any(0), cut.argmax(0), CHUNK)
+        total = np.concatenate([[0], np.cumsum(change.T.reshape(-1)[:n], dtype=np.int64)])
+        out = total[offsets[1:]] - total[offsets[:-1]]
+        # A head belongs to one text, that of its first byte.
+        heads = self._scan(b, head, state)
+        at = np.flatnonzero(heads)
+        if len(at):
+            np.add.at(out, np.searchsorted(offsets, at * CHUNK, "right") - 1, heads[at])
+        return out
 
 
 def machine(ranks) -> Transducer:
@@ -179,10 +225,11 @@ def counted(text: Column, ranks) -> Column:
     def of(column: pa.Array) -> pa.Array:
         m = machine(ranks)
         data, offsets, valid = text_bytes(column)
-        out = np.zeros(len(column), np.int64)
+        offsets, own = borders(data, offsets, BLOCK)
+        total = np.zeros(len(offsets), np.int64)
         for lo, hi in blocks(offsets):
-            out[lo:hi] = m.count(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        return pa.array(out, mask=~valid)
+            total[lo + 1 : hi + 1] = m.count(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        return pa.array(np.diff(np.cumsum(total)[own]), mask=~valid)
 
     return of(text)
 
