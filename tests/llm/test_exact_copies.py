@@ -18,10 +18,17 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("stream", [1000, 2])
-def test_pairs_as_by_brute_force(spark, stream):
-    df = spark.createDataFrame(ROWS, "doc_id bigint, text string")
-    assert sorted(map(tuple, X.exact_duplicates(df, stream=stream).collect()), key=str) == brute(ROWS)
+@pytest.mark.parametrize("stream,huge", [(1000, X.HUGE), (2, 1000)])
+def test_pairs_as_by_brute_force(spark, stream, huge):
+    rows = ROWS + [(k, "many copies") for k in range(100, 120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, X.exact_duplicates(df, stream=stream, huge=huge).collect()), key=str) == brute(rows)
+    assert X.exact_dedup(df, stream=stream, huge=huge).count() == len(rows) - len(brute(rows))
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "x"), ("c", "y")], "doc_id string, text string")
+    assert [tuple(r) for r in X.exact_duplicates(df).collect()] == [("b", "a")]
 
 
 def test_fingerprints_that_collide_are_told_apart(spark):

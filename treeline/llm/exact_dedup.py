@@ -1,12 +1,13 @@
 """Exact duplicates by composable polynomial fingerprints, confirmed by comparing texts piece by piece.
 
 A text's UTF-8 bytes are the coefficients of a polynomial, evaluated at fixed points modulo 2**31 - 1. Pieces of a
-text are hashed on their own and joined by H(ab) = H(a) * x**len(b) + H(b), so a huge text may be hashed by many
-tasks and gives the same fingerprint as in one. Only rows whose fingerprint and length occur twice are compared.
+text are hashed on their own and joined by H(ab) = H(a) * x**len(b) + H(b), so a huge text is hashed by many tasks and
+gives the same fingerprint as in one. Fingerprints are computed once and kept with ids; only rows whose fingerprint and
+length occur twice are compared, in streams of bounded length whose first rows are compared again until one is left.
 
 Null texts equal nothing and are all kept. Empty texts equal each other. Of equal rows the one with the least id stays
 (null ids last), ties by all other columns' hash; rows that repeat an id and a text are duplicates like any others.
-Ids that are not numbers are read as numbers or null. Further columns pass through, whatever their names.
+Ids are of any type that sorts and keep it. Further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.llm._spark import fresh, table
+from treeline.llm._spark import cut, table
 from treeline.llm._text import text_bytes
 
 P = (1 << 31) - 1
@@ -25,7 +26,7 @@ P = (1 << 31) - 1
 POINTS = (1_103_515_245, 1_640_531_527, 2_083_697_101)
 #: Bytes of one coefficient block: 255 * 2**31 * 1024 is well within a double's 53 bits.
 STEP = 1024
-#: Texts of more bytes than this are split into pieces that other tasks may hash.
+#: Texts of more bytes than this are hashed in pieces of this size, by any tasks, and their hashes combined.
 HUGE = 8 << 20
 #: Copies in one comparing stream; larger groups are compared in several streams, then their winners.
 STREAM = 1000
@@ -108,7 +109,7 @@ def huge_fingerprints(df: DataFrame, id_col: str, text_col: str, piece: int = HU
 
     Gives what fingerprint() gives. Rows need distinct ids; null texts are left out.
     """
-    raw = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("b")).where("b is not null")
+    raw = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("b")).where("b is not null")
     cuts = raw.select("id", F.octet_length("b").alias("n"), F.explode(F.expr(f"transform(sequence(0, greatest(octet_length(b) - 1, 0) div {piece}), i -> struct(i as i, substring(b, i * {piece} + 1, {piece}) as b))")).alias("c"))
 
     @F.arrow_udf("array<bigint>")
@@ -144,75 +145,89 @@ def _stream(key: int, text: int, id_: int):
     def run(batches):
         now, kinds = None, []
         for batch in batches:
-            first = np.full(batch.num_rows, -1, np.int64)
-            has = np.zeros(batch.num_rows, bool)
-            keys, texts, ids = batch.column(key).to_pylist(), batch.column(text).cast(pa.large_binary()), batch.column(id_).to_pylist()
+            first, has = [], np.zeros(batch.num_rows, bool)
+            keys, texts, ids = batch.column(key).to_pylist(), batch.column(text).cast(pa.large_binary()), batch.column(id_)
             for r, k in enumerate(keys):
                 if k != now:
                     now, kinds = k, []
                 mine = memoryview(texts[r].as_buffer()).cast("B")
-                for seen, seen_id in kinds:
-                    if _equal(seen, mine):
-                        has[r], first[r] = True, -1 if seen_id is None else seen_id
-                        if seen_id is None:
-                            first[r] = np.iinfo(np.int64).min
-                        break
-                else:
+                same = next((i for seen, i in kinds if _equal(seen, mine)), None)
+                if same is None:
                     kinds.append((memoryview(bytes(mine)), ids[r]))
-            null = first == np.iinfo(np.int64).min
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(has), pa.array(first, mask=~has | null)], names=[*batch.schema.names, "__dup", "__first"])
+                has[r] = same is not None
+                first.append(None if same is None else same.as_py())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(has), pa.array(first, ids.type)], names=[*batch.schema.names, "__dup", "__first"])
 
     return run
 
 
-def _compared(rows: DataFrame, key: list[str], id_: str, text: str, tie: str) -> DataFrame:
-    """rows with __dup and __first, compared in streams of equal key."""
-    packed = rows.withColumn("__key", F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
-    ordered = packed.repartition("__key").sortWithinPartitions("__key", F.col(id_).asc_nulls_last(), tie)
+def _compared(rows: DataFrame, stream: int) -> DataFrame:
+    """rows (of groups of __c rows with __fp and __n) with __dup and __first, compared in streams of about `stream` rows."""
+    salt = F.pmod(F.xxhash64("__id", "__tie", "__level"), F.ceil(F.col("__c") / stream))
+    packed = rows.withColumn("__key", F.concat_ws("|", F.array_join(F.col("__fp").cast("array<string>"), ","), F.col("__n").cast("string"), salt.cast("string")))
+    ordered = packed.repartition("__key").sortWithinPartitions("__key", F.col("__id").asc_nulls_last(), "__tie")
     names = ordered.columns
-    schema = T.StructType([*ordered.schema, T.StructField("__dup", T.BooleanType()), T.StructField("__first", T.LongType())])
-    return ordered.mapInArrow(_stream(names.index("__key"), names.index(text), names.index(id_)), schema).drop("__key")
+    schema = T.StructType([*ordered.schema, T.StructField("__dup", T.BooleanType()), T.StructField("__first", ordered.schema["__id"].dataType)])
+    return ordered.mapInArrow(_stream(names.index("__key"), names.index("__text"), names.index("__id")), schema).drop("__key")
 
 
-def _marked(df: DataFrame, id_col: str, text_col: str, whole: bool, points: tuple[int, ...], stream: int) -> tuple[DataFrame, DataFrame]:
-    """Rows that share no fingerprint, and the rest with __dup and __first; both in one struct column __row or only ids."""
-    others = [F.col(f"`{c}`") for c in df.columns]
-    base = df.select(F.col(f"`{id_col}`").try_cast("bigint").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), *([F.struct(*others).alias("__row")] if whole else []))
-    tie = F.xxhash64("__row") if whole else F.lit(0).cast("bigint")
-    rows = base.select("*", fingerprint(F.col("__text"), points).alias("__fp"), F.octet_length("__text").alias("__n"), tie.alias("__tie"))
-    count = rows.where("__fp is not null").groupBy("__fp", "__n").agg(F.count("*").alias("__c")).where("__c > 1")
-    alone = rows.join(count, ["__fp", "__n"], "left_anti")
-    # A stream holds about `stream` copies; the first rows of the streams of a larger group are compared once more.
-    shared = rows.join(count, ["__fp", "__n"]).withColumn("__salt", F.pmod(F.xxhash64("__id", "__tie"), F.ceil(F.col("__c") / stream)))
-    return alone, shared
-
-
-def _resolved(shared: DataFrame, stream: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Groups of at most `stream` rows as compared; larger ones by stream, and the first rows of their streams."""
-    key = ["__fp", "__n", "__salt"]
-    small = _compared(shared.where(F.col("__c") <= stream), key, "__id", "__text", "__tie")
-    large = _compared(shared.where(F.col("__c") > stream), key, "__id", "__text", "__tie")
-    heads = _compared(large.where("not __dup").drop("__dup", "__first"), ["__fp", "__n"], "__id", "__text", "__tie")
-    return small, large, heads
-
-
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, points: tuple[int, ...] = POINTS, stream: int = STREAM) -> DataFrame:
-    """(doc_id, duplicate_of): every row but the first of each set of equal texts, with the first one's id."""
-    _, shared = _marked(df, id_col, text_col, False, points, stream)
-    small, large, heads = _resolved(shared, stream)
-    out = small.where("__dup").select("__id", "__first")
-    # Copies in a large group point at the head of their stream, and that one at the head of all.
-    to = heads.where("__dup").select(F.col("__id").alias("__head"), F.col("__first").alias("__root"), F.col("__fp").alias("__f"), F.col("__n").alias("__m")).distinct()
-    copies = large.where("__dup").join(to, (F.col("__first").eqNullSafe(F.col("__head"))) & (F.col("__fp") == F.col("__f")) & (F.col("__n") == F.col("__m")), "left")
-    far = copies.select("__id", F.when(F.col("__f").isNotNull(), F.col("__root")).otherwise(F.col("__first")).alias("__first"))
-    return out.unionAll(far).unionAll(heads.where("__dup").select("__id", "__first")).toDF("doc_id", "duplicate_of")
+def known_prints(base: DataFrame, points: tuple[int, ...] = POINTS, huge: int = HUGE) -> DataFrame:
+    """(__id, __th, __n, __fp, __w) of rows (__id, __th, __n, __text), __w being how many rows it stands for.
+
+    Texts of more than `huge` bytes are hashed in pieces.
+    """
+    rows = base.where("__text is not null")
+    plain = rows.where(F.col("__n") <= huge).select("__id", "__th", "__n", fingerprint(F.col("__text"), points).alias("__fp"), F.lit(1).cast("bigint").alias("__w"))
+    # Equal rows are hashed once: a key tells their texts apart by 64 bits and their length.
+    long = rows.where(F.col("__n") > huge).select(F.struct("__id", "__th", "__n").alias("k"), "__text")
+    count = long.groupBy("k").agg(F.count("*").alias("copies"), F.first("__text").alias("text"))
+    parts = huge_fingerprints(count.select(F.struct("k", "copies").alias("k"), "text"), "k", "text", huge, points)
+    return plain.unionAll(parts.select("id.k.__id", "id.k.__th", "id.k.__n", "fp", "id.copies"))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, points: tuple[int, ...] = POINTS, stream: int = STREAM) -> DataFrame:
+def _marked(df: DataFrame, id_col: str, text_col: str, whole: bool, points: tuple[int, ...], stream: int, huge: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows that share no fingerprint, and the compared rows of each level; with all columns in __row if whole."""
+    others = [F.col(f"`{c}`") for c in df.columns]
+    base = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), *([F.struct(*others).alias("__row")] if whole else []))
+    base = base.select("*", F.when(F.col("__text").isNotNull(), F.xxhash64("__text")).alias("__th"), F.octet_length("__text").alias("__n"))
+    known = cut(known_prints(base, points, huge))
+    count = known.groupBy("__fp", "__n").agg(F.sum("__w").alias("__c")).where("__c > 1")
+    keys = cut(known.join(count, ["__fp", "__n"]).select(F.col("__id").alias("__kid"), F.col("__th").alias("__kth"), "__fp", "__c").distinct())
+    same = base["__id"].eqNullSafe(F.col("__kid")) & (base["__th"] == F.col("__kth"))
+    alone = base.join(keys, same, "left_anti")
+    shared = base.join(keys, same).drop("__kid", "__kth", "__th").withColumn("__tie", F.xxhash64("__row") if whole else F.lit(0).cast("bigint"))
+    # A group of more than `stream` rows is compared in several streams, then the first rows of these, and so on.
+    most = keys.agg(F.max("__c")).first()[0] or 0
+    levels = [_compared(shared.withColumn("__level", F.lit(0)), stream)]
+    while most > stream:
+        most = -(-most // stream)
+        heads = levels[-1].where(~F.col("__dup") & (F.col("__c") > stream)).drop("__dup", "__first")
+        levels.append(_compared(heads.withColumn("__c", F.ceil(F.col("__c") / stream)).withColumn("__level", F.col("__level") + 1), stream))
+    return alone, levels
+
+
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, points: tuple[int, ...] = POINTS, stream: int = STREAM, huge: int = HUGE) -> DataFrame:
+    """(doc_id, duplicate_of): every row but the first of each set of equal texts, with the first one's id."""
+    _, levels = _marked(df, id_col, text_col, False, points, stream, huge)
+    found, up = None, None
+    for level in reversed(levels):
+        dups = level.where("__dup").select("__id", "__first", "__fp", "__n")
+        if up is not None:
+            # The head of a stream may itself be a copy of the head of another.
+            head = up.select(F.col("__id").alias("__head"), F.col("__first").alias("__root"), F.col("__fp").alias("__f"), F.col("__n").alias("__m"), F.lit(True).alias("__far")).distinct()
+            met = dups.join(head, F.col("__first").eqNullSafe(F.col("__head")) & (F.col("__fp") == F.col("__f")) & (F.col("__n") == F.col("__m")), "left")
+            dups = met.select("__id", F.when(F.col("__far"), F.col("__root")).otherwise(F.col("__first")).alias("__first"), "__fp", "__n")
+        up = dups if up is None else up.unionAll(dups)
+        found = up
+    return found.select(F.col("__id").alias("doc_id"), F.col("__first").alias("duplicate_of"))
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, points: tuple[int, ...] = POINTS, stream: int = STREAM, huge: int = HUGE) -> DataFrame:
     """The rows of df that stay, with the columns of df."""
-    alone, shared = _marked(df, id_col, text_col, True, points, stream)
-    small, _, heads = _resolved(shared, stream)
-    kept = alone.select("__row").unionAll(small.where("not __dup").select("__row")).unionAll(heads.where("not __dup").select("__row"))
+    alone, levels = _marked(df, id_col, text_col, True, points, stream, huge)
+    kept = alone.select("__row")
+    for level in levels:
+        kept = kept.unionAll(level.where(~F.col("__dup") & (F.col("__c") <= stream)).select("__row"))
     return kept.select("__row.*")
 
 
