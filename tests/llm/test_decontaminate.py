@@ -24,7 +24,7 @@ def brute(docs, items):
     out = {}
     for i, t in docs:
         for k, x in items:
-            if t is not None and x is not None and k is not None and len(folded(x)) >= D.MIN_ITEM:
+            if t is not None and x is not None and k is not None and x:
                 item = folded(x)
                 d = least_distance(item, folded(t)) if t else len(item)
                 if d <= int(D.SHARE * len(item) + 1e-9):
@@ -90,11 +90,38 @@ def test_empty_tables_and_several_indexes(spark, monkeypatch):
     assert D.decontaminate(df, none).count() == len(docs)
     whole = {tuple(r)[:2] for r in D.contamination(df, bench).collect()}
     many = D.build_indexes(bench, size=300)
-    assert len(many) > 1
+    assert len(many) == 1 and len(many[0]) > 1
     from pyspark.sql import functions as F
 
-    apart = {(r[0], x["item_id"]) for r in df.select("doc_id", D.leaks(F.col("text"), many)).collect() for x in r[1]}
+    kind = bench.schema["item_id"].dataType
+    apart = {(r[0], x["item_id"]) for r in df.select("doc_id", D.leaks(F.col("text"), many[0], kind)).collect() for x in r[1]}
     assert len(whole & apart) >= 0.9 * len(whole | apart)
+    monkeypatch.setattr(D, "INDEX", 300)
+    monkeypatch.setattr(D, "AT_ONCE", 1)
+    monkeypatch.setattr(D.build_indexes, "__defaults__", ("item_id", "text", D.SHARE, 300, 1))
+    passes = {tuple(r)[:2] for r in D.contamination(df, bench).collect()}
+    assert passes == apart
+    assert {r[0] for r in df.collect()} - {i for i, _ in passes} == {r[0] for r in D.decontaminate(df, bench).collect()}
+
+
+def test_long_short_and_repeated_items():
+    r = random.Random(8)
+    long = "".join(r.choice("abcdefgh ") for _ in range(20_000))
+    x = list(long)
+    for _ in range(1000):
+        x[r.randrange(len(x))] = r.choice("xyz")
+    index = D.Index([("l", long.encode()), ("m", long.encode()), ("s", b"tiny"), ("e", b"exactly so!")])
+    assert index.recall >= D.RECALL
+    texts = ["before " + "".join(x) + " after", "a tiny one", "exactly so!", "exactly sO!", long[:9000] + "?" * 11000, ""]
+    raw = [t.encode() for t in texts]
+    got = index.search(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+    assert set(got) == {(0, 0), (0, 1), (1, 2), (2, 3), (3, 3)} and got[0, 0] == got[0, 1] <= 1000
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("x", "what is the capital of the small country"), ("y", "else")], "doc_id string, text string")
+    bench = spark.createDataFrame([("q1", "What is the capital of the small country")], "item_id string, text string")
+    assert [tuple(r) for r in D.contamination(df, bench).collect()] == [("x", "q1", 0)]
 
 
 def test_edit_distance():

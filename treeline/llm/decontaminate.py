@@ -2,35 +2,46 @@
 
 The CGK random walk copies a string to a longer one, staying at a character or moving on by shared random bits, so that
 strings of small edit distance become strings of small Hamming distance. Windows of documents as long as an item are
-embedded so, and repeated bit-sampling compares a few places of the embedding: a window that agrees with its item in any
-repetition is verified by the exact edit distance. The number of sampled places is the largest at which copies with the
-most edits allowed are still found with the target recall, measured when the index of items is built.
+embedded so, and repeated bit-sampling hashes them into buckets: each repetition reads a few places of the embedding, and
+a window meets the items that are in its bucket in any repetition. What meets is verified by the exact edit distance.
+The number of sampled places is the largest at which copies with the most edits allowed are still found with the target
+recall, measured over all items when the index of items is built; repetitions are added where one place is too many,
+and if that does not help either, every window is verified.
 
 An item within k edits of a window keeps one of k + 1 equal pieces whole, so windows start only where a document has
-such a piece: this drops no window within the distance.
+such a piece: this drops no window within the distance. Items of more than SEGMENT bytes are indexed by segments: one of
+them has no more than its share of the edits, and the whole item is verified around it. Items of fewer than 8 bytes
+allow no edit and are searched for as they are.
 
 Texts are compared as UTF-8 bytes with letters of ASCII and Latin-1 in lower case and each white space character as a
-space. k is `share` of the item's bytes, rounded down. Null and empty texts hold nothing. Items that are null or shorter
-than MIN_ITEM bytes are not searched for. Repeated items are reported each by its id, repeated rows of a document once,
-with the least distance. Null ids are reported as null. Other columns are not read.
+space. k is `share` of the item's bytes, rounded down. Null and empty texts hold nothing; null and empty items and items
+with a null id are in nothing, and items of fewer than `min_item` bytes are left out if that is given. Repeated items are
+reported each by its id, repeated rows of a document once, with the least distance. Null ids of documents are reported as
+null. Ids keep their types, and other columns are not read.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from treeline.llm._spark import pick, table
-from treeline.llm._text import text_bytes
+from treeline.llm._spark import cut, pick, table
+from treeline.llm._text import texts_of
 
 SHARE = 0.06
-MIN_ITEM = 20
-REPEATS = 32
+#: Bytes of the parts of items that windows are compared with.
+SEGMENT = 512
+REPEATS, MOST_REPEATS = 32, 128
+PLACES = 12
 RECALL = 0.97
-#: Bytes of items in one index; more items are searched for in several passes.
-INDEX = 1 << 20
+#: Bytes of items in one index, and indexes that a worker holds at a time; more items are searched for in further passes.
+INDEX, AT_ONCE = 1 << 20, 8
 _U = np.uint64
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -77,200 +88,236 @@ def edit_distance_within(item: bytes, region: bytes) -> int:
 
 
 class Index:
-    """Items with their pieces, embeddings and samples."""
+    """Items with their pieces, and buckets of their sampled embeddings."""
 
-    def __init__(self, items: list[tuple[int, bytes]], share: float = SHARE, recall: float = RECALL, repeats: int = REPEATS, seed: int = 1):
+    def __init__(self, items: list[tuple[object, bytes]], share: float = SHARE, recall: float = RECALL, repeats: int = REPEATS, seed: int = 1):
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.most = np.floor(self.size * share + 1e-9).astype(np.int64)
-        self.repeats = repeats
-        keys: dict[int, list] = {}
-        for n, (t, k) in enumerate(zip(self.texts, self.most)):
+        self.short = [n for n, t in enumerate(self.texts) if len(t) < 8]
+        self.item, self.offset, units = [], [], []
+        for n, t in enumerate(self.texts):
+            if len(t) >= 8:
+                at = np.linspace(0, len(t), -(-len(t) // SEGMENT) + 1).astype(int).tolist()
+                for lo, hi in zip(at, at[1:]):
+                    self.item.append(n)
+                    self.offset.append(lo)
+                    units.append(t[lo:hi])
+        self.item, self.offset, self.units = np.array(self.item, np.int64), np.array(self.offset, np.int64), units
+        self.length = np.array([len(t) for t in units], np.int64)
+        self.edits = np.floor(self.length * share + 1e-9).astype(np.int64)
+        rows = []
+        for u, (t, k) in enumerate(zip(units, self.edits.tolist())):
             step = len(t) // (k + 1)
-            q = min(8, step)
             for p in range(k + 1):
-                key = int.from_bytes(t[p * step : p * step + q], "little")
-                last = int.from_bytes(t[p * step + step - q : p * step + step], "little")
-                keys.setdefault(q, []).append((key, n, p * step, last, step - q))
-        self.keys = {}
-        for q, rows in keys.items():
-            rows.sort()
-            key = np.array([r[0] for r in rows], _U)
-            uniq, first = np.unique(key, return_index=True)
-            bloom = np.zeros(1 << 18, bool)
-            bloom[self._slot(uniq)] = True
-            self.keys[q] = (uniq, np.append(first, len(rows)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows], _U), np.array([r[4] for r in rows]), bloom)
-        rng = np.random.default_rng(seed)
-        self.steps = int(2 * self.size.max()) if items else 0
-        self.walk = rng.integers(0, 2, (repeats, self.steps, 256), dtype=np.uint8)
-        flat = np.frombuffer(b"".join(self.texts), np.uint8)
-        ends = np.cumsum(self.size)
-        self.embedded = np.stack([self._embed(flat, ends - self.size, ends, r) for r in range(repeats)]) if items else None
-        self.places = 0
-        if items:
-            self._choose(recall, rng)
+                rows.append((int.from_bytes(t[p * step : p * step + 8], "little"), u, p * step, int.from_bytes(t[p * step + step - 8 : p * step + step], "little"), step - 8))
+        rows.sort()
+        self.piece, first = np.unique(np.array([r[0] for r in rows], _U), return_index=True)
+        self.first = np.append(first, len(rows))
+        self.of, self.within, self.last, self.further = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], _U), np.array([r[4] for r in rows], np.int64)
+        self.bloom = np.zeros(1 << 18, bool)
+        self.bloom[self._slot(self.piece)] = True
+        self.recall = 1.0
+        if units:
+            self._choose(recall, repeats, np.random.default_rng(seed))
 
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
         return ((key * _U(0x9E3779B97F4A7C15)) >> _U(46)).astype(np.int64)
 
-    def _embed(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, r: int) -> np.ndarray:
-        """Embeddings by walk r of the strings data[start:end], which end in zeros."""
-        out = np.zeros((self.steps, len(start)), np.uint8)
+    def _buckets(self, places: int, repeats: int) -> None:
+        """Random walks, sampled places (as shares of a walk) and the units in each bucket of each repetition."""
+        rng = np.random.default_rng(places + 1000 * repeats)
+        self.places, self.repeats = places, repeats
+        self.walk = rng.integers(0, 2, (repeats, 2 * SEGMENT, 256), dtype=np.uint8)
+        self.at = np.sort(rng.random((repeats, places)), 1)
+        flat = np.frombuffer(b"".join(self.units), np.uint8)
+        ends = np.cumsum(self.length)
+        self.tables = []
+        for r in range(repeats):
+            key = self._bucket(flat, ends - self.length, ends, self.length, r)
+            order = np.argsort(key, kind="stable")
+            keys, first = np.unique(key[order], return_index=True)
+            self.tables.append((keys, np.append(first, len(key)), order))
+
+    def _bucket(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, length: np.ndarray, r: int) -> np.ndarray:
+        """Buckets in repetition r of the strings data[start:end], as windows of the given lengths; zeros follow their end."""
+        places = (self.at[r] * 2 * length[:, None]).astype(np.int64)
+        steps = int(places.max(initial=-1)) + 1
+        out = np.zeros((steps, len(start)), np.uint8)
         at, last = start.copy(), len(data) - 1
-        for j in range(self.steps):
+        for j in range(steps):
             c = data[np.minimum(at, last)]
             c[at >= end] = 0
             out[j] = c
             at += self.walk[r, j, c]
-        return out.T
-
-    def _sample(self, places: int) -> None:
-        rng = np.random.default_rng(places)
-        self.samples = (rng.random((self.repeats, len(self.texts), places)) * 2 * self.size[:, None]).astype(np.int64)
-        self.places = places
+        key = length.astype(_U)
+        for p in range(self.places):
+            key = (key ^ out[places[:, p], np.arange(len(start))].astype(_U)) * _U(0x9E3779B97F4A7C15)
+            key ^= key >> _U(29)
+        return key
 
-    def _choose(self, recall: float, rng) -> None:
+    def _choose(self, recall: float, repeats: int, rng) -> None:
         """The most sampled places at which copies with the most edits are found with the wanted recall."""
-        texts, items = [], []
-        for n in rng.choice(len(self.texts), min(len(self.texts), 50), replace=False):
-            for _ in range(4):
-                t = bytearray(self.texts[n])
-                for _ in range(self.most[n]):
-                    kind, at, c = rng.integers(0, 3), int(rng.integers(0, len(t))), int(rng.integers(97, 123))
-                    if kind == 0:
-                        t[at] = c
-                    elif kind == 1:
-                        t.insert(at, c)
-                    else:
-                        del t[at]
-                texts.append(bytes(rng.integers(97, 123, 30, dtype=np.uint8)) + bytes(t) + bytes(rng.integers(97, 123, 30, dtype=np.uint8)))
-                items.append(int(n))
+        texts, want = [], []
+        for n in np.tile(np.arange(len(self.units)), -(-200 // len(self.units))).tolist():
+            t = bytearray(self.units[n])
+            for _ in range(self.edits[n]):
+                kind, at, c = rng.integers(0, 3), int(rng.integers(0, len(t))), int(rng.integers(97, 123))
+                if kind == 0:
+                    t[at] = c
+                elif kind == 1:
+                    t.insert(at, c)
+                else:
+                    del t[at]
+            texts.append(bytes(rng.integers(97, 123, 30, dtype=np.uint8)) + bytes(t) + bytes(rng.integers(97, 123, 30, dtype=np.uint8)))
+            want.append(n)
         data = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         found = self.windows(data, offsets)
-        for places in range(12, 0, -1):
-            self._sample(places)
-            row, item, _ = self._agreeing(data, offsets, *found)
-            hit = {(int(r), int(i)) for r, i in zip(row, item)}
-            if sum((r, i) in hit for r, i in enumerate(items)) >= recall * len(items):
+        for places, times in [(p, repeats) for p in range(PLACES, 0, -1)] + [(1, t) for t in (2 * repeats, 4 * repeats) if t <= MOST_REPEATS] + [(0, 1)]:
+            self._buckets(places, times)
+            row, unit, _ = self._meeting(data, offsets, *found)
+            hit = set(zip(row.tolist(), unit.tolist()))
+            self.recall = sum((r, n) in hit for r, n in enumerate(want)) / len(want)
+            if self.recall >= recall:
                 return
 
     def windows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, start) of all windows that begin so that one piece of the item is in its place. data is folded."""
-        out = []
+        """(row, unit, start) of all windows that begin so that one piece of the unit is in its place. data is folded."""
+        z = np.zeros(0, np.int64)
+        if not len(self.units):
+            return z, z, z
         padded = np.zeros(len(data) + 16, np.uint8)
         padded[: len(data)] = data
-        for q, (uniq, first, item, offset, last, further, bloom) in self.keys.items():
-            mask = _U((1 << 8 * q) - 1)
-            for lo in range(0, len(data), 1 << 20):
-                size = min(1 << 20, len(data) - lo)
-                key = np.ndarray((size,), "<u8", padded, lo, (1,)) & mask
-                maybe = np.flatnonzero(bloom[self._slot(key)])
-                at = np.searchsorted(uniq, key[maybe])
-                real = uniq[np.minimum(at, len(uniq) - 1)] == key[maybe]
-                at, pos = at[real], maybe[real] + lo
-                count = first[at + 1] - first[at]
-                which = np.repeat(first[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                pos = np.repeat(pos, count)
-                # The last bytes of the piece as well.
-                end = np.minimum(pos + further[which], len(data) + 8)
-                same = (np.ndarray((len(data) + 9,), "<u8", padded, 0, (1,))[end] & mask) == last[which]
-                out.append((q, pos[same], which[same]))
-        if not out:
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        rows, items, starts = [], [], []
-        for q, (_, _, item, offset, *_) in self.keys.items():
-            pos = np.concatenate([p for k, p, _ in out if k == q] or [np.zeros(0, np.int64)])
-            which = np.concatenate([w for k, _, w in out if k == q] or [np.zeros(0, np.int64)])
-            rows.append(np.searchsorted(offsets, pos, "right") - 1)
-            items.append(item[which])
-            starts.append(pos - offset[which])
-        row, item, start = np.concatenate(rows), np.concatenate(items), np.concatenate(starts)
+        eight = np.ndarray((len(data) + 9,), "<u8", padded, 0, (1,))
+        starts, units, places = [z], [z], [z]
+        for lo in range(0, len(data), 1 << 20):
+            key = eight[lo : min(lo + (1 << 20), len(data))]
+            maybe = np.flatnonzero(self.bloom[self._slot(key)])
+            at = np.searchsorted(self.piece, key[maybe])
+            real = self.piece[np.minimum(at, len(self.piece) - 1)] == key[maybe]
+            at, pos = at[real], maybe[real] + lo
+            count = self.first[at + 1] - self.first[at]
+            which = np.repeat(self.first[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            pos = np.repeat(pos, count)
+            # The last bytes of the piece as well.
+            same = eight[np.minimum(pos + self.further[which], len(data) + 8)] == self.last[which]
+            starts.append(pos[same] - self.within[which[same]])
+            units.append(self.of[which[same]])
+            places.append(pos[same])
+        start, unit = np.concatenate(starts), np.concatenate(units)
+        # A window may begin before its text: the piece that it was found by tells which text it is of.
+        row = np.searchsorted(offsets, np.concatenate(places), "right") - 1
         start = np.maximum(start, offsets[row])
-        fits = offsets[row + 1] - offsets[row] >= (self.size - self.most)[item]
-        row, item, start = row[fits], item[fits], start[fits]
-        key = np.unique(np.stack([item, start], 1), axis=0, return_index=True)[1] if len(row) else row
-        return row[key], item[key], start[key]
-
-    def _agreeing(self, data, offsets, row, item, start):
-        """Of the windows those that agree with their item in all sampled places of a repetition."""
-        agreed = np.zeros(len(row), bool)
-        end = np.minimum(start + self.size[item], offsets[row + 1])
+        fits = offsets[row + 1] - offsets[row] >= (self.length - self.edits)[unit]
+        row, unit, start = row[fits], unit[fits], start[fits]
+        keep = np.unique(np.stack([unit, start], 1), axis=0, return_index=True)[1] if len(row) else z
+        return row[keep], unit[keep], start[keep]
+
+    def _meeting(self, data, offsets, row, unit, start):
+        """(row, unit, start) of windows and the units that are in their bucket in some repetition."""
+        z = np.zeros(0, np.int64)
+        out = [(z, z, z)]
+        end = np.minimum(start + self.length[unit], offsets[row + 1])
         for lo in range(0, len(row), 1 << 14):
             left = np.arange(lo, min(lo + (1 << 14), len(row)))
-            for r in range(self.repeats):
-                e = self._embed(data, start[left], end[left], r)
-                it = item[left][:, None]
-                places = self.samples[r][item[left]]
-                same = (e[np.arange(len(left))[:, None], places] == self.embedded[r][it, places]).all(1)
-                agreed[left[same]] = True
-                left = left[~same]
+            for r, (keys, first, order) in enumerate(self.tables):
+                key = self._bucket(data, start[left], end[left], self.length[unit[left]], r)
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[at] == key
+                w, at = left[hit], at[hit]
+                count = first[at + 1] - first[at]
+                which = order[np.repeat(first[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+                w = np.repeat(w, count)
+                out.append((row[w], which, start[w]))
+                # A window that met the unit whose piece it has is done.
+                left = np.setdiff1d(left, w[which == unit[w]], assume_unique=False)
                 if not len(left):
                     break
-        return row[agreed], item[agreed], start[agreed]
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], int]:
         """{(row, item): least edit distance} within the distance allowed. data is raw, offsets count from its start."""
         if not self.texts or not len(data):
             return {}
         data = fold(data)
-        row, item, start = self._agreeing(data, offsets, *self.windows(data, offsets))
         out: dict[tuple[int, int], int] = {}
-        for r, i, s in zip(row.tolist(), item.tolist(), start.tolist()):
-            if out.get((r, i)) == 0:
-                continue
-            k = int(self.most[i])
-            region = data[max(offsets[r], s - k) : min(offsets[r + 1], s + int(self.size[i]) + k)].tobytes()
-            d = edit_distance_within(self.texts[i], region)
-            if d <= k and d < out.get((r, i), k + 1):
+        if self.short:
+            raw = data.tobytes()
+            for r, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                out |= {(r, n): 0 for n in self.short if raw.find(self.texts[n], a, z) >= 0}
+        row, unit, start = self._meeting(data, offsets, *self.windows(data, offsets))
+        item = self.item[unit]
+        met = sorted(set(zip(row.tolist(), item.tolist(), (start - self.offset[unit]).tolist())))
+        for (r, i), at in groupby(met, lambda x: x[:2]):
+            k, size = int(self.most[i]), int(self.size[i])
+            # Regions that overlap are compared as one.
+            regions: list[list[int]] = []
+            for _, _, s in at:
+                a, z = max(int(offsets[r]), s - 2 * k), min(int(offsets[r + 1]), s + size + 2 * k)
+                if regions and a <= regions[-1][1]:
+                    regions[-1][1] = max(z, regions[-1][1])
+                else:
+                    regions.append([a, z])
+            d = min((edit_distance_within(self.texts[i], data[a:z].tobytes()) for a, z in regions if z > a), default=size)
+            if d <= k:
                 out[r, i] = d
         return out
 
 
-def build_indexes(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", share: float = SHARE, size: int = INDEX) -> list:
-    """Broadcast indexes of at most about `size` bytes of items each, so that what one holds does not grow with the benchmark."""
+def build_indexes(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", share: float = SHARE, size: int = INDEX, min_item: int = 1) -> list[list]:
+    """Broadcast indexes of about `size` bytes of items at most each, in groups for one pass over the documents.
+
+    So what a worker holds does not grow with the benchmark; its items are read once.
+    """
     spark = bench.sparkSession
     items = pick(bench, id=id_col, text=text_col).where("text is not null and id is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = max(1, -(-int(total) // size))
     out = []
-    for s in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(slices)) == s).collect()
-        folded = sorted((r["id"], fold(np.frombuffer(r["text"].encode(), np.uint8)).tobytes()) for r in rows)
-        out.append(spark.sparkContext.broadcast(Index([(i, t) for i, t in folded if len(t) >= MIN_ITEM], share)))
-    return out
+    placed = items.withColumn("s", F.pmod(F.xxhash64("id", "text"), F.lit(slices))).orderBy("s", "id", "text")
+    for _, rows in groupby(placed.toLocalIterator(), lambda r: r["s"]):
+        folded = [(r["id"], fold(np.frombuffer(r["text"].encode(), np.uint8)).tobytes()) for r in rows]
+        folded = [(i, t) for i, t in folded if len(t) >= max(1, min_item)]
+        if folded:
+            out.append(spark.sparkContext.broadcast(Index(folded, share)))
+    return [out[k : k + AT_ONCE] for k in range(0, len(out), AT_ONCE)]
 
 
-def leaks(text: Column, indexes: list) -> Column:
-    """Array of (item_id, distance) of the items in a text; empty for null."""
+def leaks(text: Column, indexes: list, kind: T.DataType) -> Column:
+    """Array of (item_id, distance) of the items of some indexes in a text; empty for null. kind: type of the items' ids."""
+    arrow = pa.list_(pa.struct([("item_id", to_arrow_type(kind)), ("distance", pa.int32())]))
 
-    @F.arrow_udf("array<struct<item_id:bigint,distance:int>>")
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("item_id", kind), T.StructField("distance", T.IntegerType())])))
     def of(column: pa.Array) -> pa.Array:
-        data, offsets, _ = text_bytes(column)
         found: list[list] = [[] for _ in range(len(column))]
-        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-        for b in indexes:
-            for (r, i), d in sorted(b.value.search(data, offsets).items()):
-                found[r].append({"item_id": b.value.ids[i], "distance": d})
-        return pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())])))
+        for lo, _, data, offsets in texts_of(column):
+            for b in indexes:
+                for (r, i), d in sorted(b.value.search(data, offsets).items()):
+                    found[lo + r].append({"item_id": b.value.ids[i], "distance": d})
+        return pa.array(found, arrow)
 
     return of(text)
 
 
-def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, min_item: int = 1) -> DataFrame:
     """(doc_id, item_id, distance) of all items found in documents."""
-    indexes = build_indexes(bench, item_col, item_text_col, share)
-    found = pick(docs, id=id_col, text=text_col).select("id", F.explode(leaks(F.col("text"), indexes)).alias("l"))
+    kind, texts = bench.schema[item_col].dataType, pick(docs, id=id_col, text=text_col)
+    found = None
+    for indexes in build_indexes(bench, item_col, item_text_col, share, min_item=min_item) or [[]]:
+        part = texts.select("id", F.explode(leaks(F.col("text"), indexes, kind)).alias("l"))
+        found = part if found is None else found.unionAll(part)
     return found.groupBy(F.col("id").alias("doc_id"), F.col("l.item_id").alias("item_id")).agg(F.min("l.distance").alias("distance"))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", *, item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", *, item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, min_item: int = 1) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    indexes = build_indexes(bench, item_col, item_text_col, share)
-    return docs.where(F.size(leaks(F.col(f"`{text_col}`").cast("string"), indexes)) == 0)
+    kind = bench.schema[item_col].dataType
+    for n, indexes in enumerate(build_indexes(bench, item_col, item_text_col, share, min_item=min_item)):
+        docs = (cut(docs) if n else docs).where(F.size(leaks(F.col(f"`{text_col}`").cast("string"), indexes, kind)) == 0)
+    return docs
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
