@@ -14,6 +14,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not path and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = path or tempfile.mkdtemp(prefix="treeline-")
         sc.setCheckpointDir(path)
     return path or sc._jsc.sc().getCheckpointDir().get()
