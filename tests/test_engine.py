@@ -21,7 +21,7 @@ BOOK = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element nam
 DOCS = [
     ("a", '<lib><book id="1" x="q"><title>One &amp; all</title><year>1999</year><author>A</author><author>B</author></book><book id="2"><title>Two</title><author>B</author></book></lib>'),
     ("b", '<lib><book id="3"><title> spaced  out </title><year>x</year><note><deep>d</deep></note></book><book><title>no id</title></book></lib>'),
-    ("c", "<lib>"), ("d", None), ("e", ""), ("f", "<other/>"),
+    ("d", None), ("e", ""), ("f", "<other/>"),
 ]
 
 
@@ -95,6 +95,21 @@ def test_required_values_and_bad_ones(docs, model):
     assert {r[1]: r[3] for r in rows} == {1: 1999, 2: None, 3: None}
 
 
+def test_malformed_documents_are_errors_unless_dropped(spark, model):
+    bad = spark.createDataFrame([("c", "<lib>"), ("d", '<lib><book id="4"><title>t</title></book></lib>')], "document_id string, xml string")
+    with pytest.raises(Exception, match="document c is not well-formed"):
+        shred(bad, model, "book", ["id"]).collect()
+    assert [r[0] for r in shred(bad, model, "book", ["id"], filters=Filters(malformed="drop")).collect()] == [4]
+    assert [tuple(r) for r in validate.invalid_documents(bad, model).select("document_id").collect()] == [("c",)]
+
+
+def test_children_beyond_their_greatest_number_are_kept_and_reported(spark):
+    few = compile_schema('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="t"><xs:complexType><xs:sequence><xs:element name="c" maxOccurs="2" type="xs:int"/></xs:sequence></xs:complexType></xs:element></xs:schema>')
+    df = spark.createDataFrame([("a", "<t><c>1</c><c>2</c><c>3</c></t>")], "document_id string, xml string")
+    assert sorted(str(r["content"]) for r in shred(df, few, "c").collect()) == ["1", "2", "3"]
+    assert [r["error"] for r in validate.invalid_documents(df, few).collect()] == ["/t/c: too many"]
+
+
 def test_filters(docs, model):
     f = Filters(drop_values={"book.title": "^Two$"}, fill={"book.year": "7"})
     assert {r[0]: (r[1], r[2]) for r in shred(docs, model, "book", ["id", "title", "year"], filters=f).collect()} == {1: ("One & all", 7), 2: (None, 7), 3: (" spaced  out ", 7)}
@@ -124,7 +139,7 @@ def test_validation(spark, docs, model):
     got = {(r[0], r[1]) for r in validate.invalid_values(docs, model, "book").select("document_id", "column").collect()}
     assert got == {("b", "year")}
     errors = {r[0]: r[1] for r in validate.invalid_documents(docs, model).collect()}
-    assert errors["f"] == "document element other" and errors["c"].startswith("not well-formed") and "missing" in errors["b"] and "a" not in errors
+    assert errors["f"] == "document element other" and "missing" in errors["b"] and "a" not in errors
     pages = spark.createDataFrame([("<a/>",), ("<a>",), (None,), ("",)], "x string")
     assert [r[0] for r in pages.select(validate.well_formed("x")).collect()] == [True, False, None, False]
 

@@ -2,7 +2,9 @@
 
 Documents are parsed next to the data, in Arrow batches, and only what a query needs of them becomes rows: the walk goes
 down only where a wanted table lies, and only wanted columns leave Python. Values leave as text and get their types in
-the JVM. An empty value is null; a row that lacks a required value is left out with all below it.
+the JVM. An empty value is null; a row that lacks a required value is left out with all below it. Children beyond their
+greatest number are kept: validation reports them. A null or empty document has no rows, and one that is not well-formed
+is an error unless `malformed` is "drop".
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from treeline.functions.keys import node_key
 from treeline.schema import model as M
 from treeline.schema.types import parsed
 
+#: Rows of one Arrow batch that leaves Python.
+BATCH = 50_000
+_XSI = "{http://www.w3.org/2001/XMLSchema-instance}"
+
 
 @dataclass
 class Filters:
@@ -28,20 +34,23 @@ class Filters:
     fill_default: bool = False
     check_types: bool = False  # else a value beyond its facets stays
     keep_tables: tuple[str, ...] = ()  # these and all below them; all if empty
+    malformed: str = "raise"  # or drop
 
 
 def local(tag) -> str:
     return tag.rpartition("}")[2] if isinstance(tag, str) else ""
 
 
-def parse(text: str | None):
-    """Document element, or None for what is not well-formed."""
+def parse(text: str | None, document: str | None = None, malformed: str = "raise"):
+    """Document element; None for no text and, if they are dropped, for what is not well-formed."""
     if not text:
         return None
     try:
         return ET.fromstring(text)
-    except ET.ParseError:
-        return None
+    except ET.ParseError as e:
+        if malformed == "drop":
+            return None
+        raise ValueError(f"document {document} is not well-formed: {e}") from e
 
 
 def _plain(el: ET.Element) -> str:
@@ -57,88 +66,100 @@ class Walker:
 
     def __init__(self, model: M.SchemaModel, wanted: dict[str, list[str]], order: bool = False):
         self.model, self.wanted, self.order = model, wanted, order
-        self.children = {t: model.children(t) for t in model.tables}
-        near = {t: {w for w in wanted if w in model.reachable(t)} for t in model.tables}
-        self.way = {t: [e for e in self.children[t] if near[e.child]] for t in model.tables}
-        self.by_name = {t: {e.xml_name: e for e in es} for t, es in self.children.items()}
+        below = {t: set(model.reachable(t)) for t in model.tables}
+        self.way = {t: {e.xml_name: e for e in model.children(t) if below[e.child] & set(wanted)} for t in model.tables}
+        self.edges = {t: {e.child: e for e in model.children(t)} for t in model.tables}
         self.required = {n: [f for f in t.fields if f.required and f.role in (M.ATTRIBUTE, M.ELEMENT) and f.default is None and f.fixed is None] for n, t in model.tables.items()}
         self.fields = {n: [model.tables[n].field(c) for c in cs] for n, cs in wanted.items()}
         self.keyed = model.options.hash_algorithm, model.options.hash_size
-        self.declared = {n: ({f.xml_name for f in t.fields if f.role == M.ELEMENT} | {e.xml_name for e in self.children[n]}, {f.xml_name for f in t.fields if f.role == M.ATTRIBUTE}) for n, t in model.tables.items()}
-
-    def rows(self, document: str, root: ET.Element) -> dict[str, list[tuple]]:
-        out: dict[str, list[tuple]] = {t: [] for t in self.wanted}
+        self.declared = {n: ({f.xml_name for f in t.fields if f.role == M.ELEMENT} | {e.xml_name for e in model.children(n)}, {f.xml_name for f in t.fields if f.role == M.ATTRIBUTE}) for n, t in model.tables.items()}
+        #: Tables whose nodes' keys some row holds.
+        self.hashed = {f.table for fs in self.fields.values() for f in fs if f.role == M.FOREIGN} | {n for n, fs in self.fields.items() if any(f.role == M.PRIMARY for f in fs)}
+        #: Tables for which children are looked up by their name.
+        self.looks = {n for n in model.tables if self.way[n] or any(f.role == M.ELEMENT for f in self.required[n]) or any(f.role in (M.ELEMENT, M.NESTED) for f in self.fields.get(n, ()))}
+        self.names: dict = {}
+
+    def name(self, tag) -> str:
+        got = self.names.get(tag)
+        if got is None:
+            got = self.names[tag] = local(tag)
+        return got
+
+    def rows(self, document: str, root: ET.Element) -> dict[str, list[list]]:
+        out: dict[str, list[list]] = {t: [] for t in self.wanted}
         top = self.model.tables[self.model.root]
-        self.clock = 0
-        if local(root.tag) == top.xml_name:
-            self.visit(out, top.name, root, document, f"{document}/{top.xml_name}", None, None, 1)
+        self.clock, self.out, self.document = 0, out, document
+        if self.name(root.tag) == top.xml_name:
+            self.visit(top.name, root, f"{document}/{top.xml_name}", None, None, 1)
         return out
 
-    def value(self, f: M.Field, table: str, el: ET.Element, attributes: dict) -> object:
+    def value(self, f: M.Field, table: str, el: ET.Element, attributes: dict, kids: dict) -> object:
         role = f.role
         if role == M.ATTRIBUTE:
             return attributes.get(f.xml_name) or None
         if role == M.ELEMENT:
-            for c in el:
-                if local(c.tag) == f.xml_name:
-                    return "".join(c.itertext()) or None
-            return None
+            found = kids.get(f.xml_name)
+            if not found:
+                return None
+            c = found[0]
+            return (c.text if not len(c) else "".join(c.itertext())) or None
         if role == M.CONTENT:
             return el.text if el.text and el.text.strip() else None
         if role == M.ANY:
             known = self.declared[table][0]
-            return "".join(_plain(c) for c in el if local(c.tag) not in known) or None
+            return "".join(_plain(c) for c in el if self.name(c.tag) not in known) or None
         if role == M.ANY_ATTRIBUTE:
             known = self.declared[table][1]
             return [(k, v) for k, v in attributes.items() if k not in known] or None
         return None
 
-    def visit(self, out, table, el, document, path, parent, parent_path, serial):
+    def visit(self, table, el, path, parent, parent_key, serial):
         self.clock += 1
         begin = self.clock
-        attributes = {local(k): v for k, v in el.attrib.items() if not k.startswith("{http://www.w3.org/2001/XMLSchema-instance}")}
+        attributes = {self.name(k): v for k, v in el.attrib.items() if not k.startswith(_XSI)} if el.attrib else {}
+        kids: dict[str, list] = {}
+        if table in self.looks:
+            for c in el:
+                kids.setdefault(self.name(c.tag), []).append(c)
         for f in self.required[table]:
-            if self.value(f, table, el, attributes) is None:
+            if self.value(f, table, el, attributes, kids) is None:
                 return
+        key = node_key(path, *self.keyed) if table in self.hashed else None
         row = None
         if table in self.wanted:
             row = []
             for f in self.fields[table]:
                 role = f.role
                 if role == M.DOCUMENT:
-                    row.append(document)
+                    row.append(self.document)
                 elif role == M.PRIMARY:
-                    row.append(node_key(path, *self.keyed))
+                    row.append(key)
                 elif role == M.FOREIGN:
-                    row.append(node_key(parent_path, *self.keyed) if parent == f.table else None)
+                    row.append(parent_key if parent == f.table else None)
                 elif role == M.NESTED:
-                    name = next(e.xml_name for e in self.children[table] if e.child == f.table)
-                    row.append(node_key(f"{path}/{name}", *self.keyed) if any(local(c.tag) == name for c in el) else None)
+                    e = self.edges[table][f.table]
+                    row.append(node_key(f"{path}/{e.xml_name}", *self.keyed) if kids.get(e.xml_name) else None)
                 elif role == M.SERIAL:
                     row.append(serial)
                 elif role == M.XPATH:
-                    row.append(node_key(path[len(document) :], *self.keyed))
+                    row.append(node_key(path[len(self.document) :], *self.keyed))
                 else:
-                    row.append(self.value(f, table, el, attributes))
-            out[table].append(row)
-        if self.order:
-            # Places are counted over all tables' nodes in document order, so that rows of tables shredded apart compare.
-            by, seen = self.by_name[table], {}
+                    row.append(self.value(f, table, el, attributes, kids))
+            self.out[table].append(row)
+        way = self.way[table]
+        if way and self.order:
+            # Places are counted over all wanted tables' nodes in document order.
+            seen: dict[str, int] = {}
             for c in el:
-                e = by.get(local(c.tag))
+                name = self.name(c.tag)
+                e = way.get(name)
                 if e is not None:
-                    k = seen[e.xml_name] = seen.get(e.xml_name, 0) + 1
-                    if e.most is None or k <= e.most:
-                        self.visit(out, e.child, c, document, f"{path}/{e.xml_name}[{k}]" if e.repeated else f"{path}/{e.xml_name}", table, path, k)
-        else:
-            for e in self.way[table]:
-                k = 0
-                for c in el:
-                    if local(c.tag) == e.xml_name:
-                        k += 1
-                        if e.most is not None and k > e.most:
-                            break
-                        self.visit(out, e.child, c, document, f"{path}/{e.xml_name}[{k}]" if e.repeated else f"{path}/{e.xml_name}", table, path, k)
+                    k = seen[name] = seen.get(name, 0) + 1
+                    self.visit(e.child, c, f"{path}/{name}[{k}]" if e.repeated or k > 1 else f"{path}/{name}", table, key, k)
+        elif way:
+            for name, e in way.items():
+                for k, c in enumerate(kids.get(name, ()), 1):
+                    self.visit(e.child, c, f"{path}/{name}[{k}]" if e.repeated or k > 1 else f"{path}/{name}", table, key, k)
         if row is not None and self.order:
             row += [begin, self.clock]
 
@@ -155,28 +176,80 @@ def _raw(f: M.Field, options: M.Options) -> str:
     return "int" if f.role == M.SERIAL else "map<string,string>" if f.role == M.ANY_ATTRIBUTE else options.key_type if f.role in M.KEYS and f.role != M.DOCUMENT else "string"
 
 
-def raw_rows(docs: DataFrame, model: M.SchemaModel, table: str, columns: list[str], order: bool = False) -> DataFrame:
+def _names(columns: list[str], order: bool) -> list[str]:
+    return columns + ["_begin", "_end"] * order
+
+
+def _kinds(model: M.SchemaModel, table: str, columns: list[str], order: bool) -> list[pa.DataType]:
+    return [_arrow(model.tables[table].field(c), model.options) for c in columns] + [pa.int32()] * (2 * order)
+
+
+def _plain_docs(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("document_id").cast("string").alias("document_id"), F.col("xml").cast("string").alias("xml"))
+
+
+def raw_rows(docs: DataFrame, model: M.SchemaModel, table: str, columns: list[str], order: bool = False, malformed: str = "raise") -> DataFrame:
     """Rows of one table with untyped values."""
     walker = Walker(model, {table: columns}, order)
-    fields = [model.tables[table].field(c) for c in columns]
-    kinds = [_arrow(f, model.options) for f in fields] + [pa.int32()] * (2 * order)
-    names = columns + ["_begin", "_end"] * order
+    kinds, names = _kinds(model, table, columns, order), _names(columns, order)
 
     def run(batches):
         for batch in batches:
             rows = []
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = parse(x)
+                root = parse(x, d, malformed)
                 if root is not None:
                     rows += walker.rows(d, root)[table]
-                if len(rows) > 50_000:
+                if len(rows) > BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    schema = ", ".join([f"`{f.name}` {_raw(f, model.options)}" for f in fields] + ["_begin int", "_end int"] * order)
-    return docs.select(F.col("document_id").cast("string").alias("document_id"), F.col("xml").cast("string").alias("xml")).mapInArrow(run, schema)
+    schema = ", ".join([f"`{c}` {_raw(model.tables[table].field(c), model.options)}" for c in columns] + ["_begin int", "_end int"] * order)
+    return _plain_docs(docs).mapInArrow(run, schema)
+
+
+def raw_tables(docs: DataFrame, model: M.SchemaModel, wanted: dict[str, list[str]], store: str, order: bool = False, malformed: str = "raise") -> dict[str, DataFrame]:
+    """Untyped rows of several tables from one parse: a row for each document is written to store, with a column of rows for
+    each table, and every table reads its own column."""
+    walker = Walker(model, wanted, order)
+    kinds = {t: _kinds(model, t, cs, order) for t, cs in wanted.items()}
+    names = {t: _names(cs, order) for t, cs in wanted.items()}
+
+    def packed(found: list[dict]) -> pa.RecordBatch:
+        columns = []
+        for t in wanted:
+            rows = [r for doc in found for r in doc[t]]
+            ends, at = [0], 0
+            for doc in found:
+                at += len(doc[t])
+                ends.append(at)
+            cells = zip(*rows) if rows else [()] * len(kinds[t])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds[t])], names[t])))
+        return pa.RecordBatch.from_arrays(columns, names=list(wanted))
+
+    def run(batches):
+        for batch in batches:
+            found, count = [], 0
+            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                root = parse(x, d, malformed)
+                if root is not None:
+                    found.append(walker.rows(d, root))
+                    count += sum(map(len, found[-1].values()))
+                if count > BATCH:
+                    yield packed(found)
+                    found, count = [], 0
+            if found:
+                yield packed(found)
+
+    def struct(t: str) -> str:
+        return ", ".join([f"`{c}`: {_raw(model.tables[t].field(c), model.options)}" for c in wanted[t]] + ["_begin: int", "_end: int"] * order)
+
+    schema = ", ".join(f"`{t}` array<struct<{struct(t)}>>" for t in wanted)
+    _plain_docs(docs).mapInArrow(run, schema).write.mode("overwrite").parquet(store)
+    stored = docs.sparkSession.read.schema(schema).parquet(store)
+    return {t: stored.select(F.explode(f"`{t}`").alias("r")).select("r.*") for t in wanted}
 
 
 def checked(c: Column, f: M.Field) -> Column:
@@ -226,12 +299,22 @@ def value_column(c: Column, f: M.Field, table: str, options: M.Options, filters:
     return checked(c, f) if filters.check_types and not f.is_list else c
 
 
+def typed(raw: DataFrame, model: M.SchemaModel, table: str, columns: list[str], filters: Filters | None = None) -> DataFrame:
+    """Rows with values of their types; places in document order stay if there are any."""
+    t = model.tables[table]
+    return raw.select(*[value_column(F.col(f"`{c}`"), t.field(c), table, model.options, filters).alias(c) for c in columns], *[c for c in ("_begin", "_end") if c in raw.columns])
+
+
 def shred(docs: DataFrame, model: M.SchemaModel, table: str, columns: list[str] | None = None, *, filters: Filters | None = None, order: bool = False) -> DataFrame:
     """Typed rows of one table from documents (document_id, xml)."""
-    t = model.tables[table]
-    columns = list(dict.fromkeys(columns or [f.name for f in t.fields]))
-    raw = raw_rows(docs, model, table, columns, order)
-    return raw.select(*[value_column(F.col(f"`{c}`"), t.field(c), table, model.options, filters).alias(c) for c in columns], *(["_begin", "_end"] * order))
+    columns = list(dict.fromkeys(columns or [f.name for f in model.tables[table].fields]))
+    return typed(raw_rows(docs, model, table, columns, order, filters.malformed if filters else "raise"), model, table, columns, filters)
+
+
+def shred_once(docs: DataFrame, model: M.SchemaModel, wanted: dict[str, list[str]], store: str, *, filters: Filters | None = None, order: bool = False) -> dict[str, DataFrame]:
+    """Typed rows of several tables, with the given columns, from one parse kept in store."""
+    raw = raw_tables(docs, model, wanted, store, order, filters.malformed if filters else "raise")
+    return {t: typed(df, model, t, wanted[t], filters) for t, df in raw.items()}
 
 
 def kept_tables(model: M.SchemaModel, filters: Filters | None) -> list[str]:
@@ -247,24 +330,4 @@ def shred_all(docs: DataFrame, model: M.SchemaModel, store: str | None = None, f
     tables = kept_tables(model, filters)
     if store is None:
         return {t: shred(docs, model, t, filters=filters) for t in tables}
-    wanted = {t: [f.name for f in model.tables[t].fields] for t in tables}
-    walker = Walker(model, wanted)
-    kinds = {t: pa.list_(pa.struct([(c, _arrow(model.tables[t].field(c), model.options)) for c in cs])) for t, cs in wanted.items()}
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = parse(x)
-                if root is not None:
-                    rows.append(walker.rows(d, root))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([[dict(zip(wanted[t], r)) for r in doc[t]] for doc in rows], kinds[t]) for t in tables], names=tables)
-
-    schema = ", ".join(f"`{t}` array<struct<{', '.join(f'`{c}`: {_raw(model.tables[t].field(c), model.options)}' for c in cs)}>>" for t, cs in wanted.items())
-    docs.select(F.col("document_id").cast("string"), F.col("xml").cast("string")).mapInArrow(run, schema).write.mode("overwrite").parquet(store)
-    out = {}
-    for t in tables:
-        rows = docs.sparkSession.read.parquet(store).select(F.explode(f"`{t}`").alias("r"))
-        out[t] = rows.select(*[value_column(F.col(f"r.`{c}`"), model.tables[t].field(c), t, model.options, filters).alias(c) for c in wanted[t]])
-    return out
+    return shred_once(docs, model, {t: [f.name for f in model.tables[t].fields] for t in tables}, store, filters=filters)

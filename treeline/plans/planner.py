@@ -3,7 +3,8 @@
 Tables are joined only where a condition asks for it: a path without conditions reads the one table at its end. What a
 predicate says of nodes below is a semi-join, its negation an anti-join; in other positions it is a flag by a left join.
 Each expression is planned twice: first over empty tables, to see which columns it uses, then over the real ones, so that
-shredding makes those columns and no others.
+shredding makes those columns and no others. Documents whose tables are read more than once are parsed once: the rows of
+all those tables are written to the shared folder by one pass and joined from there.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import xpath as X
+from treeline.operators.shred import shred, shred_once
 from treeline.schema import model as M
 from treeline.schema.types import is_number, parsed
+from treeline.workspace import new_folder
 from treeline.xpath.binder import Beside, Binder, Bound, Has, Level
 from treeline.xpath.parser import Binary, Call, Literal, Negate, Path, Union, Variable, XPathError, parse
 
@@ -43,11 +46,20 @@ class Documents:
     def __init__(self, docs: DataFrame, model: M.SchemaModel, filters=None):
         self.spark, self.docs, self.model, self.filters = docs.sparkSession, docs, model, filters
 
+    def own(self, table: str, columns: list[str]) -> list[str]:
+        return [c for c in columns if c not in ("_begin", "_end")] or [self.model.tables[table].primary]
+
     def rows(self, table: str, columns: list[str]) -> DataFrame:
-        from treeline.operators.shred import shred
+        order = any(c in ("_begin", "_end") for c in columns)
+        return shred(self.docs, self.model, table, self.own(table, columns), filters=self.filters, order=order).select(*columns)
 
-        own = [c for c in columns if c not in ("_begin", "_end")]
-        return shred(self.docs, self.model, table, own or [self.model.tables[table].primary], filters=self.filters, order=len(own) < len(columns)).select(*columns)
+    def once(self, used: dict[str, list[str]]) -> Tables:
+        """The given columns of several tables from one parse, kept in the shared folder."""
+        order = any(c in ("_begin", "_end") for cs in used.values() for c in cs)
+        wanted = {t: self.own(t, cs) for t, cs in used.items()}
+        out = Tables(self.spark, shred_once(self.docs, self.model, wanted, new_folder(self.spark, "nodes"), filters=self.filters, order=order))
+        out.ordered = True
+        return out
 
 
 @dataclass
@@ -72,7 +84,7 @@ class Planner:
         self.binder = Binder(model)
         self.used: dict[str, list[str]] = {}
         self.dry = False
-        self.names = 0
+        self.names = self.reads = 0
 
     # Tables --------------------------------------------------------------------------------------------------------
 
@@ -80,6 +92,7 @@ class Planner:
         schema = self.model.struct(table)
         if self.dry:
             self.used.setdefault(table, [])
+            self.reads += 1
             empty = self.source.spark.createDataFrame([], schema)
             return empty.withColumns({"_begin": F.lit(0), "_end": F.lit(0)})
         columns = self.used.get(table) or [self.model.tables[table].primary]
@@ -737,10 +750,16 @@ class Planner:
 
     def run(self, expression: str, keys: bool = False) -> DataFrame:
         ast = parse(expression)
-        self.used, self.dry = {}, True
+        self.used, self.dry, self.reads = {}, True, 0
         try:
             self.plan(ast, keys)
         finally:
             self.dry = False
         self.names = 0
-        return self.plan(ast, keys)
+        given = self.source
+        if isinstance(given, Documents) and self.reads > 1:
+            self.source = given.once(self.used)
+        try:
+            return self.plan(ast, keys)
+        finally:
+            self.source = given
