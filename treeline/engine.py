@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.operators.shred import Filters, shred, shred_all
+from treeline.operators.shred import Filters, raw_tables, shred, shred_all, shred_once
 from treeline.plans.planner import Documents, Planner, Tables
 from treeline.schema.model import SchemaModel
+from treeline.workspace import new_folder
 from treeline.xpath.binder import Binder
 from treeline.xpath.parser import Path, Union, XPathError, parse
 
@@ -43,6 +44,19 @@ class Engine:
         df = self.source.tables[name]
         return df.select(*columns) if columns else df
 
+    def tables(self, wanted: dict[str, list[str]], *, text: bool = False, order: bool = False) -> tuple[dict[str, DataFrame], bool]:
+        """Rows of several tables with the given columns, from one parse of documents; and whether their values are text.
+
+        text: values as they are written, if there are documents and nothing changes them. order: with places in document
+        order, if there are documents.
+        """
+        if isinstance(self.source, Tables):
+            return {t: self.source.tables[t].select(*cs) for t, cs in wanted.items()}, False
+        docs, filters, store = self.source.docs, self.source.filters, new_folder(self.source.spark, "nodes")
+        if text and (filters is None or filters == Filters(malformed=filters.malformed)):
+            return raw_tables(docs, self.model, wanted, store, order, filters.malformed if filters else "raise"), True
+        return shred_once(docs, self.model, wanted, store, filters=filters, order=order), False
+
     def load(self, store: str | None = None) -> dict[str, DataFrame]:
         """All tables, from one parse if they are stored."""
         if isinstance(self.source, Tables):

@@ -1,11 +1,23 @@
-"""Publishing: rows of shredded tables back to XML and JSON, one aggregation for each level of nesting."""
+"""Publishing: rows of shredded tables back to XML and JSON.
+
+The rows of all tables are brought together by document, once, each already rendered but for its children, and are nested
+there from the deepest up. So recursive schemas are published to any depth, tables that only hold others cost nothing of
+their own, and no level needs a join. Children come in the order of the schema; those of a repeated group, and siblings,
+in document order as far as the rows have it. A document is one value, so that documents must fit in a task; corpora need
+not. From documents, XML has values as they were written; from typed tables as XML Schema writes them, times of a zone
+as the same moment in UTC.
+"""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from treeline.functions.text import xml_escape
 from treeline.schema import model as M
@@ -31,8 +43,10 @@ class JsonStyle:
 
 def lexical(c: Column, f: M.Field) -> Column:
     """Text of a typed value as XML Schema writes it."""
-    if f.xs_type in ("dateTime", "dateTimeStamp") and not f.is_list:
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    if f.xs_type == "dateTime" and not f.is_list:
+        return F.replace(c.cast("string"), F.lit(" "), F.lit("T"))
+    if f.xs_type == "dateTimeStamp" and not f.is_list:
+        return F.concat(F.replace(F.to_utc_timestamp(c, F.current_timezone()).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
     if f.xs_type == "hexBinary":
         return F.hex(c)
     if f.xs_type == "base64Binary":
@@ -53,23 +67,67 @@ def _order(model: M.SchemaModel, table: str) -> Column:
     return F.col("serial_id") if model.tables[table].field("serial_id") else F.col(model.tables[table].primary)
 
 
-def _member(name: str):
-    return lambda x: x[name]
-
-
-def _with_children(engine, table: str, rows: DataFrame, made: dict[str, Column], build, seen: tuple[str, ...]) -> DataFrame:
-    """rows with a column for each child table: its built values in order, by one aggregation and one join each."""
+def _together(engine, table: str, rendered, text: bool) -> tuple[DataFrame, list[str]]:
+    """(document_id, nodes): all rows at and below a table, as structs (t, id, up, o, own) of the table's number, the keys of
+    the row and its parent, its place among siblings and what `rendered` makes of it; and the tables by number."""
     model = engine.model
-    for e in model.children(table):
-        if seen.count(e.child) >= 2:
-            continue
-        child = build(e.child, (*seen, e.child))
-        name, key = f"__c_{e.child}", f"__k_{e.child}"
-        limit = F.slice(F.array_sort(F.collect_list(F.struct("__order", "__value"))), 1, e.most) if e.most is not None else F.array_sort(F.collect_list(F.struct("__order", "__value")))
-        per = child.where(F.col(f"__p_{table}").isNotNull()).groupBy(F.col(f"__p_{table}").alias(key)).agg(F.transform(limit, lambda x: x["__value"]).alias(name))
-        rows = rows.join(per, F.col(model.tables[table].primary) == F.col(key), "left").drop(key)
-        made[e.child] = F.col(name)
-    return rows
+    names = model.reachable(table)
+    rows, is_text = engine.tables({n: _needed(model, n) for n in names}, text=text, order=True)
+    out = None
+    for k, n in enumerate(names):
+        df = rows[n]
+        ups = [F.col(e.column) for e in model.parents(n)]
+        order = F.col("_begin") if "_begin" in df.columns else F.col("serial_id") if model.tables[n].field("serial_id") else F.lit(0)
+        node = F.struct(F.lit(k).alias("t"), F.col(model.tables[n].primary).alias("id"), (F.coalesce(*ups) if ups else F.lit(None).cast(model.options.key_type)).alias("up"), order.cast("int").alias("o"), rendered(model.tables[n], is_text).alias("own"))
+        part = df.select("document_id", node.alias("node"))
+        out = part if out is None else out.unionAll(part)
+    return out.groupBy("document_id").agg(F.collect_list("node").alias("nodes")), names
+
+
+def _nested(model: M.SchemaModel, names: list[str], made, top) -> object:
+    """Arrow UDF from nodes to (key, value) of the first table's rows. made: row's table, own part and children's (edge, value)
+    lists to the row's value; top: that value to text."""
+    edges = {(e.parent, e.child): (e.place, k, e) for k, e in enumerate(model.edges)}
+    place = {(a, b): edges.get((names[a], names[b])) for a in range(len(names)) for b in range(len(names))}
+    key = T._parse_datatype_string(model.options.key_type)
+    arrow = pa.list_(pa.struct([("key", to_arrow_type(key)), ("value", pa.string())]))
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("key", key), T.StructField("value", T.StringType())])))
+    def of(column: pa.Array) -> pa.Array:
+        out = []
+        for nodes in column:
+            v = nodes.values
+            t, id_, up, o, own = (v.field(k).to_pylist() for k in range(5))
+            at = {x: k for k, x in enumerate(id_)}
+            below: dict[int, list[int]] = {}
+            roots = []
+            for k, x in enumerate(up):
+                if x in at and x is not None:
+                    below.setdefault(at[x], []).append(k)
+                else:
+                    roots.append(k)
+            # Parents before children; values are made from the end.
+            order = list(roots)
+            for k in order:
+                order += below.get(k, ())
+            value: dict[int, object] = {}
+            found = []
+            for k in reversed(order):
+                kids = sorted(below.get(k, ()), key=lambda c: (place[t[k], t[c]][0], o[c], place[t[k], t[c]][1], t[c]))
+                value[k] = made(t[k], own[k], [(place[t[k], t[c]][2], t[c], value.pop(c) if t[c] else value[c]) for c in kids])
+                if t[k] == 0:
+                    found.append({"key": id_[k], "value": top(value[k])})
+            out.append(found[::-1])
+        return pa.array(out, arrow)
+
+    return of
+
+
+def _published(engine, table: str, subset: DataFrame | None, nodes: DataFrame, nest) -> DataFrame:
+    out = nodes.select("document_id", F.explode(nest(F.col("nodes"))).alias("x")).select("document_id", "x.key", "x.value")
+    if subset is not None:
+        out = out.join(subset.select(F.col(subset.columns[0]).alias("__want")).distinct(), F.col("key") == F.col("__want"), "left_semi")
+    return out
 
 
 def to_xml(engine, table: str | None = None, subset: DataFrame | None = None, style: XmlStyle | None = None) -> DataFrame:
@@ -77,45 +135,43 @@ def to_xml(engine, table: str | None = None, subset: DataFrame | None = None, st
     model, style = engine.model, style or XmlStyle()
     table = table or model.root
 
-    def text_of(t: M.Table, made: dict[str, Column], top: bool) -> Column:
-        open_, body = [F.lit(f"<{t.xml_name}")], []
-        if top and style.namespace and model.namespace:
-            open_.append(F.lit(f' xmlns="{model.namespace}"'))
-        if top and (style.schema_location or style.nil and any(f.nillable for x in model.tables.values() for f in x.fields)):
-            open_.append(F.lit(' xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'))
-            if style.schema_location:
-                open_.append(F.lit(f' xsi:schemaLocation="{model.namespace} {style.schema_location}"'))
+    def rendered(t: M.Table, is_text: bool) -> Column:
+        """Attributes, and the elements and text of the row itself by their place in the content."""
+        attributes, body = [F.lit("")], []
+        written = (lambda c, f: c) if is_text else lexical
         for f in t.fields:
             c = F.col(f"`{f.name}`")
             if f.role == M.ATTRIBUTE:
-                open_.append(F.when(c.isNotNull(), F.concat(F.lit(f' {f.xml_name}="'), xml_escape(lexical(c, f)), F.lit('"'))).otherwise(""))
+                attributes.append(F.when(c.isNotNull(), F.concat(F.lit(f' {f.xml_name}="'), xml_escape(written(c, f)), F.lit('"'))).otherwise(""))
             elif f.role == M.ANY_ATTRIBUTE:
                 pairs = F.array_sort(F.map_entries(c))
-                open_.append(F.coalesce(F.array_join(F.transform(pairs, lambda p: F.concat(F.lit(" "), p["key"], F.lit('="'), xml_escape(p["value"]), F.lit('"'))), ""), F.lit("")))
+                attributes.append(F.coalesce(F.array_join(F.transform(pairs, lambda p: F.concat(F.lit(" "), p["key"], F.lit('="'), xml_escape(p["value"]), F.lit('"'))), ""), F.lit("")))
             elif f.role == M.CONTENT:
-                body.append(F.coalesce(xml_escape(lexical(c, f)), F.lit("")))
+                body.append((-1, xml_escape(written(c, f))))
             elif f.role == M.ELEMENT:
-                empty = F.lit(f'<{f.xml_name} xsi:nil="true"/>' if f.nillable and style.nil else f"<{f.xml_name}/>" if style.keep_empty else "")
-                body.append(F.when(c.isNotNull(), F.concat(F.lit(f"<{f.xml_name}>"), xml_escape(lexical(c, f)), F.lit(f"</{f.xml_name}>"))).otherwise(empty))
+                empty = F.lit(f'<{f.xml_name} xsi:nil="true"/>' if f.nillable and style.nil else f"<{f.xml_name}/>" if style.keep_empty else None)
+                body.append((f.place, F.when(c.isNotNull(), F.concat(F.lit(f"<{f.xml_name}>"), xml_escape(written(c, f)), F.lit(f"</{f.xml_name}>"))).otherwise(empty)))
             elif f.role == M.ANY:
-                body.append(F.coalesce(c, F.lit("")))
-        for c in made.values():
-            body.append(F.coalesce(F.array_join(c, ""), F.lit("")))
-        inside = F.concat(*body) if body else F.lit("")
-        return F.concat(*open_, F.when(inside == "", F.lit("/>")).otherwise(F.concat(F.lit(">"), inside, F.lit(f"</{t.xml_name}>"))))
-
-    def build(name: str, seen: tuple[str, ...], top: bool = False) -> DataFrame:
-        t = model.tables[name]
-        rows = engine.table(name, _needed(model, name))
-        if top and subset is not None:
-            rows = rows.join(subset.select(F.col(subset.columns[0]).alias("__want")).distinct(), F.col(t.primary) == F.col("__want"), "left_semi")
-        made: dict[str, Column] = {}
-        rows = _with_children(engine, name, rows, made, build, seen)
-        return rows.select("document_id", F.col(t.primary).alias("__id"), _order(model, name).alias("__order"), *[F.col(e.column).alias(f"__p_{e.parent}") for e in model.parents(name)], text_of(t, made, top).alias("__value"))
-
-    out = build(table, (table,), True)
-    xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), F.col("__value")) if style.declaration else F.col("__value")
-    return out.select("document_id", F.col("__id").alias("key"), xml.alias("xml"))
+                body.append((f.place, c))
+        parts = F.array(*[F.struct(F.lit(k).alias("place"), x.cast("string").alias("text")) for k, x in sorted(body, key=lambda x: x[0])]) if body else F.array().cast("array<struct<place:int,text:string>>")
+        return F.struct(F.concat(*attributes).alias("attributes"), F.filter(parts, lambda x: x["text"].isNotNull()).alias("parts"))
+
+    nodes, names = _together(engine, table, rendered, True)
+    tags = [model.tables[n].xml_name for n in names]
+    head = f' xmlns="{model.namespace}"' if style.namespace and model.namespace else ""
+    if style.schema_location or style.nil and any(f.nillable for x in model.tables.values() for f in x.fields):
+        head += ' xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
+        if style.schema_location:
+            head += f' xsi:schemaLocation="{model.namespace} {style.schema_location}"'
+    begin = '<?xml version="1.0" encoding="UTF-8"?>\n' if style.declaration else ""
+
+    def made(t: int, own: dict, kids: list) -> tuple[str, str]:
+        """What precedes and what follows the place of namespace declarations."""
+        parts = [(p["place"], p["text"]) for p in own["parts"]]
+        inside = "".join(x for _, x in sorted(parts + [(e.place, "".join(v)) for e, _, v in kids], key=lambda x: x[0]))
+        return f"<{tags[t]}", own["attributes"] + (f">{inside}</{tags[t]}>" if inside else "/>")
+
+    return _published(engine, table, subset, nodes, _nested(model, names, made, lambda v: f"{begin}{v[0]}{head}{v[1]}")).withColumnRenamed("value", "xml")
 
 
 def to_json(engine, table: str | None = None, dialect: str = "object", subset: DataFrame | None = None, style: JsonStyle | None = None) -> DataFrame:
@@ -128,42 +184,56 @@ def to_json(engine, table: str | None = None, dialect: str = "object", subset: D
     model, style = engine.model, style or JsonStyle()
     table = table or model.root
 
-    def names(t: M.Table) -> list[tuple[M.Field, str]]:
-        return [(f, style.attribute_prefix + f.xml_name if f.role == M.ATTRIBUTE else style.content_name if f.role == M.CONTENT else f.xml_name if f.role == M.ELEMENT else f.name) for f in t.content]
-
-    def build(name: str, seen: tuple[str, ...], top: bool = False) -> DataFrame:
-        t = model.tables[name]
-        rows = engine.table(name, _needed(model, name))
-        if top and subset is not None:
-            rows = rows.join(subset.select(F.col(subset.columns[0]).alias("__want")).distinct(), F.col(t.primary) == F.col("__want"), "left_semi")
-        made: dict[str, Column] = {}
-        rows = _with_children(engine, name, rows, made, build, seen)
-        parts = [F.col(f"`{f.name}`").alias(n) for f, n in names(t)]
-        for child, c in made.items():
-            e = next(e for e in model.children(name) if e.child == child)
-            ct = model.tables[child]
-            if dialect == "column":
-                kind = rows.schema[f"__c_{child}"].dataType.elementType.fieldNames()
-                v = F.when(c.isNotNull(), F.struct(*[F.transform(c, _member(n)).alias(n) for n in kind])) if kind else F.size(c)
+    def label(f: M.Field) -> str:
+        return style.attribute_prefix + f.xml_name if f.role == M.ATTRIBUTE else style.content_name if f.role == M.CONTENT else f.xml_name if f.role == M.ELEMENT else f.name
+
+    def rendered(t: M.Table, is_text: bool) -> Column:
+        """JSON of each value of the row itself."""
+        cells = []
+        for f in t.content:
+            whole = F.to_json(F.struct(F.col(f"`{f.name}`").alias("v")), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"})
+            cells.append(F.when(F.col(f"`{f.name}`").isNotNull(), F.substr(whole, F.lit(6), F.length(whole) - 6)))
+        return F.array(*cells) if cells else F.array().cast("array<string>")
+
+    nodes, names = _together(engine, table, rendered, False)
+    labels = [[label(f) for f in model.tables[n].content] for n in names]
+    below = [[(e, names.index(e.child)) for e in sorted(model.children(n), key=lambda e: e.place)] for n in names]
+
+    def members(t: int) -> list[str]:
+        return labels[t] + [model.tables[names[c]].xml_name for _, c in below[t]]
+
+    def written(pairs) -> str:
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{'null' if v is None else v}" for k, v in pairs if v is not None or style.nulls) + "}"
+
+    def made(t: int, own: list, kids: list) -> dict:
+        out = dict(zip(labels[t], own))
+        for e, c in below[t]:
+            values = [v for _, k, v in kids if k == c]
+            if not values:
+                v = None
+            elif dialect == "column":
+                v = "{" + ",".join(f"{json.dumps(m, ensure_ascii=False)}:[{','.join('null' if x.get(m) is None else x[m] for x in values)}]" for m in dict.fromkeys(members(c))) + "}"
+            elif e.repeated or style.arrays_always or len(values) > 1:
+                v = f"[{','.join(written(x.items()) for x in values)}]"
             else:
-                v = c if e.repeated or style.arrays_always else F.get(c, F.lit(0))
-            parts.append(v.alias(ct.xml_name))
-        value = F.struct(*parts) if parts else F.struct(F.lit(None).cast("string").alias("_"))
-        return rows.select("document_id", F.col(t.primary).alias("__id"), _order(model, name).alias("__order"), *[F.col(e.column).alias(f"__p_{e.parent}") for e in model.parents(name)], value.alias("__value"))
+                v = written(values[0].items())
+            out[model.tables[names[c]].xml_name] = v
+        return out
 
-    out = build(table, (table,), True)
-    value = F.struct(F.col("__value").alias(model.tables[table].xml_name))
-    if style.document_id:
-        value = F.struct(F.col("document_id"), F.col("__value").alias(model.tables[table].xml_name))
-    return out.select("document_id", F.col("__id").alias("key"), F.to_json(value, {"ignoreNullFields": str(not style.nulls).lower(), "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("json"))
+    name = json.dumps(model.tables[table].xml_name, ensure_ascii=False)
+    nest = _nested(model, names, made, lambda v: f"{name}:{written(v.items())}")
+    front = F.concat(F.lit('{"document_id":'), F.regexp_replace(F.to_json(F.struct(F.col("document_id").alias("v"))), r'^\{"v":(.*)\}$', "$1"), F.lit(",")) if style.document_id else F.lit("{")
+    return _published(engine, table, subset, nodes, nest).select("document_id", "key", F.concat(front, F.col("value"), F.lit("}")).alias("json"))
 
 
 def relational_json(engine, tables: list[str] | None = None) -> DataFrame:
     """(document_id, json): for each document one object with an array of rows for each table."""
     model = engine.model
     parts = None
-    for name in tables or model.reachable(model.root):
-        rows = engine.table(name)
+    tables = tables or model.reachable(model.root)
+    found, _ = engine.tables({n: [f.name for f in model.tables[n].fields] for n in tables})
+    for name in tables:
+        rows = found[name]
         cells = [c for c in rows.columns if c != "document_id"]
         per = rows.select("document_id", F.struct(_order(model, name).alias("o"), F.to_json(F.struct(*[f"`{c}`" for c in cells])).alias("j")).alias("x"))
         per = per.groupBy("document_id").agg(F.concat(F.lit(f'"{model.tables[name].xml_name}":['), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["j"]), ","), F.lit("]")).alias("j"))

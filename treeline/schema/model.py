@@ -51,6 +51,8 @@ class Field:
     members: list[str] = field(default_factory=list)
     table: str = ""
     doc: str = ""
+    #: Where an element stands among the others of its content model; all of a repeated group stand at one place.
+    place: int = 0
 
     def type(self, options: Options) -> str:
         if self.role == SERIAL:
@@ -74,6 +76,7 @@ class Edge:
     least: int = 1
     most: int | None = 1
     column: str = ""
+    place: int = 0
 
     @property
     def repeated(self) -> bool:
@@ -169,14 +172,18 @@ class SchemaModel:
             "virtual": t.kind.startswith("admin"), "relational": bridge or t.kind.startswith("admin") or not t.content,
         }
 
-    def paths(self, most: int = 16) -> dict[str, list[str]]:
+    def recursive(self) -> set[str]:
+        """Tables that lie below themselves."""
+        return {t for t in self.tables if any(t in self.reachable(e.child) for e in self.children(t))}
+
+    def paths(self) -> dict[str, list[str]]:
         """Absolute paths of each table; recursion is followed once."""
         out: dict[str, list[str]] = {}
 
         def walk(table: str, path: str, seen: tuple[str, ...]):
             out.setdefault(table, []).append(path)
             for e in self.children(table):
-                if seen.count(e.child) < 2 and len(seen) < most:
+                if seen.count(e.child) < 2:
                     walk(e.child, f"{path}/{e.xml_name}", (*seen, e.child))
 
         walk(self.root, f"/{self.tables[self.root].xml_name}", (self.root,))

@@ -18,8 +18,6 @@ from treeline.schema.types import BUILTIN, LISTS, common_type
 
 XS = "{http://www.w3.org/2001/XMLSchema}"
 FACETS = ("length", "minLength", "maxLength", "pattern", "minInclusive", "maxInclusive", "minExclusive", "maxExclusive", "totalDigits", "fractionDigits", "whiteSpace", "explicitTimezone")
-LABEL = 63
-
 
 class SchemaError(ValueError):
     pass
@@ -51,6 +49,7 @@ class Compiler:
         self.referred: set[str] = set()
         self.substitutes: dict[str, list[str]] = {}
         self.messages: list[str] = []
+        self.turn, self.group_place = 0, None
 
     # Sources -------------------------------------------------------------------------------------------------------
 
@@ -132,7 +131,7 @@ class Compiler:
     @staticmethod
     def restricted(base: dict, node: ET.Element) -> dict:
         out = {**base, "facets": dict(base["facets"])}
-        enums = [x.get("value", "")[:LABEL] for x in node.findall(f"{XS}enumeration")]
+        enums = [x.get("value", "") for x in node.findall(f"{XS}enumeration")]
         if enums:
             out["enums"] = list(dict.fromkeys(enums))
         patterns = [x.get("value", "") for x in node.findall(f"{XS}pattern")]
@@ -198,9 +197,15 @@ class Compiler:
         out.enumerations = {f"enum_{t.name}_{f.name}": f.enums for t in self.tables.values() for f in t.fields if f.enums}
         return out
 
+    def place(self) -> int:
+        """The next place in a content model, or that of the repeated group around it."""
+        self.turn += 1
+        return self.turn if self.group_place is None else self.group_place
+
     def table(self, node: ET.Element, parent: str | None, least: int, most: int | None) -> str:
         """Table of an element declaration below parent; made, shared or merged."""
-        name = node.get("name")
+        name, place = node.get("name"), self.place()
+        around, self.group_place = self.group_place, None
         cx, type_name = self.complex_of(node)
         identity = id(cx) if cx is not None else ("simple", node.get("type"), id(node) if node.get("type") is None else 0)
         have = self.by_xml.get(name)
@@ -218,10 +223,11 @@ class Compiler:
                 self.fill(t, node, cx)
                 for f in t.fields:
                     f.required = False
+        self.group_place = around
         if parent is not None:
             old = next((e for e in self.edges if e.parent == parent and e.child == t.name and e.xml_name == name), None)
             if old is None:
-                self.edges.append(M.Edge(parent, t.name, name, least, most))
+                self.edges.append(M.Edge(parent, t.name, name, least, most, place=place))
             else:
                 old.least, old.most = min(old.least, least), None
         for kind in ("key", "unique", "keyref"):
@@ -251,7 +257,7 @@ class Compiler:
                 return
         taken = {f.name.lower() for f in t.fields}
         t.fields.append(
-            M.Field(M.column_name(name, taken, self.options.case_sensitive), role, kind["xs_type"], xml_name, kind["facets"], kind["enums"], required and not t.collided, node.get("nillable") == "true", node.get("default"), node.get("fixed"), kind["is_list"], kind["members"], doc=_doc(node))
+            M.Field(M.column_name(name, taken, self.options.case_sensitive), role, kind["xs_type"], xml_name, kind["facets"], kind["enums"], required and not t.collided, node.get("nillable") == "true", node.get("default"), node.get("fixed"), kind["is_list"], kind["members"], doc=_doc(node), place=self.place())
         )
 
     def complex(self, t: M.Table, cx: ET.Element, seen: set[int]) -> None:
@@ -296,19 +302,27 @@ class Compiler:
         own = None if b == "unbounded" else int(b)
         return (0 if choice else least * a), (None if most is None or own is None else most * own)
 
+    def grouped(self, t: M.Table, at: ET.Element, node: ET.Element, least: int, most: int | None, seen: set[int], choice: bool) -> None:
+        """Particles of a group; those of a repeated one may come in any order."""
+        around = self.group_place
+        if around is None and at.get("maxOccurs", "1") not in ("0", "1"):
+            self.group_place = self.place()
+        self.particles(t, node, least, most, seen, choice)
+        self.group_place = around
+
     def particles(self, t: M.Table, node: ET.Element, least: int, most: int | None, seen: set[int], choice: bool = False) -> None:
         for x in node:
             kind = _local(x.tag)
             if kind in ("sequence", "choice", "all"):
                 a, b = self.occurs(x, least, most, choice)
-                self.particles(t, x, a, b, seen, choice or kind == "choice")
+                self.grouped(t, x, x, a, b, seen, choice or kind == "choice")
             elif kind == "group":
                 a, b = self.occurs(x, least, most, choice)
                 group = self.kinds["group"].get(_local(x.get("ref")))
                 if group is None:
                     raise SchemaError(f"unknown group {x.get('ref')}")
                 if id(group) not in seen:
-                    self.particles(t, group, a, b, seen | {id(group)}, choice)
+                    self.grouped(t, x, group, a, b, seen | {id(group)}, choice)
             elif kind == "element":
                 a, b = self.occurs(x, least, most, choice)
                 self.element(t, x, a, b)
