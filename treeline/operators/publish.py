@@ -47,6 +47,8 @@ def lexical(c: Column, f: M.Field) -> Column:
         return F.replace(c.cast("string"), F.lit(" "), F.lit("T"))
     if f.xs_type == "dateTimeStamp" and not f.is_list:
         return F.concat(F.replace(F.to_utc_timestamp(c, F.current_timezone()).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+    if f.xs_type == "decimal" and "fractionDigits" not in f.facets and not f.is_list:
+        return F.regexp_replace(c.cast("string"), r"(?:\.0+|(\.\d*[1-9])0+)$", "$1")
     if f.xs_type == "hexBinary":
         return F.hex(c)
     if f.xs_type == "base64Binary":

@@ -112,6 +112,10 @@ class Planner:
         return self.col(table, self.model.tables[table].primary)
 
     def foreign(self, level: Level) -> Column:
+        """Key of the parent; a node at any depth may have parents of several tables."""
+        if level.deep:
+            ups = [self.col(level.table, e.column) for e in self.model.parents(level.table)]
+            return F.coalesce(*ups)
         e = next(e for e in self.model.edges if e.parent == level.edge.parent and e.child == level.table)
         return self.col(level.table, e.column)
 
@@ -131,7 +135,11 @@ class Planner:
         last = levels[-1]
         df = self.rows(last.table)
         above = levels[:-1]
-        if above:
+        if last.deep:
+            # All rows lie below the document element.
+            if above and (len(above) > 1 or above[0].deep or above[0].conditions or above[0].table == last.table):
+                df = self.inside(df, last.table, above)
+        elif above:
             if any(x.conditions for x in above) or any(len(self.model.parents(x.table)) > 1 for x in above):
                 k = self.new("k")
                 up = self.frame(above).select(self.primary(above[-1].table).alias(k))
@@ -141,6 +149,33 @@ class Planner:
                 df = df.where(self.foreign(last).isNotNull())
         return self.restricted(df, levels)
 
+    def places(self, table: str) -> tuple[Column, Column]:
+        if not self.source.ordered:
+            raise XPathError("a search at any depth of a recursive schema needs tables with document order")
+        return self.col(table, "_begin"), self.col(table, "_end")
+
+    def inside(self, df: DataFrame, table: str, above: tuple[Level, ...]) -> DataFrame:
+        """Rows of df that lie somewhere below rows that the chain above leads to.
+
+        Spans of nodes hold each other or are apart. So a row is below one of them if the furthest end of those that begin
+        before it is not before its own end: one running maximum over each document, and no pairs.
+        """
+        begin, end = self.places(table)
+        top = above[-1].table
+        doc, pos, reach = self.new("d"), self.new("b"), self.new("e")
+        spans = self.frame(above).select(self.document(top).alias(doc), self.places(top)[0].alias(pos), self.places(top)[1].alias(reach))
+        mine = df.withColumns({doc: self.document(table), pos: begin})
+        w = Window.partitionBy(doc).orderBy(pos).rangeBetween(Window.unboundedPreceding, -1)
+        far = mine.unionByName(spans, allowMissingColumns=True).withColumn(reach + "m", F.max(reach).over(w))
+        return far.where(F.col(reach).isNull() & (F.col(reach + "m") >= end)).drop(doc, pos, reach, reach + "m")
+
+    def deeper(self, df: DataFrame, table: str, up: DataFrame, top: str, key: str) -> DataFrame:
+        """Rows of df with the key in up of each row that they lie below."""
+        begin, end = self.places(table)
+        doc, b, e = self.new("d"), self.new("b"), self.new("e")
+        spans = up.select(self.document(top).alias(doc), self.places(top)[0].alias(b), self.places(top)[1].alias(e), key)
+        return df.join(spans, (self.document(table) == F.col(doc)) & (F.col(b) < begin) & (end <= F.col(e))).drop(doc, b, e)
+
     def restricted(self, df: DataFrame, levels: tuple[Level, ...]) -> DataFrame:
         for k, c in enumerate(levels[-1].conditions):
             df = self.condition(Context(df, levels, first=k == 0), c)
@@ -177,8 +212,18 @@ class Planner:
         bare = tuple(replace(x, conditions=()) for x in levels)
         if not rest:
             return self.rows(levels[-1].table).withColumn(key, self.primary(levels[-1].table))
-        df = self.restricted(self.rows(rest[0].table), (*bare, rest[0])).withColumn(key, self.foreign(rest[0]))
+        df = self.restricted(self.rows(rest[0].table), (*bare, rest[0]))
+        if not levels:
+            df = df.withColumn(key, self.document(rest[0].table))
+        elif rest[0].deep:
+            top = levels[-1].table
+            df = self.deeper(df, rest[0].table, self.rows(top).withColumn(key, self.primary(top)), top, key)
+        else:
+            df = df.withColumn(key, self.foreign(rest[0]))
         for k in range(1, len(rest)):
+            if rest[k].deep:
+                df = self.deeper(self.restricted(self.rows(rest[k].table), (*bare, *rest[: k + 1])), rest[k].table, df, rest[k - 1].table, key)
+                continue
             p = self.new("p")
             up = df.select(self.primary(rest[k - 1].table).alias(p), key)
             df = self.restricted(self.rows(rest[k].table), (*bare, *rest[: k + 1])).join(up, self.foreign(rest[k]) == F.col(p)).drop(p)
@@ -191,7 +236,7 @@ class Planner:
     def common(ctx: Context, b: Bound) -> int:
         """How many levels of b are the nodes that the context's row lies in."""
         k = 0
-        while k < min(len(ctx.levels), len(b.levels)) and (ctx.levels[k].table, ctx.levels[k].name) == (b.levels[k].table, b.levels[k].name):
+        while k < min(len(ctx.levels), len(b.levels)) and (ctx.levels[k].table, ctx.levels[k].name, ctx.levels[k].deep) == (b.levels[k].table, b.levels[k].name, b.levels[k].deep):
             if any(isinstance(c, Beside) and c not in ctx.levels[k].conditions for c in b.levels[k].conditions):
                 break
             k += 1
@@ -400,7 +445,8 @@ class Planner:
 
     def raw(self, n: Nodes, c: Column) -> tuple:
         """Kind of a node-set's value: that of its columns if they agree."""
-        kinds = {b.field.xs_type if b.field is not None and not b.inner and not b.field.is_list else "string" for b in n.bounds}
+        own = [next(iter(self.model.tables[b.table].of_role(M.CONTENT)), None) if b.field is None and b.levels else b.field for b in n.bounds]
+        kinds = {f.xs_type if f is not None and not b.inner and not f.is_list else "string" for b, f in zip(n.bounds, own)}
         return ("typed", c, kinds.pop() if len(kinds) == 1 else "string")
 
     @staticmethod
@@ -685,6 +731,28 @@ class Planner:
         name = b.field.name if not b.inner else b.inner.rpartition("/")[2].lstrip("@") or b.field.name
         return ctx.df.select(*front, (c.cast("string") if b.text else c).alias(name)).where(F.col(f"`{name}`").isNotNull())
 
+    @staticmethod
+    def overlapping(bounds: list[Bound]) -> list[list[Bound]]:
+        """Bounds that may lead to the same nodes go together: those of one column where a node is met at any depth."""
+        groups: dict[tuple, list[Bound]] = {}
+        for k, b in enumerate(bounds):
+            deep = any(x.deep for y in bounds for x in y.levels if y.levels and b.levels and y.table == b.table)
+            own = (b.table, b.field.name if b.field else None, b.text, b.inner) if deep else k
+            groups.setdefault(own, []).append(b)
+        return list(groups.values())
+
+    def once(self, group: list[Bound], keys: bool) -> DataFrame:
+        """Nodes of several bounds, each once."""
+        if len(group) == 1:
+            return self.selected(group[0], keys)
+        table = self.model.tables[group[0].table]
+        out = None
+        for b in group:
+            part = self.selected(b, True)
+            out = part if out is None else out.unionAll(part)
+        out = out.dropDuplicates(["document_id", table.primary])
+        return out if keys or group[0].field is None else out.drop("document_id", table.primary)
+
     def plan(self, ast, keys: bool = False) -> DataFrame:
         if isinstance(ast, (Path, Union)):
             bounds = self.nodes(None, ast).bounds
@@ -694,11 +762,15 @@ class Planner:
             bounds = list(unique.values())
             if len(bounds) == 1:
                 return self.selected(bounds[0], keys)
+            groups = self.overlapping(bounds)
+            if len(groups) == 1:
+                return self.once(groups[0], keys)
             # Several paths: values side by side under the name of the path that gave them.
             parts, fits = [], []
-            for b in bounds:
+            for group in groups:
+                b = group[0]
                 try:
-                    parts.append(self.selected(b, keys))
+                    parts.append(self.once(group, keys))
                     fits.append(b)
                 except XPathError as e:
                     # A constant that is none of this column's type: among several columns it just does not match.
@@ -717,10 +789,14 @@ class Planner:
             return out
         if isinstance(ast, Call) and ast.name in ("count", "sum") and len(ast.args) == 1 and isinstance(ast.args[0], (Path, Union)):
             parts = []
-            for b in self.nodes(None, ast.args[0]).bounds:
-                df = self.frame(b.levels)
-                what = self.column(b) if b.field is not None else self.primary(b.table)
-                parts.append(df.select(self.document(b.table).alias("document_id"), (what.cast("string") if ast.name == "count" else what).alias("v")))
+            for group in self.overlapping(self.nodes(None, ast.args[0]).bounds):
+                one = None
+                for b in group:
+                    df = self.frame(b.levels)
+                    what = self.column(b) if b.field is not None else self.primary(b.table)
+                    part = df.select(self.document(b.table).alias("document_id"), (what.cast("string") if ast.name == "count" else what).alias("v"), *([self.primary(b.table).alias("k")] if len(group) > 1 else []))
+                    one = part if one is None else one.unionAll(part)
+                parts.append(one.dropDuplicates(["document_id", "k"]).drop("k") if len(group) > 1 else one)
             all_ = parts[0]
             for p in parts[1:]:
                 all_ = all_.unionAll(p)
