@@ -1,8 +1,9 @@
 """Removal of boilerplate lines, which are lines that many distinct sites have.
 
-Each line's sites are gathered in a HyperLogLog sketch by the line's hash; sketches merge by aggregation. A line whose
-estimate is far from the threshold is decided by it. Lines near it get an exact count of distinct sites. Lines at or
-above the threshold are removed from all texts.
+A line of fewer rows than the threshold has fewer sites, so that a count of rows by the line's hash leaves out nearly all
+lines before anything is sketched. The sites of the others are gathered in a HyperLogLog sketch for each hash; sketches
+merge by aggregation. A line whose estimate is far from the threshold is decided by it. Lines near it get an exact count
+of distinct sites. Lines at or above the threshold are removed from all texts.
 
 A line is the text between newlines; lines of white space only are never boilerplate and always stay. A null site counts
 as no site. A null text stays null, an empty one stays empty, and a text may become empty. Lines are known by 128 bits of
@@ -23,6 +24,8 @@ MIN_SITES = 8
 LG_REGISTERS = 12
 #: Lines within this share of the threshold are counted exactly: six standard errors.
 MARGIN = 0.1
+#: Places of lines that are kept together.
+PLACES = 1024
 
 
 def _lines(text: Column) -> Column:
@@ -37,11 +40,13 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MAR
     """(h): hashes of the boilerplate lines of docs (site, text)."""
     lines = docs.where("text is not null and site is not null").select("site", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line"))
     seen = lines.where(F.trim(F.translate("line", "\t\r\f\v", "    ")) != "").select(_hash(F.col("line")).alias("h"), "site")
-    spread = seen.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_REGISTERS)).alias("sketch"))
+    often = seen.groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_sites).select("h")
+    some = cut(seen.join(often, "h", "left_semi"))
     low, high = min_sites * (1 - margin) - 1, min_sites * (1 + margin) + 1
+    spread = some.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_REGISTERS)).alias("sketch"))
     about = cut(spread.select("h", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= low))
     near = about.where(F.col("sites").between(low, high)).select("h")
-    exact = seen.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = some.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     return about.where(F.col("sites") > high).select("h").unionAll(exact.select("h"))
 
 
@@ -52,15 +57,18 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     texts = docs.select("id", "text", F.xxhash64("text").alias("th"))
     # Only hashes and places of lines meet the boilerplate; texts move once, to meet the places to remove.
     places = texts.where("text is not null").select("id", "th", F.posexplode(F.transform(_lines(F.col("text")), _hash)).alias("at", "h"))
-    gone = places.join(bad, "h").groupBy("id", "th").agg(F.collect_set("at").alias("gone")).toDF("gid", "gth", "gone")
+    gone = places.join(bad, "h").groupBy("id", "th").agg(F.collect_set("at").alias("gone"))
+    # Places are kept by thousands, so that a text of very many lines looks through few of them for each.
+    by = F.transform(F.sequence(F.lit(0), F.floor(F.array_max("gone") / PLACES).cast("int")), lambda b: F.filter("gone", lambda p: F.floor(p / PLACES) == b))
+    gone = gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), F.size("gone").alias("n_gone"), by.alias("gone"))
     met = texts.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
     all_lines = _lines(F.col("text"))
-    kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.coalesce(F.array_contains(F.get("gone", F.floor(i / PLACES).cast("int")), i), F.lit(False))), "\n")
     return met.select(
         F.col("id").alias("doc_id"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.when(F.col("text").isNotNull(), F.size(all_lines)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(F.col("n_gone"), F.lit(0)).cast("bigint").alias("n_removed"),
     )
 
 
