@@ -4,6 +4,8 @@ import json
 
 import pytest
 
+from treeline.engine import Engine
+from treeline.operators import publish, validate
 from treeline.schema import ddl, jsonschema
 from treeline.schema.model import SchemaModel
 from treeline.schema.types import common_type, spark_type
@@ -139,3 +141,56 @@ def test_json_schemas():
     new = jsonschema.json_schema(strict)["$defs"]["r"]["properties"]["@k"]
     assert old["maximum"] == 9 and old["exclusiveMaximum"] is True and old["enum"] == ["7"]
     assert new["exclusiveMaximum"] == 9 and new["const"] == "7"
+
+
+SHOP = f"""<xs:schema {XS}><xs:complexType name="money"><xs:simpleContent><xs:extension base="xs:decimal"><xs:attribute name="cur" type="xs:string" use="required"/></xs:extension></xs:simpleContent></xs:complexType>
+<xs:element name="shop"><xs:complexType><xs:sequence><xs:element name="price" type="money"/><xs:element name="old" type="money" minOccurs="0" maxOccurs="2"/><xs:element name="note" type="xs:string" minOccurs="0"/></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+def test_single_simple_content_inline(spark):
+    docs = spark.createDataFrame([("1", '<shop><price cur="EUR">1.50</price><old cur="DM">3</old><note>n</note></shop>'), ("2", '<shop><price cur="USD">2</price></shop>')], "document_id string, xml string")
+    m = compile_schema(SHOP, inline_simple=True)
+    assert set(m.tables) == {"shop", "old"} and [f.name for f in m.tables["shop"].content] == ["price", "price_cur", "note"]
+    e = Engine.of_documents(docs, m)
+    assert sorted(r[0] for r in e.xpath("/shop/price/@cur").collect()) == ["EUR", "USD"]
+    assert [r[0] for r in e.xpath("/shop[price/@cur='EUR']/note").collect()] == ["n"]
+    assert [float(r[0]) for r in e.xpath("/shop[price > 1.7]/price").collect()] == [2.0]
+    assert {r["document_id"]: r["xml"] for r in publish.to_xml(e).collect()} == {r[0]: r[1] for r in docs.collect()}
+
+
+CONTENT = f"""<xs:schema {XS}><xs:element name="t"><xs:complexType><xs:sequence><xs:element name="a" type="xs:string"/><xs:choice minOccurs="0" maxOccurs="3"><xs:element name="b" type="xs:int"/><xs:element name="c" type="xs:int" maxOccurs="2"/></xs:choice><xs:element name="u"><xs:complexType><xs:all><xs:element name="x" type="xs:int"/><xs:element name="y" type="xs:int" minOccurs="0"/></xs:all></xs:complexType></xs:element><xs:any minOccurs="0" maxOccurs="unbounded"/></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+@pytest.mark.parametrize(
+    "xml,error",
+    [
+        ("<t><a/><u><x/></u></t>", None),
+        ("<t><a/><b>1</b><c>1</c><c>2</c><b/><u><y/><x/></u><z/><z/></t>", None),
+        ("<t><a/><u><x/><y/></u></t>", None),
+        ("<t><u><x/></u><a/></t>", "/t: order of children"),
+        ("<t><a/><b/><b/><b/><b/><u><x/></u></t>", "/t/b: too many"),
+        ("<t><a/><u><y/></u></t>", "/t/u/x: missing"),
+        ("<t><a/><b/></t>", "/t/u: missing"),
+    ],
+)
+def test_order_of_children(xml, error):
+    got = validate.structural_errors(compile_schema(CONTENT), xml)
+    assert (error in got) if error else not got
+
+
+def test_redefined_and_overridden_types(tmp_path):
+    (tmp_path / "base.xsd").write_text(f'<xs:schema {XS}><xs:complexType name="p"><xs:sequence><xs:element name="a" type="xs:string"/></xs:sequence></xs:complexType><xs:simpleType name="s"><xs:restriction base="xs:string"/></xs:simpleType></xs:schema>')
+    body = '<xs:element name="r" type="p"/>'
+    (tmp_path / "re.xsd").write_text(f'<xs:schema {XS}><xs:redefine schemaLocation="base.xsd"><xs:complexType name="p"><xs:complexContent><xs:extension base="p"><xs:sequence><xs:element name="b" type="s"/></xs:sequence></xs:extension></xs:complexContent></xs:complexType></xs:redefine>{body}</xs:schema>')
+    (tmp_path / "ov.xsd").write_text(f'<xs:schema {XS}><xs:override schemaLocation="base.xsd"><xs:complexType name="p"><xs:sequence><xs:element name="z" type="s"/></xs:sequence></xs:complexType></xs:override>{body}</xs:schema>')
+    assert [f.name for f in compile_schema(str(tmp_path / "re.xsd")).tables["r"].content] == ["a", "b"]
+    assert [f.name for f in compile_schema(str(tmp_path / "ov.xsd")).tables["r"].content] == ["z"]
+
+
+def test_blocked_substitution():
+    def schema(block):
+        return f"""<xs:schema {XS}><xs:complexType name="b" {block}><xs:sequence/></xs:complexType><xs:complexType name="d"><xs:complexContent><xs:extension base="b"><xs:attribute name="k" type="xs:int"/></xs:extension></xs:complexContent></xs:complexType>
+        <xs:element name="h" type="b"/><xs:element name="m" type="d" substitutionGroup="h"/><xs:element name="r"><xs:complexType><xs:sequence><xs:element ref="h"/></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+    assert set(compile_schema(schema(""), root="r").tables) == {"r", "h", "m"}
+    assert set(compile_schema(schema('block="extension"'), root="r").tables) == {"r", "h"}

@@ -151,8 +151,9 @@ def to_xml(engine, table: str | None = None, subset: DataFrame | None = None, st
             elif f.role == M.CONTENT:
                 body.append((-1, xml_escape(written(c, f))))
             elif f.role == M.ELEMENT:
+                inline = [F.when(F.col(f"`{g.name}`").isNotNull(), F.concat(F.lit(f' {g.xml_name.partition("/@")[2]}="'), xml_escape(written(F.col(f"`{g.name}`"), g)), F.lit('"'))).otherwise("") for g in t.of_role(M.INLINE) if g.xml_name.partition("/@")[0] == f.xml_name]
                 empty = F.lit(f'<{f.xml_name} xsi:nil="true"/>' if f.nillable and style.nil else f"<{f.xml_name}/>" if style.keep_empty else None)
-                body.append((f.place, F.when(c.isNotNull(), F.concat(F.lit(f"<{f.xml_name}>"), xml_escape(written(c, f)), F.lit(f"</{f.xml_name}>"))).otherwise(empty)))
+                body.append((f.place, F.when(c.isNotNull(), F.concat(F.lit(f"<{f.xml_name}"), *inline, F.lit(">"), xml_escape(written(c, f)), F.lit(f"</{f.xml_name}>"))).otherwise(empty)))
             elif f.role == M.ANY:
                 body.append((f.place, c))
         parts = F.array(*[F.struct(F.lit(k).alias("place"), x.cast("string").alias("text")) for k, x in sorted(body, key=lambda x: x[0])]) if body else F.array().cast("array<struct<place:int,text:string>>")
@@ -187,7 +188,7 @@ def to_json(engine, table: str | None = None, dialect: str = "object", subset: D
     table = table or model.root
 
     def label(f: M.Field) -> str:
-        return style.attribute_prefix + f.xml_name if f.role == M.ATTRIBUTE else style.content_name if f.role == M.CONTENT else f.xml_name if f.role == M.ELEMENT else f.name
+        return style.attribute_prefix + f.xml_name if f.role == M.ATTRIBUTE else style.content_name if f.role == M.CONTENT else f.xml_name if f.role == M.ELEMENT else f.xml_name.replace("/", "") if f.role == M.INLINE else f.name
 
     def rendered(t: M.Table, is_text: bool) -> Column:
         """JSON of each value of the row itself."""

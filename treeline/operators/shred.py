@@ -76,7 +76,7 @@ class Walker:
         #: Tables whose nodes' keys some row holds.
         self.hashed = {f.table for fs in self.fields.values() for f in fs if f.role == M.FOREIGN} | {n for n, fs in self.fields.items() if any(f.role == M.PRIMARY for f in fs)}
         #: Tables for which children are looked up by their name.
-        self.looks = {n for n in model.tables if self.way[n] or any(f.role == M.ELEMENT for f in self.required[n]) or any(f.role in (M.ELEMENT, M.NESTED) for f in self.fields.get(n, ()))}
+        self.looks = {n for n in model.tables if self.way[n] or any(f.role == M.ELEMENT for f in self.required[n]) or any(f.role in (M.ELEMENT, M.NESTED, M.INLINE) for f in self.fields.get(n, ()))}
         self.names: dict = {}
 
     def name(self, tag) -> str:
@@ -103,6 +103,10 @@ class Walker:
                 return None
             c = found[0]
             return (c.text if not len(c) else "".join(c.itertext())) or None
+        if role == M.INLINE:
+            name, _, attribute = f.xml_name.partition("/@")
+            found = kids.get(name)
+            return next((v or None for k, v in found[0].attrib.items() if self.name(k) == attribute), None) if found else None
         if role == M.CONTENT:
             return el.text if el.text and el.text.strip() else None
         if role == M.ANY:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
@@ -74,8 +75,47 @@ def orphans(rows: DataFrame, columns: list[str], referred: DataFrame, to: list[s
     return rows.where(F.expr(" and ".join(f"`{c}` is not null" for c in columns))).join(keys, on, "left_anti")
 
 
+_patterns: dict[int, tuple] = {}
+
+
+def _pattern(t: M.Table):
+    """The compiled content model of a table, or None where it has none."""
+    if t.model is None:
+        return None
+    got = _patterns.get(id(t))
+    if got is None or got[0] is not t:
+        if len(_patterns) > 10_000:
+            _patterns.clear()
+        got = _patterns[id(t)] = (t, re.compile(content_pattern(t.model)))
+    return got[1]
+
+
+def content_pattern(part: list) -> str:
+    """A content model as a regular expression over the names of children, each followed by a space."""
+    kind, least, most, inner = part
+    if kind == "el":
+        one = "|".join(re.escape(n) + " " for n in inner) if inner else "(?!)"
+    elif kind == "any":
+        one = "[^ ]+ "
+    elif kind == "choice":
+        one = "|".join(content_pattern(p) for p in inner)
+    elif kind == "all":
+        # In any order: each at its number, by looking ahead for each, and nothing else.
+        names = [n for p in inner for n in (p[3] if p[0] == "el" else ())]
+        own = "|".join(re.escape(n) + " " for n in names) or "(?!)"
+        ahead = "".join(f"(?=(?:(?!{'|'.join(re.escape(n) + ' ' for n in p[3])})[^ ]+ )*(?:(?:{'|'.join(re.escape(n) + ' ' for n in p[3])})(?:(?!{'|'.join(re.escape(n) + ' ' for n in p[3])})[^ ]+ )*){_times(p[1], p[2])}$)" for p in inner if p[0] == "el" and p[3])
+        one = f"{ahead}(?:{own})*"
+    else:
+        one = "".join(content_pattern(p) for p in inner)
+    return f"(?:{one}){_times(least, most)}" if (least, most) != (1, 1) or "|" in one else one
+
+
+def _times(least: int, most: int | None) -> str:
+    return f"{{{least},{'' if most is None else most}}}"
+
+
 def structural_errors(model: M.SchemaModel, text: str) -> list[str]:
-    """What a document has that the model does not allow: unknown, missing or too many nodes."""
+    """What a document has that the model does not allow: unknown, missing or too many nodes, or children in another order."""
     try:
         root = ET.fromstring(text)
     except ET.ParseError as e:
@@ -113,6 +153,9 @@ def structural_errors(model: M.SchemaModel, text: str) -> list[str]:
                 out.append(f"{path}/{n}: missing")
             if e.most is not None and count.get(n, 0) > e.most:
                 out.append(f"{path}/{n}: too many")
+        pattern = _pattern(t)
+        if pattern is not None and not any(x.startswith(f"{path}/") and x.count("/") == path.count("/") + 1 for x in out) and not pattern.fullmatch("".join(f"{local(c.tag)} " for c in el)):
+            out.append(f"{path}: order of children")
         if M.CONTENT not in roles and ((el.text or "").strip() or any((c.tail or "").strip() for c in el)):
             out.append(f"{path}: text")
 
@@ -130,6 +173,16 @@ def invalid_documents(docs: DataFrame, model: M.SchemaModel) -> DataFrame:
     return docs.select("document_id", F.explode(errors(F.col("xml"))).alias("error"))
 
 
+def valid_documents(docs: DataFrame, model: M.SchemaModel) -> DataFrame:
+    """The rows of docs (document_id, xml, ...) that have no structural error; null documents have none."""
+
+    @F.arrow_udf("boolean")
+    def right(xml: pa.Array) -> pa.Array:
+        return pa.array([x is None or not structural_errors(model, x) for x in xml.to_pylist()], pa.bool_())
+
+    return docs.where(right(F.col("xml")))
+
+
 def schema_differences(df: DataFrame, model: M.SchemaModel, table: str, strict: bool = False) -> list[str]:
     """Columns of the model that a table lacks; strict: other types or another order as well."""
     have, want = {f.name: f for f in df.schema}, model.struct(table)

@@ -13,6 +13,8 @@ from treeline.schema.types import spark_type
 
 ELEMENT, ATTRIBUTE, CONTENT, ANY, ANY_ATTRIBUTE = "element", "attribute", "simple_content", "any", "any_attribute"
 PRIMARY, FOREIGN, NESTED, DOCUMENT, SERIAL, XPATH = "primary_key", "foreign_key", "nested_key", "document_key", "serial_key", "xpath_key"
+#: An attribute of a child element that is a column here with it: xml_name is element/@attribute.
+INLINE = "inline_attribute"
 KEYS = frozenset((PRIMARY, FOREIGN, NESTED, DOCUMENT, SERIAL, XPATH))
 
 
@@ -29,6 +31,7 @@ class Options:
     case_sensitive: bool = True
     integer: str = "int"
     decimal: str = "big"
+    inline_simple: bool = False  # single children of simple content are columns, not tables
 
     @property
     def key_type(self) -> str:
@@ -94,6 +97,8 @@ class Table:
     doc: str = ""
     collided: bool = False
     mixed: bool = False
+    #: Content model: [kind, least, most, parts] of seq, choice, all; [el, least, most, names]; [any, least, most, namespaces].
+    model: list | None = None
 
     def field(self, name: str) -> Field | None:
         return next((f for f in self.fields if f.name == name), None)

@@ -9,6 +9,7 @@ An element name with several types becomes one table with the columns of all, no
 
 from __future__ import annotations
 
+import dataclasses
 import os
 import re
 import xml.etree.ElementTree as ET
@@ -85,6 +86,11 @@ class Compiler:
             kind = _local(node.tag)
             if kind in ("include", "import", "redefine", "override") and node.get("schemaLocation"):
                 where = os.path.join(base, node.get("schemaLocation"))
+                if kind in ("redefine", "override"):
+                    # What they hold comes before what they load, and so instead of it.
+                    for own in node:
+                        if _local(own.tag) in self.kinds and own.get("name"):
+                            self.replaced(own, kind, where)
                 if os.path.exists(where):
                     self.load(where)
                 else:
@@ -99,6 +105,23 @@ class Compiler:
                 if x.tag == f"{XS}element" and x.get("ref"):
                     self.referred.add(_local(x.get("ref")))
 
+    def replaced(self, own: ET.Element, kind: str, where: str) -> None:
+        """A declaration of xs:redefine or xs:override; a redefined type that is built on itself is built on what it was."""
+        name = own.get("name")
+        if kind == "redefine" and os.path.exists(where):
+            before = next((x for x in ET.parse(where).getroot() if x.tag == own.tag and x.get("name") == name), None)
+            if before is not None:
+                old = f"{name}..redefined"
+                while old in self.kinds[_local(own.tag)]:
+                    old += "."
+                for x in own.iter():
+                    for key in ("base", "ref"):
+                        if _local(x.get(key)) == name and x is not own:
+                            x.set(key, old)
+                before.set("name", old)
+                self.kinds[_local(own.tag)][old] = before
+        self.kinds[_local(own.tag)].setdefault(name, own)
+
     # Simple types --------------------------------------------------------------------------------------------------
 
     def simple(self, name: str | None, node: ET.Element | None, depth: int = 0) -> dict:
@@ -240,7 +263,9 @@ class Compiler:
             self.add(t, M.CONTENT, "content", "", self.simple(node.get("type"), node.find(f"{XS}simpleType")), required=False, node=node)
             return
         t.mixed = t.mixed or cx.get("mixed") == "true"
-        self.complex(t, cx, set())
+        parts = self.complex(t, cx, set())
+        # A table of several types has no one content model.
+        t.model = None if t.collided else ["seq", 1, 1, parts]
         if t.mixed:
             self.add(t, M.CONTENT, "content", "", self.simple("string", None), False, cx)
 
@@ -260,31 +285,32 @@ class Compiler:
             M.Field(M.column_name(name, taken, self.options.case_sensitive), role, kind["xs_type"], xml_name, kind["facets"], kind["enums"], required and not t.collided, node.get("nillable") == "true", node.get("default"), node.get("fixed"), kind["is_list"], kind["members"], doc=_doc(node), place=self.place())
         )
 
-    def complex(self, t: M.Table, cx: ET.Element, seen: set[int]) -> None:
+    def complex(self, t: M.Table, cx: ET.Element, seen: set[int]) -> list:
+        """Fills t from a complex type; returns the parts of its content model."""
         if id(cx) in seen:
-            return
-        seen = seen | {id(cx)}
+            return []
+        seen, parts = seen | {id(cx)}, []
         for child in cx:
             kind = _local(child.tag)
             if kind == "simpleContent":
                 self.add(t, M.CONTENT, "content", "", self.content_type(cx), False, child)
                 for how in child:
-                    self.inherited(t, how, seen)
-                    self.particles(t, how, 1, 1, seen)
+                    parts += self.inherited(t, how, seen)
+                    parts += self.particles(t, how, 1, 1, seen)
             elif kind == "complexContent":
                 t.mixed = t.mixed or child.get("mixed") == "true"
                 for how in child:
                     # A restriction repeats what it keeps; only attributes are inherited without being repeated.
-                    self.inherited(t, how, seen, _local(how.tag) == "extension")
-                    self.particles(t, how, 1, 1, seen)
-        self.particles(t, cx, 1, 1, seen)
+                    parts += self.inherited(t, how, seen, _local(how.tag) == "extension")
+                    parts += self.particles(t, how, 1, 1, seen)
+        return parts + self.particles(t, cx, 1, 1, seen)
 
-    def inherited(self, t: M.Table, how: ET.Element, seen: set[int], elements: bool = True) -> None:
+    def inherited(self, t: M.Table, how: ET.Element, seen: set[int], elements: bool = True) -> list:
         base = self.kinds["complexType"].get(_local(how.get("base")))
         if base is None:
-            return
+            return []
         if elements:
-            self.complex(t, base, seen)
+            return self.complex(t, base, seen)
         else:
             before = M.Table(t.name, t.xml_name)
             edges = list(self.edges)
@@ -294,6 +320,7 @@ class Compiler:
             probe.complex(before, base, seen)
             self.edges[:] = edges
             t.fields += [f for f in before.fields if f.role == M.ATTRIBUTE and not any(g.role == M.ATTRIBUTE and g.xml_name == f.xml_name for g in t.fields)]
+        return []
 
     @staticmethod
     def occurs(node: ET.Element, least: int, most: int | None, choice: bool) -> tuple[int, int | None]:
@@ -302,32 +329,43 @@ class Compiler:
         own = None if b == "unbounded" else int(b)
         return (0 if choice else least * a), (None if most is None or own is None else most * own)
 
-    def grouped(self, t: M.Table, at: ET.Element, node: ET.Element, least: int, most: int | None, seen: set[int], choice: bool) -> None:
+    def grouped(self, t: M.Table, at: ET.Element, node: ET.Element, least: int, most: int | None, seen: set[int], choice: bool) -> list:
         """Particles of a group; those of a repeated one may come in any order."""
         around = self.group_place
         if around is None and at.get("maxOccurs", "1") not in ("0", "1"):
             self.group_place = self.place()
-        self.particles(t, node, least, most, seen, choice)
+        parts = self.particles(t, node, least, most, seen, choice)
         self.group_place = around
+        return parts
+
+    @staticmethod
+    def own_occurs(node: ET.Element) -> tuple[int, int | None]:
+        most = node.get("maxOccurs", "1")
+        return int(node.get("minOccurs", 1)), None if most == "unbounded" else int(most)
 
-    def particles(self, t: M.Table, node: ET.Element, least: int, most: int | None, seen: set[int], choice: bool = False) -> None:
+    def particles(self, t: M.Table, node: ET.Element, least: int, most: int | None, seen: set[int], choice: bool = False) -> list:
+        """Adds what a node declares to t; returns the parts of the content model."""
+        parts = []
         for x in node:
             kind = _local(x.tag)
             if kind in ("sequence", "choice", "all"):
                 a, b = self.occurs(x, least, most, choice)
-                self.grouped(t, x, x, a, b, seen, choice or kind == "choice")
+                inner = self.grouped(t, x, x, a, b, seen, choice or kind == "choice")
+                parts.append([{"sequence": "seq"}.get(kind, kind), *self.own_occurs(x), inner])
             elif kind == "group":
                 a, b = self.occurs(x, least, most, choice)
                 group = self.kinds["group"].get(_local(x.get("ref")))
                 if group is None:
                     raise SchemaError(f"unknown group {x.get('ref')}")
                 if id(group) not in seen:
-                    self.grouped(t, x, group, a, b, seen | {id(group)}, choice)
+                    inner = self.grouped(t, x, group, a, b, seen | {id(group)}, choice)
+                    parts.append(["seq", *self.own_occurs(x), inner])
             elif kind == "element":
                 a, b = self.occurs(x, least, most, choice)
-                self.element(t, x, a, b)
+                parts.append(["el", *self.own_occurs(x), self.element(t, x, a, b)])
             elif kind == "any":
                 self.add(t, M.ANY, "any_element", "*", self.simple("string", None), False, x)
+                parts.append(["any", *self.own_occurs(x), x.get("namespace", "##any")])
             elif kind == "attribute":
                 self.attribute(t, x)
             elif kind == "attributeGroup":
@@ -335,13 +373,25 @@ class Compiler:
                 if group is None:
                     raise SchemaError(f"unknown attribute group {x.get('ref')}")
                 if id(group) not in seen:
-                    self.particles(t, group, 1, 1, seen | {id(group)})
+                    parts += self.particles(t, group, 1, 1, seen | {id(group)})
             elif kind == "anyAttribute":
                 self.add(t, M.ANY_ATTRIBUTE, "any_attribute", "*", self.simple("string", None), False, x)
-
-    def element(self, t: M.Table, x: ET.Element, least: int, most: int | None) -> None:
+        return parts
+
+    def blocked(self, head: ET.Element, other: ET.Element) -> bool:
+        """Whether a member of a substitution group may not stand for its head: by block of the head or its type, or by final."""
+        cx, _ = self.complex_of(head)
+        block = f"{head.get('block') or ''} {cx.get('block') or '' if cx is not None else ''} {head.get('final') or ''}"
+        mine, _ = self.complex_of(other)
+        how = ""
+        if mine is not None and mine is not cx:
+            how = "extension" if mine.find(f".//{XS}extension") is not None else "restriction"
+        return "#all" in block or "substitution" in block or bool(how) and how in block
+
+    def element(self, t: M.Table, x: ET.Element, least: int, most: int | None) -> list[str]:
+        """Adds an element to t; returns the names that may stand at its place."""
         if most == 0:
-            return
+            return []
         if x.get("ref"):
             name = _local(x.get("ref"))
             target = self.kinds["element"].get(name)
@@ -352,18 +402,30 @@ class Compiler:
                 n = todo.pop(0)
                 if n not in options:
                     options.append(n)
-                    if "substitution" not in (self.kinds["element"][n].get("block") or "") and "#all" not in (self.kinds["element"][n].get("block") or ""):
-                        todo += self.substitutes.get(n, [])
+                    todo += [m for m in self.substitutes.get(n, []) if not self.blocked(self.kinds["element"][n], self.kinds["element"][m])]
             options = [n for n in options if self.kinds["element"][n].get("abstract") != "true"]
+            around = self.group_place
+            if around is None and len(options) > 1:
+                self.group_place = self.place()
             for n in options:
                 self.element(t, self.kinds["element"][n], least if len(options) == 1 else 0, most)
-            return
+            self.group_place = around
+            return options
         cx, _ = self.complex_of(x)
-        if cx is not None or most is None or most > 1:
+        inline = self.options.inline_simple and cx is not None and cx.find(f"{XS}simpleContent") is not None and most == 1
+        if not inline and (cx is not None or most is None or most > 1):
             self.table(x, t.name, least, most)
-            return
-        kind = self.simple(x.get("type"), x.find(f"{XS}simpleType"))
-        self.add(t, M.ELEMENT, x.get("name"), x.get("name"), kind, least > 0 and x.get("nillable") != "true", x)
+            return [x.get("name")]
+        name = x.get("name")
+        kind = self.content_type(cx) if inline else self.simple(x.get("type"), x.find(f"{XS}simpleType"))
+        self.add(t, M.ELEMENT, name, name, kind, least > 0 and x.get("nillable") != "true", x)
+        if inline:
+            # Its attributes are columns beside it.
+            own = M.Table(name, name)
+            self.complex(own, cx, set())
+            for f in own.of_role(M.ATTRIBUTE):
+                t.fields.append(dataclasses.replace(f, name=M.column_name(f"{name}_{f.name}", {g.name.lower() for g in t.fields}, self.options.case_sensitive), role=M.INLINE, xml_name=f"{name}/@{f.xml_name}", required=False))
+        return [name]
 
     def attribute(self, t: M.Table, x: ET.Element) -> None:
         use = x.get("use", "optional")
