@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in runs of about this many bytes, so that temporary arrays stay in cache.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Bits of an n-gram hash; the row number within a block takes the rest of a 64-bit sort key.
 GRAM_BITS = 53
 GRAM_MASK = np.uint64((1 << GRAM_BITS) - 1)
@@ -50,18 +50,23 @@ def blocks(offsets: np.ndarray, size: int = BLOCK, rows: int = MAX_ROWS):
 
 def powers(n: int) -> tuple[np.ndarray, ...]:
     """The first n powers of the hash base and of its inverse, modulo 2**64, then those of the point modulo the prime."""
-    if len(_powers["p"]) < n:
-        m = 1 << (n - 1).bit_length()
+    kept = _powers
+    if len(kept["p"]) < n:
+        m, made = max(n, BLOCK + 2), {}
         for k, b in (("p", _BASE), ("i", _INV)):
             x = np.full(m, b, _U)
             x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
+            made[k] = np.multiply.accumulate(x)
         for k, b in (("q", _POINT), ("j", pow(_POINT, -1, _PRIME))):
             x = np.ones(1, _U)
             while len(x) < m:
-                x = np.concatenate([x, x * _U(pow(b, len(x), _PRIME)) % _U(_PRIME)])
-            _powers[k] = x
-    return tuple(_powers[k][:n] for k in "piqj")
+                x = np.concatenate([x, x[: m - len(x)] * _U(pow(b, len(x), _PRIME)) % _U(_PRIME)])
+            made[k] = x
+        # Tables for a single very long word are not kept.
+        if m <= 4 * BLOCK:
+            kept.update(made)
+        kept = made
+    return tuple(kept[k][:n] for k in "piqj")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,7 +79,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end] for many spans, from differences of running sums."""
+    """Hashes of data[start:end] for many spans in order, from differences of running sums."""
+    if len(data) > 2 * BLOCK and len(start) > 1:
+        # A hash does not depend on where its span lies, so that long data are worked on in parts.
+        at = np.unique(np.append(np.searchsorted(start, np.arange(0, len(data), BLOCK)), len(start)))
+        return np.concatenate([span_hashes(data[start[a] : end[z - 1]], start[a:z] - start[a], end[a:z] - start[a]) for a, z in zip(at, at[1:])])
     p, inverse, q, back = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, _U)
     value = data.astype(_U) + _U(1)

@@ -51,7 +51,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(data):
         return out
     c = _CLASS[data].astype(np.int64)
-    pair = np.append(c[:-1] * CLASSES + c[1:], c[-1] * CLASSES)
+    following = np.append(c[1:], 0)
+    following[offsets[1:][size > 0] - 1] = 0
+    pair = c * CLASSES + following
     row = np.repeat(np.arange(rows), size)
     out[:, : CLASSES * CLASSES] = np.bincount(row * (CLASSES * CLASSES) + pair, minlength=rows * CLASSES * CLASSES).reshape(rows, -1)
     out[:, : CLASSES * CLASSES] = np.sqrt(out[:, : CLASSES * CLASSES] / np.maximum(size, 1)[:, None])
@@ -103,6 +105,27 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(least, 0.05, 0.98))
 
 
+def risk(g: np.ndarray, pos: np.ndarray, prior: float) -> tuple[float, float]:
+    """The non-negative risk of scores g, positives where pos, and its second part before it is kept from being negative.
+
+    Sigmoid loss: l(g) = s(-g) for a positive, s(g) for a negative.
+    """
+    s = _sigmoid(g)
+    negative = s[~pos].mean() - prior * s[pos].mean()
+    return prior * (1 - s[pos]).mean() + max(0.0, negative), negative
+
+
+def slopes(g: np.ndarray, pos: np.ndarray, prior: float) -> np.ndarray:
+    """Derivative of the risk by each score; where the second part is negative, that of its negative alone."""
+    s = _sigmoid(g)
+    slope = s * (1 - s)
+    p, u = int(pos.sum()), int((~pos).sum())
+    down = np.where(pos, -prior * slope / p, slope / u)
+    if s[~pos].mean() - prior * s[pos].mean() < 0:
+        return -down
+    return down - np.where(pos, prior * slope / p, 0)
+
+
 class Model:
     """A network of one hidden layer; fit by Adam on mini-batches."""
 
@@ -136,22 +159,12 @@ class Model:
                 x = np.concatenate([p[a], u[b]])
                 hid = np.tanh(x @ w[0] + w[1])
                 g = hid @ w[2] + w[3]
-                s = _sigmoid(g)
-                slope = s * (1 - s)
                 pos = np.arange(len(x)) < len(a)
-                # Sigmoid loss: l(g) = s(-g) for a positive, s(g) for a negative.
-                grad = np.zeros(len(x))
                 if plain:
-                    grad[pos], grad[~pos] = -slope[pos] / len(a), slope[~pos] / len(b)
+                    s = _sigmoid(g)
+                    grad = np.where(pos, -s * (1 - s) / len(a), s * (1 - s) / len(b))
                 else:
-                    negative = s[~pos].mean() - prior * s[pos].mean()
-                    down = np.zeros(len(x))
-                    down[~pos], down[pos] = slope[~pos] / len(b), -prior * slope[pos] / len(a)
-                    if negative >= 0:
-                        grad = down
-                        grad[pos] -= prior * slope[pos] / len(a)
-                    else:
-                        grad = -down
+                    grad = slopes(g, pos, prior)
                 back = np.outer(grad, w[2]) * (1 - hid**2)
                 gs = [x.T @ back + 1e-4 * w[0], back.sum(0), hid.T @ grad + 1e-4 * w[2], np.array([grad.sum()])]
                 t += 1

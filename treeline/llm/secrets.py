@@ -3,12 +3,16 @@
 A candidate is a run of letters, digits, '-', '_', '+' and '/' (and '=' at its end) of at least MIN_LENGTH characters
 with a digit, with a capital within, or with a known prefix of keys; and, of any length and characters, the quoted or
 unbroken value that a key word (password, token, secret ...) is given. A run within a value that is found is not reported
-beside it. The forest reads its length, its transitions between classes of characters and
-between letters, how much of it a dictionary covers, the path the text came from and the words next to it.
+beside it. The forest reads its length, its transitions between classes of characters and how likely its letters follow
+each other in words, how much of it a dictionary covers, and what the path it came from, the words next to it and its own
+first signs say: each such word, piece of a path and beginning counts for or against a secret as far as the labelled
+findings have it more among secrets or among the others. The dictionary is the words of a public tokenizer's vocabulary,
+or those of a table of one's own.
 
 labelled_findings() makes the findings that the forest is trained on when no table of them is given: keys, tokens and
 passwords in their usual surroundings, against numbers, identifiers, digests, paths and long words. A table of one's own
-has the columns of FINDING and is read up to SAMPLE rows, chosen by hash.
+has the columns of FINDING and is read up to SAMPLE rows, chosen by hash. A forest of no findings removes nothing: every
+candidate is reported with score 1.
 
 A null text has no candidates. A null path is the empty path. A text's candidates are all reported, also repeated ones,
 with their place; repeated rows of a document are reported again. The secret itself is not in the result, only its hash.
@@ -17,6 +21,7 @@ Null ids are reported as null. Further columns are not read. An empty table give
 
 from __future__ import annotations
 
+import base64
 import random
 import re
 import string
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm._spark import pick, table
 from treeline.llm._text import blocks, text_bytes
+from treeline.llm._vocabulary import rank_file
 
 MIN_LENGTH = 12
 #: Bytes before and after a candidate that its neighbouring words are taken from.
@@ -38,6 +44,7 @@ KEEP = 0.5
 TREES, DEPTH = 40, 10
 FINDING = ("candidate", "before", "after", "path", "secret")
 
+#: Words that labelled_findings() makes names and values of.
 WORDS = frozenset(
     "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so "
     "what up its about into than them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through "
@@ -47,8 +54,6 @@ WORDS = frozenset(
 )
 KEYS = ("password", "passwd", "pwd", "secret", "token", "api", "apikey", "key", "auth", "bearer", "credential", "private", "access", "aws", "login")
 PLAIN = ("commit", "sha", "md5", "checksum", "digest", "uuid", "id", "version", "isbn", "order", "phone", "card", "revision", "http", "https", "image", "hash", "ref")
-_KEYS, _PLAIN = frozenset(KEYS), frozenset(PLAIN)
-
 _IN = np.zeros(256, bool)
 _IN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"-_+/"]] = True
 _CLS = np.zeros(256, np.uint8)
@@ -58,8 +63,10 @@ _HEX[[*b"0123456789abcdef"]] = True
 _VOWEL = np.zeros(256, bool)
 _VOWEL[[*b"aeiouyAEIOUY"]] = True
 _WORD = re.compile(rb"[A-Za-z]+")
-_DICTIONARY = re.compile("|".join(sorted((re.escape(w) for w in WORDS if len(w) > 2), key=len, reverse=True)).encode())
-
+_PIECE = re.compile(r"[a-z]+|[^a-z/.\\ ]+")
+#: Findings that a word must be in to count, and the most that it counts.
+LEAST_FINDINGS, MOST_WEIGHT = 5, 4.0
+LONGEST_WORD = 14
 FEATURES = 26
 
 PREFIXES = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"xoxb", b"sk_l", b"AIza", b"glpa")
@@ -136,33 +143,72 @@ def values(raw: bytes, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def features(candidate: bytes, before: bytes, after: bytes, path: str) -> list[float]:
-    b = np.frombuffer(candidate, np.uint8)
-    n = len(b)
-    c = _CLS[b]
-    changes = int(np.count_nonzero(c[1:] != c[:-1]))
-    counts = np.bincount(b, minlength=256)
-    share = counts[counts > 0] / n
-    entropy = float(-(share * np.log2(share)).sum())
-    letters = (c == 1) | (c == 2)
-    pairs = letters[1:] & letters[:-1]
-    # Alternation of vowels and consonants as words have it.
-    swaps = int(np.count_nonzero(pairs & (_VOWEL[b[1:]] != _VOWEL[b[:-1]])))
-    covered = sum(len(m) for m in _DICTIONARY.findall(candidate.lower()))
-    last = [w.decode().lower() for w in _WORD.findall(before)[-3:]]
-    nxt = [w.decode().lower() for w in _WORD.findall(after)[:2]]
-    head = before.rstrip(b" \"'`")
-    path = path.lower()
-    return [
-        n, (c == 1).sum() / n, (c == 2).sum() / n, (c == 3).sum() / n, (c == 0).sum() / n,
-        changes / n, entropy, entropy / np.log2(max(n, 2)), float(_HEX[b].all()), swaps / max(int(pairs.sum()), 1), len(share) / n,
-        covered / n, candidate.count(b"/") / n, candidate.count(b"-") / n,
-        float(any(w in _KEYS for w in last)), float(bool(last) and last[-1] in _KEYS), float(any(w in _PLAIN for w in last + nxt)),
-        float(head[-1:] in (b"=", b":")), float(before[-1:] in (b'"', b"'")), float(after[:1] == before[-1:] and after[:1] in (b'"', b"'")),
-        float(candidate[:4] in PREFIXES), float(candidate.endswith(b"=")),
-        float(any(x in path for x in ("test", "example", "sample", "fixture", "doc"))), float(any(x in path for x in (".env", "config", "settings", ".yml", ".yaml", ".ini"))),
-        float(_PLACEHOLDER.match(candidate) is not None), float(candidate.lower() in _NO_VALUE or b"(" in candidate or b" " in candidate),
-    ]
+def dictionary_words(path: str | None = None) -> frozenset[bytes]:
+    """Words of three letters or more in a vocabulary file, in lower case."""
+    tokens = (base64.b64decode(line.split()[0]) for line in rank_file(path).splitlines() if line)
+    return frozenset(t.lower() for t in (x.lstrip(b" ") for x in tokens) if 3 <= len(t) <= LONGEST_WORD and _WORD.fullmatch(t))
+
+
+def signs(candidate: bytes, before: bytes, after: bytes, path: str) -> dict[str, list[tuple]]:
+    """What next to a candidate and at its beginning speaks for or against it, by kind."""
+    last, nxt = [w.lower() for w in _WORD.findall(before)[-3:]], [w.lower() for w in _WORD.findall(after)[:2]]
+    return {"before": [("b", w) for w in last], "last": [("l", w) for w in last[-1:]], "after": [("a", w) for w in nxt], "path": [("p", x) for x in dict.fromkeys(_PIECE.findall(path.lower()))], "head": [("h", candidate[:4])]}
+
+
+class Knowledge:
+    """What features need beside a candidate: a dictionary, how its letters follow each other, and weights of signs."""
+
+    def __init__(self, words: frozenset[bytes], findings: list[tuple]):
+        self.words = words
+        pairs = np.ones((27, 27))
+        for w in words:
+            x = [c - 96 for c in w] + [0]
+            np.add.at(pairs, ([0, *x[:-1]], x), 1)
+        self.follows = np.log(pairs / pairs.sum(1, keepdims=True))
+        count: dict[tuple, list[int]] = {}
+        total = [2, 2]
+        for *f, secret in findings:
+            total[bool(secret)] += 1
+            for x in {x for xs in signs(*f).values() for x in xs}:
+                count.setdefault(x, [1, 1])[bool(secret)] += 1
+        self.weight = {x: float(np.clip(np.log(c[1] / total[1] * total[0] / c[0]), -MOST_WEIGHT, MOST_WEIGHT)) for x, c in count.items() if sum(c) - 2 >= LEAST_FINDINGS}
+
+    def covered(self, candidate: bytes) -> int:
+        """Letters that words of the dictionary cover, the longest first from the left."""
+        low, words, i, n = candidate.lower(), self.words, 0, 0
+        while i < len(low) - 2:
+            for k in range(min(LONGEST_WORD, len(low) - i), 2, -1):
+                if low[i : i + k] in words:
+                    i, n = i + k, n + k
+                    break
+            else:
+                i += 1
+        return n
+
+    def features(self, candidate: bytes, before: bytes, after: bytes, path: str) -> list[float]:
+        b = np.frombuffer(candidate, np.uint8)
+        n = len(b)
+        c = _CLS[b]
+        changes = int(np.count_nonzero(c[1:] != c[:-1]))
+        counts = np.bincount(b, minlength=256)
+        share = counts[counts > 0] / n
+        entropy = float(-(share * np.log2(share)).sum())
+        letters = (c == 1) | (c == 2)
+        pairs = letters[1:] & letters[:-1]
+        # Alternation of vowels and consonants as words have it, and how likely words are to have the pairs of letters.
+        swaps = int(np.count_nonzero(pairs & (_VOWEL[b[1:]] != _VOWEL[b[:-1]])))
+        low = (b | 32).astype(np.int64) - 96
+        likely = float(self.follows[low[:-1][pairs], low[1:][pairs]].mean()) if pairs.any() else -6.0
+        head = before.rstrip(b" \"'`")
+        said = {k: sum(self.weight.get(x, 0.0) for x in xs) for k, xs in signs(candidate, before, after, path).items()}
+        return [
+            n, (c == 1).sum() / n, (c == 2).sum() / n, (c == 3).sum() / n, (c == 0).sum() / n,
+            changes / n, entropy, entropy / np.log2(max(n, 2)), float(_HEX[b].all()), swaps / max(int(pairs.sum()), 1), len(share) / n, likely,
+            self.covered(candidate) / n, candidate.count(b"/") / n, candidate.count(b"-") / n,
+            said["before"], said["last"], said["after"], said["path"], said["head"],
+            float(head[-1:] in (b"=", b":")), float(before[-1:] in (b'"', b"'")), float(after[:1] == before[-1:] and after[:1] in (b'"', b"'")), float(candidate.endswith(b"=")),
+            float(_PLACEHOLDER.match(candidate) is not None), float(candidate.lower() in _NO_VALUE or b"(" in candidate or b" " in candidate),
+        ]
 
 
 class Tree:
@@ -210,9 +256,11 @@ class Tree:
 
 
 class Forest:
-    def __init__(self, findings: list[tuple], trees: int = TREES, depth: int = DEPTH, seed: int = 11):
+    def __init__(self, findings: list[tuple], words: frozenset[bytes] | None = None, trees: int = TREES, depth: int = DEPTH, seed: int = 11):
         rng = np.random.default_rng(seed)
-        x = np.array([features(*f[:4]) for f in findings]).reshape(len(findings), FEATURES)
+        self.knowledge = Knowledge(dictionary_words() if words is None else words, findings)
+        self.features = self.knowledge.features
+        x = np.array([self.features(*f[:4]) for f in findings]).reshape(len(findings), FEATURES)
         y = np.array([float(f[4]) for f in findings])
         self.trees = []
         for _ in range(trees if len(y) else 0):
@@ -301,12 +349,13 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple]:
     return out
 
 
-def fit(findings: DataFrame | None = None, sample: int = SAMPLE) -> Forest:
-    """A forest of at most `sample` labelled findings."""
+def fit(findings: DataFrame | None = None, sample: int = SAMPLE, dictionary: DataFrame | None = None) -> Forest:
+    """A forest of at most `sample` labelled findings. dictionary: (word) of a fixed list, which every worker holds."""
+    words = None if dictionary is None else frozenset(r[0].lower().encode() for r in dictionary.select("word").where("word is not null").distinct().collect() if len(r[0]) > 2)
     if findings is None:
-        return Forest(labelled_findings())
+        return Forest(labelled_findings(), words)
     rows = findings.select(*FINDING).where("candidate is not null and secret is not null").orderBy(F.xxhash64("candidate", "before", "after")).limit(sample).collect()
-    return Forest([((r[0]).encode(), (r[1] or "").encode()[-NEAR:], (r[2] or "").encode()[:NEAR], r[3] or "", r[4]) for r in rows])
+    return Forest([((r[0]).encode(), (r[1] or "").encode()[-NEAR:], (r[2] or "").encode()[:NEAR], r[3] or "", r[4]) for r in rows], words)
 
 
 def found(text: Column, path: Column, forest, keep: float = KEEP) -> Column:
@@ -329,7 +378,7 @@ def found(text: Column, path: Column, forest, keep: float = KEEP) -> Column:
                 continue
             for r, s, e in spans:
                 a, z = int(offsets[lo + r] - base), int(offsets[lo + r + 1] - base)
-                x.append(features(raw[s:e], raw[max(a, s - NEAR) : s], raw[e : min(z, e + NEAR)], paths[lo + r].as_py() or ""))
+                x.append(forest.value.features(raw[s:e], raw[max(a, s - NEAR) : s], raw[e : min(z, e + NEAR)], paths[lo + r].as_py() or ""))
             score = forest.value.predict(np.array(x))
             known, whole = set(given), {}
             for (r, s, e), p in zip(spans, score.tolist()):
@@ -346,9 +395,9 @@ def found(text: Column, path: Column, forest, keep: float = KEEP) -> Column:
     return of(text, path)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", findings: DataFrame | None = None, keep: float = KEEP) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", findings: DataFrame | None = None, keep: float = KEEP, dictionary: DataFrame | None = None) -> DataFrame:
     """(doc_id, start, length, score, digest) of the findings that the forest takes for secrets; start counts characters."""
-    forest = df.sparkSession.sparkContext.broadcast(fit(findings))
+    forest = df.sparkSession.sparkContext.broadcast(fit(findings, dictionary=dictionary))
     docs = pick(df, id=id_col, text=text_col, path=path_col).select("id", "text", F.col("path").cast("string").alias("path"))
     each = docs.select(F.col("id").alias("doc_id"), F.explode(found(F.col("text"), F.col("path"), forest, keep)).alias("f")).select("doc_id", "f.*")
     return each.where(F.col("score") >= keep).withColumn("score", F.round("score", 6))
