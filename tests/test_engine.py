@@ -158,7 +158,9 @@ def test_synchronising_twice_changes_nothing(spark, docs, model):
 
 def test_split_keeps_heads_and_skips_broken_documents(spark):
     df = spark.createDataFrame([("x", '<l v="1"><h>head</h><b id="1">p</b><b id="2"/></l>'), ("y", "<l>"), ("z", None)], "document_id string, xml string")
-    assert sorted(map(tuple, split.split_documents(df, "/l/b", "/l/b/@id").collect())) == [("1", "x", '<l v="1"><h>head</h><b id="1">p</b></l>'), ("2", "x", '<l v="1"><h>head</h><b id="2" /></l>')]
+    with pytest.raises(Exception, match="document y is not well-formed"):
+        split.split_documents(df, "/l/b", "/l/b/@id").collect()
+    assert sorted(map(tuple, split.split_documents(df, "/l/b", "/l/b/@id", malformed="drop").collect())) == [("1", "x", '<l v="1"><h>head</h><b id="1">p</b></l>'), ("2", "x", '<l v="1"><h>head</h><b id="2" /></l>')]
 
 
 def test_delimited_files_keep_signs_and_nulls(spark, tmp_path):
@@ -203,8 +205,8 @@ def test_strings_and_numbers(spark):
     assert one(xpath.number_of_string(F.lit(" -1.5 "))) == -1.5 and math.isnan(one(xpath.number_of_string(F.lit("1e3"))))
     assert one(xpath.divide(F.lit(1.0), F.lit(0.0))) == math.inf and math.isnan(one(xpath.divide(F.lit(0.0), F.lit(0.0)))) and one(xpath.modulo(F.lit(-5.0), F.lit(2.0))) == -1.0
     assert one(F.array_join(text.trigrams(F.lit("ab")), " ")) == "__a _ab ab_ b__"
-    assert one(text.unescape_tsv(text.escape_tsv(F.lit("a\\tb\t\\")))) == "a\\tb\t\\"
-    assert str(one(text.parse_date(F.lit("05-Mar-2010")))) == "2010-03-05 00:00:00" and one(text.parse_date(F.lit("never"))) is None
+    for x in ("a\\tb\t\\", "\ue000", "\\\\n\n", "\\", "", "\\N"):
+        assert one(text.unescape_tsv(text.escape_tsv(F.lit(x)))) == x
 
 
 def test_full_text_updates_and_search(spark):
@@ -214,3 +216,58 @@ def test_full_text_updates_and_search(spark):
     left = fulltext.update_postings(post, spark.createDataFrame([("1",)], "document_id string"), post.limit(0))
     assert fulltext.search(left, ["fox"]).collect()[0][0] == "2"
     assert fulltext.capped_content(v.where("value is not null"), limit=3).where("length(content) <= 3").count() == 2
+
+
+def test_split_reads_large_documents_piece_by_piece(spark):
+    units = "".join(f'<g><h>{k}</h><b id="{k}"><x>é &amp; {k}</x></b><b id="{k}b"/></g>' for k in range(3000))
+    df = spark.createDataFrame([("big", f'<l xmlns="urn:l" v="&quot;1">{units}</l>')], "document_id string, xml string")
+    got = {r["document_id"]: r["xml"] for r in split.split_documents(df, "/l/g/b", "/l/g/b/@id").collect()}
+    assert len(got) == 6000
+    import xml.etree.ElementTree as ET
+
+    one = ET.fromstring(got["2999b"])
+    assert [x.tag for x in one.iter()] == [f"{{urn:l}}{n}" for n in ("l", "g", "h", "b")] and one.get("v") == '"1'
+    assert ET.fromstring(got["7"]).find(".//{urn:l}x").text == "é & 7"
+
+
+def test_round_robin_shards_are_even(spark):
+    df = spark.range(1000).select(F.format_string("%05d", "id").alias("document_id")).repartition(7)
+    got = {r["document_id"]: r["shard"] for r in split.shard_round_robin(df, 3).collect()}
+    assert all(got[f"{k:05d}"] == k % 3 for k in range(1000))
+
+
+def test_documents_as_files_keep_their_lines(spark, tmp_path):
+    texts = {"a": "<x>\n one\r\n</x>", "b/c": "<y/>"}
+    sinks.write_documents(spark.createDataFrame(list(texts.items()), "document_id string, xml string"), str(tmp_path / "f"))
+    files = [p for p in (tmp_path / "f").rglob("*.txt")]
+    assert sorted(p.read_bytes().decode().removesuffix("\n") for p in files) == sorted(texts.values())
+
+
+def test_index_store_is_updated_by_documents(spark, tmp_path):
+    v = lambda rows: spark.createDataFrame(rows, "document_id string, field string, value string")
+    store = fulltext.PostingsStore(spark, str(tmp_path / "ix"))
+    assert store.read().count() == 0
+    store.update(v([("1", "f", "red fox"), ("2", "f", "blue fox")]))
+    store.update(v([("2", "f", "green")]), gone=spark.createDataFrame([("1",)], "document_id string"))
+    assert {(r["term"], r["document_id"]) for r in store.read().collect()} == {("green", "2")}
+    assert [r["document_id"] for r in store.documents().collect()] == ["2"]
+    store.compact()
+    assert {(r["term"], r["document_id"]) for r in store.read().collect()} == {("green", "2")}
+
+
+def test_existence(engine):
+    assert [engine.exists(p).first()[0] for p in ("//book[@id=2]", "//book[@id=99]")] == [True, False]
+
+
+def test_layout_of_json_and_xml(engine):
+    import json
+
+    flat = {r["key"]: r["json"] for r in publish.to_json(engine, "book").collect()}
+    wide = {r["key"]: r["json"] for r in publish.to_json(engine, "book", style=publish.JsonStyle(indent=2)).collect()}
+    assert all(json.loads(flat[k]) == json.loads(wide[k]) and "\n  " in wide[k] and ": " in wide[k] for k in flat)
+    assert json.loads(publish.laid_out('{"a":[1.50,"x,{\\"y"],"b":{},"c":[]}', 1, " ", "\n")) == {"a": [1.5, 'x,{"y'], "b": {}, "c": []}
+    assert "1.50" in publish.laid_out('{"a":[1.50]}', 1, " ", "\n")
+    made = {r["document_id"]: r["xml"] for r in publish.to_xml(engine, style=publish.XmlStyle(indent=1)).collect()}["a"]
+    assert made.startswith('<lib>\n <book id="1" x="q">\n  <title>One &amp; all</title>\n') and made.endswith("\n</lib>")
+    with pytest.raises(ValueError):
+        publish.to_xml(engine, "book", style=publish.XmlStyle(fragments=False))

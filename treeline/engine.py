@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeline.operators.shred import Filters, raw_tables, shred, shred_all, shred_once
 from treeline.plans.planner import Documents, Planner, Tables
@@ -29,6 +30,10 @@ class Engine:
         """Result of an XPath 1.0 expression. keys: with document_id and the table's key."""
         return Planner(self.model, self.source, variables, bag=bag, strict=strict).run(expression, keys)
 
+    def exists(self, expression: str, variables: dict | None = None) -> DataFrame:
+        """(found): whether a path has any node; the search ends with the first."""
+        return self.xpath(expression, variables).limit(1).agg((F.count("*") > 0).alias("found"))
+
     def paths(self, expression: str) -> list[str]:
         """Absolute paths that an expression is bound to."""
         ast = parse(expression)

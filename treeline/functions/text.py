@@ -31,12 +31,14 @@ def escape_tsv(c: Column) -> Column:
 
 
 def unescape_tsv(c: Column) -> Column:
-    mark = ""
-    c = F.when(c != "\\N", c)
-    c = F.replace(c, F.lit("\\\\"), F.lit(mark))
-    for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.replace(c, F.lit(mark), F.lit("\\"))
+    """Two backslashes are one, read from the left; what is between such pairs has the other escapes."""
+
+    def plain(x: Column) -> Column:
+        for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
+            x = F.replace(x, F.lit(a), F.lit(b))
+        return x
+
+    return F.when(c != "\\N", F.array_join(F.transform(F.split(c, r"\\\\", -1), plain), "\\"))
 
 
 def trigrams(word: Column) -> Column:
@@ -48,15 +50,3 @@ def trigrams(word: Column) -> Column:
 def tokens(c: Column, least: int = 1) -> Column:
     """Lower-case words of letters and digits with at least so many signs."""
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= least)
-
-
-#: Patterns of dates and times that lenient loading tries in turn.
-DATE_PATTERNS = (
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-ddXXX", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "dd-MMM-yyyy", "MMM d, yyyy", "yyyy-MM", "yyyy",
-)
-
-
-def parse_date(c: Column) -> Column:
-    """Timestamp of the first pattern that fits, or null."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in DATE_PATTERNS])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.functions.text import tokens, trigrams, xml_escape
@@ -24,10 +24,13 @@ def chosen_fields(model: M.SchemaModel, names: tuple[str, ...] = (), *, everythi
 def field_values(engine, fields: list[tuple[str, M.Field]]) -> DataFrame:
     """(document_id, field, value) of the chosen columns."""
     out = None
-    for table in dict.fromkeys(t for t, _ in fields):
+    names = list(dict.fromkeys(t for t, _ in fields))
+    wanted = {n: ["document_id", *[f.name for t, f in fields if t == n]] for n in names}
+    rows = engine.tables(wanted)[0] if len(names) > 1 else {n: engine.table(n, cs) for n, cs in wanted.items()}
+    for table in names:
         own = [f for t, f in fields if t == table]
         cells = F.array(*[F.struct(F.lit(f"{table}.{f.name}").alias("field"), F.col(f"`{f.name}`").cast("string").alias("value")) for f in own])
-        part = engine.table(table, ["document_id", *[f.name for f in own]]).select("document_id", F.explode(cells).alias("x")).select("document_id", "x.*").where("value is not null")
+        part = rows[table].select("document_id", F.explode(cells).alias("x")).select("document_id", "x.*").where("value is not null")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -89,8 +92,75 @@ def update_postings(post: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataF
     return post.join(gone.select("document_id").distinct(), "document_id", "left_anti").unionByName(fresh)
 
 
+class PostingsStore:
+    """An index kept in a folder: postings by batches, and for each document the batch that has it now.
+
+    update() appends a batch, so that a search reads postings whose batch is their document's last one; compact() leaves
+    only those. A batch replaces its own folder, so that a repeated update leaves its rows once.
+    """
+
+    POSTING = "term string, field string, document_id string, tf bigint, positions array<int>, batch int"
+    STATE = "document_id string, gone boolean, batch int"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        from pyspark.errors import AnalysisException
+
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
+
+    def _last(self) -> DataFrame:
+        state = self._read("documents", self.STATE)
+        return state.groupBy("document_id").agg(F.max(F.struct("batch", "gone")).alias("x")).select("document_id", "x.batch", "x.gone").where("not gone")
+
+    def documents(self) -> DataFrame:
+        """(document_id) of the documents in the index."""
+        return self._last().select("document_id")
+
+    def read(self) -> DataFrame:
+        """(term, field, document_id, tf, positions) as of now."""
+        last = self._last().select(F.col("document_id").alias("__d"), F.col("batch").alias("__b"))
+        post = self._read("postings", self.POSTING)
+        return post.join(last, (F.col("document_id") == F.col("__d")) & (F.col("batch") == F.col("__b")), "left_semi").drop("batch")
+
+    def update(self, values: DataFrame, gone: DataFrame | None = None, least: int = 1, batch: int | None = None) -> None:
+        """Documents of values (document_id, field, value) are new or read anew; those of gone (document_id) leave."""
+        if batch is None:
+            batch = (self._read("documents", self.STATE).agg(F.max("batch")).first()[0] or 0) + 1
+        here = values.select("document_id", F.lit(False).alias("gone"))
+        state = here if gone is None else here.unionAll(gone.select(F.col(gone.columns[0]).cast("string"), F.lit(True)))
+        postings(values, least).write.mode("overwrite").parquet(f"{self.path}/postings/batch={batch}")
+        state.groupBy("document_id").agg(F.min("gone").alias("gone")).write.mode("overwrite").parquet(f"{self.path}/documents/batch={batch}")
+
+    def compact(self) -> None:
+        """One batch of what is there now, written beside and then put in the place of the others."""
+        folder = f"{self.path}/compact"
+        self.read().write.mode("overwrite").parquet(f"{folder}/postings/batch=1")
+        self.documents().withColumn("gone", F.lit(False)).write.mode("overwrite").parquet(f"{folder}/documents/batch=1")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for name in ("postings", "documents"):
+            fs = hadoop(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+            fs.delete(hadoop(f"{self.path}/{name}"), True)
+            fs.rename(hadoop(f"{folder}/{name}"), hadoop(f"{self.path}/{name}"))
+            fs.delete(hadoop(f"{folder}/{name}"), True)
+        self.spark.catalog.refreshByPath(self.path)
+
+
+def search_conf(name: str, path: str, attributes: list[tuple[str, M.Field]]) -> str:
+    """Configuration of a search engine's source and index over an xmlpipe2 file."""
+    kind = {"bigint": "xmlpipe_attr_bigint", "int": "xmlpipe_attr_uint", "float": "xmlpipe_attr_float", "timestamp": "xmlpipe_attr_timestamp", "bool": "xmlpipe_attr_bool", "string": "xmlpipe_attr_string"}
+    lines = [f"source {name}", "{", "    type = xmlpipe2", f"    xmlpipe_command = cat {path}", "    xmlpipe_field = content"]
+    lines += [f"    {kind[attribute_kind(f)]} = {t}__{f.name}" for t, f in attributes]
+    return "\n".join([*lines, "}", "", f"index {name}", "{", f"    source = {name}", f"    path = {path}.index", "    min_prefix_len = 1", "}", ""])
+
+
 def capped_content(values: DataFrame, limit: int = FIELD_LIMIT) -> DataFrame:
-    """(document_id, content): all values of a document, each text once, up to the limit of a field."""
+    """(document_id, content): all values of a document, each text once, cut at `limit` characters, which is what a search
+    engine takes as one field; pass another limit for one that takes more."""
     per = values.groupBy("document_id").agg(F.array_sort(F.collect_set("value")).alias("all"))
     return per.select("document_id", F.substring(F.array_join("all", "\n"), 1, limit).alias("content"))
 
@@ -112,10 +182,18 @@ def search_documents(values: DataFrame, attributes: DataFrame | None = None) ->
     return docs.select("document_id", F.concat(*parts, F.lit("</sphinx:document>")).alias("xml"))
 
 
+def attribute_kind(f: M.Field) -> str:
+    """Type of a search engine's attribute."""
+    if f.xs_type in ("long", "unsignedLong"):
+        return "bigint"
+    if f.xs_type.lower().endswith(("int", "short", "byte", "integer")):
+        return "int"
+    return {"float": "float", "double": "float", "decimal": "float", "date": "timestamp", "dateTime": "timestamp", "boolean": "bool"}.get(f.xs_type, "string")
+
+
 def search_schema(attributes: list[tuple[str, M.Field]]) -> str:
     """Schema head of an xmlpipe2 stream."""
-    kind = lambda f: "bigint" if f.xs_type in ("long", "unsignedLong") else "int" if f.xs_type.lower().endswith(("int", "short", "byte", "integer")) else "float" if f.xs_type in ("float", "double", "decimal") else "timestamp" if f.xs_type in ("date", "dateTime") else "bool" if f.xs_type == "boolean" else "string"
-    return "<sphinx:schema><sphinx:field name=\"content\"/>" + "".join(f'<sphinx:attr name="{t}__{f.name}" type="{kind(f)}"/>' for t, f in attributes) + "</sphinx:schema>"
+    return '<sphinx:schema><sphinx:field name="content"/>' + "".join(f'<sphinx:attr name="{t}__{f.name}" type="{attribute_kind(f)}"/>' for t, f in attributes) + "</sphinx:schema>"
 
 
 def merge_sources(*parts: DataFrame) -> DataFrame:

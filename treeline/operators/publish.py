@@ -11,6 +11,7 @@ as the same moment in UTC.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -23,6 +24,10 @@ from treeline.functions.text import xml_escape
 from treeline.schema import model as M
 
 
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
+_XML_TOKEN = re.compile(r"<!\[CDATA\[.*?\]\]>|<!--.*?-->|<[^>]+>|[^<]+", re.S)
+
+
 @dataclass
 class XmlStyle:
     declaration: bool = False
@@ -30,6 +35,9 @@ class XmlStyle:
     schema_location: str = ""
     nil: bool = True
     keep_empty: bool = False
+    indent: int = 0
+    linefeed: str = "\n"
+    fragments: bool = True  # subtrees below the document element are allowed
 
 
 @dataclass
@@ -39,6 +47,9 @@ class JsonStyle:
     arrays_always: bool = False
     document_id: bool = False
     nulls: bool = False
+    indent: int = 0
+    key_space: str = " "  # after the colon, if indented
+    linefeed: str = "\n"
 
 
 def lexical(c: Column, f: M.Field) -> Column:
@@ -60,6 +71,56 @@ def lexical(c: Column, f: M.Field) -> Column:
     return c.cast("string")
 
 
+def laid_out(text: str, indent: int, key_space: str, linefeed: str) -> str:
+    """JSON text with line breaks and indentation; values stay as they are written."""
+    out, depth = [], 0
+    for m in _JSON_TOKEN.finditer(text):
+        x = m.group()
+        if x in "{[":
+            close = text[m.end() : m.end() + 1] in ("}", "]")
+            depth += 0 if close else 1
+            out.append(x if close else x + linefeed + " " * (indent * depth))
+        elif x in "}]":
+            empty = out[-1][-1:] in "{["
+            depth -= 0 if empty else 1
+            out.append(x if empty else linefeed + " " * (indent * depth) + x)
+        else:
+            out.append("," + linefeed + " " * (indent * depth) if x == "," else ":" + key_space if x == ":" else x)
+    return "".join(out)
+
+
+def indented(xml: str, indent: int, linefeed: str) -> str:
+    """XML text with each element on its own line, but for what lies in elements with text."""
+    tokens = _XML_TOKEN.findall(xml)
+    inline, stack = set(), []
+    for k, x in enumerate(tokens):
+        if x.startswith("</"):
+            stack.pop()
+        elif x.startswith("<") and x[1:2] not in "!?":
+            if not x.endswith("/>"):
+                stack.append(k)
+        elif not x.startswith("<") and x.strip() and stack:
+            inline.add(stack[-1])
+    out, stack, quiet = [], [], 0
+    for k, x in enumerate(tokens):
+        closes = x.startswith("</")
+        if closes:
+            top, children = stack.pop()
+            line = children and not quiet
+            quiet -= top in inline
+        else:
+            line = k > 0 and not quiet and x.startswith("<")
+            if stack:
+                stack[-1][1] = True
+        if line and (out or closes):
+            out.append(linefeed + " " * (indent * len(stack)))
+        out.append(x)
+        if x.startswith("<") and not closes and not x.endswith("/>") and x[1:2] not in "!?":
+            stack.append([k, False])
+            quiet += k in inline
+    return "".join(out)
+
+
 def _needed(model: M.SchemaModel, table: str) -> list[str]:
     t = model.tables[table]
     return list(dict.fromkeys([f.name for f in t.content] + ["document_id", t.primary] + [e.column for e in model.parents(table)] + (["serial_id"] if t.field("serial_id") else [])))
@@ -136,6 +197,8 @@ def to_xml(engine, table: str | None = None, subset: DataFrame | None = None, st
     """(document_id, key, xml) of the subtrees at a table's rows. subset: keys of the rows wanted, in its first column."""
     model, style = engine.model, style or XmlStyle()
     table = table or model.root
+    if not style.fragments and table != model.root:
+        raise ValueError(f"{table} is not the document element, and fragments are not allowed")
 
     def rendered(t: M.Table, is_text: bool) -> Column:
         """Attributes, and the elements and text of the row itself by their place in the content."""
@@ -174,7 +237,11 @@ def to_xml(engine, table: str | None = None, subset: DataFrame | None = None, st
         inside = "".join(x for _, x in sorted(parts + [(e.place, "".join(v)) for e, _, v in kids], key=lambda x: x[0]))
         return f"<{tags[t]}", own["attributes"] + (f">{inside}</{tags[t]}>" if inside else "/>")
 
-    return _published(engine, table, subset, nodes, _nested(model, names, made, lambda v: f"{begin}{v[0]}{head}{v[1]}")).withColumnRenamed("value", "xml")
+    def top(v: tuple[str, str]) -> str:
+        text = f"{v[0]}{head}{v[1]}"
+        return begin + (indented(text, style.indent, style.linefeed) if style.indent else text)
+
+    return _published(engine, table, subset, nodes, _nested(model, names, made, top)).withColumnRenamed("value", "xml")
 
 
 def to_json(engine, table: str | None = None, dialect: str = "object", subset: DataFrame | None = None, style: JsonStyle | None = None) -> DataFrame:
@@ -224,9 +291,21 @@ def to_json(engine, table: str | None = None, dialect: str = "object", subset: D
         return out
 
     name = json.dumps(model.tables[table].xml_name, ensure_ascii=False)
-    nest = _nested(model, names, made, lambda v: f"{name}:{written(v.items())}")
+
+    def top(v: dict) -> str:
+        return f"{name}:{written(v.items())}"
+
+    nest = _nested(model, names, made, top)
     front = F.concat(F.lit('{"document_id":'), F.regexp_replace(F.to_json(F.struct(F.col("document_id").alias("v"))), r'^\{"v":(.*)\}$', "$1"), F.lit(",")) if style.document_id else F.lit("{")
-    return _published(engine, table, subset, nodes, nest).select("document_id", "key", F.concat(front, F.col("value"), F.lit("}")).alias("json"))
+    out = F.concat(front, F.col("value"), F.lit("}"))
+    if style.indent:
+
+        @F.arrow_udf("string")
+        def wide(column: pa.Array) -> pa.Array:
+            return pa.array([laid_out(x, style.indent, style.key_space, style.linefeed) for x in column.to_pylist()], pa.string())
+
+        out = wide(out)
+    return _published(engine, table, subset, nodes, nest).select("document_id", "key", out.alias("json"))
 
 
 def relational_json(engine, tables: list[str] | None = None) -> DataFrame:

@@ -18,10 +18,13 @@ def write_delimited(df: DataFrame, path: str, *, tab: bool = True, header: bool
     if not tab:
         df.select(*cells).write.mode("overwrite").option("nullValue", "\\N").option("escape", '"').option("quote", '"').option("header", str(header).lower()).csv(path)
         return
-    lines = df.select(F.concat_ws("\t", *[escape_tsv(c) for c in cells]).alias("value"))
+    lines = df.select(*[escape_tsv(c).alias(f.name) for c, f in zip(cells, df.schema)])
     if header:
-        raise ValueError("tab-separated files have no header; their schema is the model's")
-    lines.write.mode("overwrite").text(path)
+        # Escapes leave nothing to quote.
+        plain = {"sep": "\t", "quote": "", "escapeQuotes": "false", "emptyValue": "", "header": "true"}
+        lines.write.mode("overwrite").options(**plain).csv(path)
+        return
+    lines.select(F.concat_ws("\t", *[F.col(f"`{c}`") for c in lines.columns]).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, *, append: bool = False) -> None:
@@ -34,8 +37,9 @@ def read_tables(spark, path: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
-def write_documents(df: DataFrame, path: str, column: str = "xml") -> None:
-    """Documents (document_id, xml) as text files, one line each, in a folder for each shard if there is a column shard."""
-    out = df.select(*(["shard"] if "shard" in df.columns else []), F.regexp_replace(column, r"[\r\n]+", " ").alias("value"))
-    w = out.write.mode("overwrite")
-    (w.partitionBy("shard") if "shard" in df.columns else w).text(path)
+def write_documents(df: DataFrame, path: str, column: str = "xml", id_col: str = "document_id") -> None:
+    """Documents as files of their own, as they are but for a newline at the end, in a folder for each id, below one for each
+    shard if there is a column shard."""
+    shards = ["shard"] if "shard" in df.columns else []
+    out = df.select(*shards, F.col(id_col).alias("document_id"), F.col(column).cast("string").alias("value"))
+    out.write.mode("overwrite").partitionBy(*shards, "document_id").text(path)

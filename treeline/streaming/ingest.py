@@ -1,13 +1,14 @@
-"""Incremental loading of a stream of documents: each micro-batch is synchronised into the tables."""
+"""Incremental loading of a stream of documents: each micro-batch is parsed once and synchronised into the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.operators.shred import Filters, kept_tables, shred
+from treeline.operators.shred import Filters, kept_tables, shred_once
 from treeline.operators.sync import checksums
 from treeline.schema.model import SchemaModel
+from treeline.workspace import new_folder
 
 #: Folder of what was loaded; no table can have this name, as no XML name begins with a digit.
 STATE = "0state"
@@ -29,8 +30,10 @@ def ingest(stream: DataFrame, model: SchemaModel, path: str, checkpoint: str, fi
 
     def load(batch: DataFrame, number: int) -> None:
         checksums(batch).write.mode("overwrite").parquet(f"{path}/{STATE}/batch={number}")
-        for t in names:
-            shred(batch, model, t, filters=filters).write.mode("overwrite").parquet(f"{path}/{t}/batch={number}")
+        wanted = {t: [f.name for f in model.tables[t].fields] for t in names}
+        tables = shred_once(batch, model, wanted, new_folder(batch.sparkSession, "batch"), filters=filters)
+        for t, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{path}/{t}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
