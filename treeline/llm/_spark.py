@@ -40,8 +40,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that is sent to a Python worker, unless the session sets its own: Spark's 64 MB are held several times
+#: over, on both sides, by each worker.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    name, usual = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    if spark.conf.get(name).rstrip("bB") == str(usual):
+        spark.conf.set(name, BATCH)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the given columns under fixed names, so that further columns of df cannot clash. Ids keep their type, texts become string."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast("string").alias(k) if k == "text" else F.col(f"`{c}`").alias(k) for k, c in columns.items()])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -149,6 +150,18 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     return (key >> _U(GRAM_BITS)).astype(np.int64), key & GRAM_MASK
 
 
+def _frugal() -> None:
+    """In Python workers, which live on beside those of other stages: large arrays are mapped, so that they go back to the
+    system as they are freed, and Arrow's are as well."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if "pyspark.worker" in sys.modules and mallopt:
+        mallopt(-3, 1 << 20)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_frugal()
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers live on after a task, beside other stages'."""
     pa.default_memory_pool().release_unused()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 import tiktoken
@@ -70,8 +71,8 @@ def borders(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
 class Vocabulary:
     def __init__(self, ranks: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self.piece = self.encoding._core_bpe.encode_single_piece
+        # Only pieces are encoded with it; the pattern is found by piece_starts.
+        self.piece = tiktoken.Encoding("pieces", pat_str="x", mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
         tokens = sorted(self.ranks.items(), key=lambda x: x[1])
         self.size = tokens[-1][1] + 1
         length = np.zeros(self.size, np.int64)
@@ -88,6 +89,11 @@ class Vocabulary:
         self.never[pair[inside[1:]]] = False
         self.kinds = _kinds()
 
+    @cached_property
+    def encoding(self) -> tiktoken.Encoding:
+        """The vocabulary's own encoder."""
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+
     def classes(self, data: np.ndarray) -> np.ndarray:
         """Class of the character that each byte belongs to."""
         out = self.kinds[:128][np.minimum(data, 127)]

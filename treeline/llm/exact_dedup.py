@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.llm._spark import cut, table
+from treeline.llm._spark import cut, small_batches, table
 from treeline.llm._text import text_bytes
 
 P = (1 << 31) - 1
@@ -187,6 +187,7 @@ def known_prints(base: DataFrame, points: tuple[int, ...] = POINTS, huge: int =
 
 def _marked(df: DataFrame, id_col: str, text_col: str, whole: bool, points: tuple[int, ...], stream: int, huge: int) -> tuple[DataFrame, list[DataFrame]]:
     """Rows that share no fingerprint, and the compared rows of each level; with all columns in __row if whole."""
+    small_batches(df.sparkSession)
     others = [F.col(f"`{c}`") for c in df.columns]
     base = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), *([F.struct(*others).alias("__row")] if whole else []))
     base = base.select("*", F.when(F.col("__text").isNotNull(), F.xxhash64("__text")).alias("__th"), F.octet_length("__text").alias("__n"))
