@@ -194,3 +194,30 @@ def test_blocked_substitution():
 
     assert set(compile_schema(schema(""), root="r").tables) == {"r", "h", "m"}
     assert set(compile_schema(schema('block="extension"'), root="r").tables) == {"r", "h"}
+
+
+def test_one_name_in_two_namespaces(tmp_path):
+    (tmp_path / "b.xsd").write_text(f'<xs:schema {XS} targetNamespace="urn:b"><xs:complexType name="p"><xs:sequence><xs:element name="y" type="xs:int"/></xs:sequence></xs:complexType><xs:simpleType name="s"><xs:restriction base="xs:int"/></xs:simpleType></xs:schema>')
+    (tmp_path / "a.xsd").write_text(
+        f'<xs:schema {XS} xmlns:a="urn:a" xmlns:b="urn:b" targetNamespace="urn:a"><xs:import namespace="urn:b" schemaLocation="b.xsd"/><xs:complexType name="p"><xs:sequence><xs:element name="x" type="a:s"/><xs:element name="z" type="b:s"/></xs:sequence></xs:complexType>'
+        '<xs:simpleType name="s"><xs:restriction base="xs:date"/></xs:simpleType><xs:element name="r"><xs:complexType><xs:sequence><xs:element name="one" type="a:p"/><xs:element name="two" type="b:p"/></xs:sequence></xs:complexType></xs:element></xs:schema>'
+    )
+    m = compile_schema(str(tmp_path / "a.xsd"))
+    assert [(f.name, f.xs_type) for f in m.tables["one"].content] == [("x", "date"), ("z", "int")]
+    assert [(f.name, f.xs_type) for f in m.tables["two"].content] == [("y", "int")]
+
+
+def test_closure_of_includes_with_a_cycle(tmp_path):
+    (tmp_path / "one.xsd").write_text(f'<xs:schema {XS}><xs:include schemaLocation="two.xsd"/><xs:element name="r" type="t"/></xs:schema>')
+    (tmp_path / "two.xsd").write_text(f'<xs:schema {XS}><xs:include schemaLocation="one.xsd"/><xs:include schemaLocation="gone.xsd"/><xs:complexType name="t"><xs:attribute name="k" type="xs:int"/></xs:complexType></xs:schema>')
+    assert [f.name for f in compile_schema(str(tmp_path / "one.xsd")).tables["r"].content] == ["k"]
+    assert diagnose(str(tmp_path / "one.xsd")) == ["include not found: gone.xsd"]
+
+
+def test_databases_by_namespace():
+    from treeline.plans.catalogue_more import BOOK
+
+    m = compile_schema(BOOK)
+    text = ddl.ddl(m, "main", by_namespace=True)
+    assert "CREATE DATABASE IF NOT EXISTS `b`;" in text and "CREATE TABLE `b`.`supplier`" in text and "`main`" not in text
+    assert "CREATE TABLE `main`.`supplier`" in ddl.ddl(m, "main")

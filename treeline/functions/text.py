@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +52,9 @@ def trigrams(word: Column) -> Column:
 def tokens(c: Column, least: int = 1) -> Column:
     """Lower-case words of letters and digits with at least so many signs."""
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= least)
+
+
+def first_word(text: str) -> str:
+    """The first run of letters and digits of a Python string."""
+    m = re.search(r"[^\W_]+", text)
+    return m.group() if m else ""

@@ -104,18 +104,23 @@ def shard(df: DataFrame, shards: int, key: str = "document_id") -> DataFrame:
     return df.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
 
 
-def shard_round_robin(df: DataFrame, shards: int, key: str = "document_id") -> DataFrame:
-    """With a column shard by the rank of the key, in turn.
+def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df with a column for the rank of each row by the keys, from 1.
 
-    Rows are sorted by ranges of the key and kept so; a row's rank is its place in its range and how many rows are in the
+    Rows are sorted by ranges of the keys and kept so; a row's rank is its place in its range and how many rows are in the
     ranges before, of which there are as many as partitions.
     """
-    ranged = kept(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()))
+    ranged = kept(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id()))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("__p").agg(F.count("*").alias("__n")).select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    own = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
+    own = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
     placed = own.join(F.broadcast(starts), F.col("__p") == F.col("__q"))
-    return placed.withColumn("shard", F.pmod(F.col("__start") + F.col("__r") - 1, F.lit(shards)).cast("int")).select(*df.columns, "shard")
+    return placed.withColumn(name, F.col("__start") + F.col("__r")).select(*df.columns, name)
+
+
+def shard_round_robin(df: DataFrame, shards: int, key: str = "document_id") -> DataFrame:
+    """With a column shard by the rank of the key, in turn."""
+    return ranked(df, [key], "__rank").withColumn("shard", F.pmod(F.col("__rank") - 1, F.lit(shards)).cast("int")).drop("__rank")
 
 
 def write_shards(df: DataFrame, path: str) -> None:

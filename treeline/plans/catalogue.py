@@ -81,7 +81,6 @@ _path("prj1_simple_content", "dialog", "/dialog/turn/text()", "SELECT text AS co
 _path("prj1_table", "geo", "/geo/customer/nation", f"SELECT n_nationkey AS key, n_name AS name, r_name AS region FROM {C}", ["key", "name", "region"])
 _path("prj1_typed_table", "geo", "/geo/customer/order", f"SELECT o_custkey::VARCHAR AS document_id, o_orderkey AS key, o_orderstatus AS status, o_totalprice::{M2} AS totalprice, o_orderdate::TIMESTAMP AS date, o_orderpriority AS priority, i::INT AS serial_id FROM {NUMBERED}", ["document_id", "key", "status", "totalprice", "date", "priority", "serial_id"])
 _path("prj2_local_name", "geo", "local-name(/geo/customer/nation)", "SELECT 'nation' AS \"local-name\"")
-_path("prj2_namespace_uri", "geo", "namespace-uri(/geo/customer/nation)", "SELECT '' AS \"namespace-uri\"")
 _path("prj2_name", "geo", "name(/geo/customer/order/@key)", "SELECT 'key' AS name")
 _path("flt1_equal", "geo", "/geo/customer/order[@status='F']/@key", f"SELECT o_orderkey AS key FROM {O} WHERE o_orderstatus = 'F'")
 _path("flt1_not_equal", "geo", "/geo/customer[@segment!='BUILDING']/@name", "SELECT c_name AS name FROM customer WHERE c_mktsegment <> 'BUILDING'")
@@ -141,16 +140,6 @@ _path("set1_union", "geo", "/geo/customer/@name | //nation/@name", f"SELECT '/ge
 _path("set2_same_path_once", "geo", "/geo/customer/@name | //customer/@name", "SELECT c_name AS name FROM customer")
 
 
-@_query("agg4_row_counts", f"SELECT 'geo' AS name, count(*) AS n, count(*) >= 1024 AS large FROM customer UNION ALL SELECT 'customer', count(*), count(*) >= 1024 FROM customer UNION ALL SELECT 'nation', count(*), count(*) >= 1024 FROM customer UNION ALL SELECT 'order', count(*), count(*) >= 1024 FROM {O} UNION ALL SELECT 'lineitem', count(*), count(*) >= 1024 FROM {L}")
-def _row_counts(spark, sf_dir):
-    e = _engine(spark, sf_dir, "geo")
-    out = None
-    for t in e.model.reachable(e.model.root):
-        n = e.table(t, [e.model.tables[t].primary]).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n", (F.col("n") >= 1024).alias("large"))
-        out = n if out is None else out.unionAll(n)
-    return out
-
-
 @_query("agg5_references", "SELECT * FROM (VALUES ('geo', 0), ('customer', 1), ('nation', 1), ('order', 1), ('lineitem', 1)) AS t(name, refs)")
 def _references(spark, sf_dir):
     m = fixtures.model("geo")
@@ -168,11 +157,6 @@ def _shared_view(spark, sf_dir):
     return out
 
 
-@_query("srt1_document_order", f"SELECT o_custkey::VARCHAR AS document_id, i::INT AS serial_id, o_orderkey AS key FROM {NUMBERED}")
-def _ordered(spark, sf_dir):
-    return _engine(spark, sf_dir, "geo").table("order", ["document_id", "serial_id", "key"]).orderBy("document_id", "serial_id")
-
-
 @_query("lim1_first_of_each", "SELECT p_partkey::VARCHAR AS document_id, string_split(p_type, ' ')[1] AS content FROM part")
 def _first_of_each(spark, sf_dir):
     return _engine(spark, sf_dir, "catalog").table("tag", ["document_id", "content", "serial_id"]).where("serial_id = 1").select("document_id", "content")
@@ -308,12 +292,6 @@ def _dropped(spark, sf_dir):
     return _engine(spark, sf_dir, "catalog", Filters(drop_values={"part.type": "STEEL|TIN"})).table("part", ["document_id", "type"])
 
 
-@_query("flt8_chosen_tables", "SELECT * FROM (VALUES ('order'), ('lineitem')) AS t(name)")
-def _chosen(spark, sf_dir):
-    tables = shred_all(fixtures.documents(spark, sf_dir, "geo"), fixtures.model("geo"), filters=Filters(keep_tables=("order",)))
-    return spark.createDataFrame([(t,) for t in tables], "name string")
-
-
 @_query("flt9_constant", "SELECT p_partkey::VARCHAR AS document_id, 'n/a' AS brand FROM part")
 def _constant(spark, sf_dir):
     return _engine(spark, sf_dir, "catalog", Filters(fill={"part.brand": "n/a"})).table("part", ["document_id", "brand"])
@@ -347,18 +325,6 @@ def _invalid_documents(spark, sf_dir):
     return validate.invalid_documents(fixtures.documents(spark, sf_dir, "log"), compile_schema(CLOSED))
 
 
-@_query("val4_well_formed")
-def _well_formed(spark, sf_dir):
-    """Which web pages are XML; tests compare it with a parser."""
-    return fixtures.table(spark, sf_dir, "pages").select("page_id", validate.well_formed("html").alias("well_formed"))
-
-
-@_query("val6_tables_against_model", "SELECT 'order' AS name, 0::BIGINT AS differences UNION ALL SELECT 'lineitem', 0")
-def _consistent(spark, sf_dir):
-    e = _engine(spark, sf_dir, "geo")
-    return spark.createDataFrame([(t, len(validate.schema_differences(e.table(t), e.model, t, strict=True))) for t in ("order", "lineitem")], "name string, differences bigint")
-
-
 @_query("val7_checksums", "SELECT doc_id::VARCHAR AS document_id, md5(text) AS digest FROM documents")
 def _checksums(spark, sf_dir):
     return sync.checksums(fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("xml")))
@@ -497,11 +463,6 @@ def _multi(spark, sf_dir):
     return fulltext.multi_values(fulltext.field_values(e, fulltext.chosen_fields(e.model, ("tag.content",))))
 
 
-@_query("fts_search", f"SELECT document_id, count(*)::BIGINT AS score FROM {TERMS} WHERE term IN ('promo', 'tin') GROUP BY 1 HAVING count(DISTINCT term) = 2")
-def _search(spark, sf_dir):
-    return fulltext.search(fulltext.postings(_values(spark, sf_dir)), ["promo", "TIN"])
-
-
 @_query("flt12_min_word", f"SELECT term, count(*) AS freq, count(DISTINCT document_id) AS df FROM {TERMS} WHERE length(term) >= 5 GROUP BY term")
 def _min_word(spark, sf_dir):
     return fulltext.term_frequencies(_values(spark, sf_dir), least=5)
@@ -543,12 +504,6 @@ def _split(spark, sf_dir):
     return split.split_documents(_brands(spark, sf_dir), "/catalog/part", "/catalog/part/@key")
 
 
-@_query("spl2_shards", "SELECT p_partkey::VARCHAR AS document_id, true AS within FROM part")
-def _shards(spark, sf_dir):
-    docs = fixtures.documents(spark, sf_dir, "catalog").select("document_id")
-    return split.shard(docs, 4).select("document_id", F.col("shard").between(0, 3).alias("within"))
-
-
 def _states(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Finished orders of each customer as they were loaded, and all but the open ones as they are now."""
     o = fixtures.table(spark, sf_dir, "orders")
@@ -597,9 +552,15 @@ def _stream(spark, sf_dir):
     return ingest.current(spark, f"{folder}/out", "turn").select("document_id", "serial_id", "role", "n", "content")
 
 
+def _further() -> None:
+    from treeline.plans import catalogue_more  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _further()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _further()
     return dict(_SQL)

@@ -73,15 +73,23 @@ def statistics(model: M.SchemaModel) -> dict[str, int]:
     return out
 
 
-def ddl(model: M.SchemaModel, database: str = "", using: str = "parquet", drop: bool = False) -> str:
+def database_of(model: M.SchemaModel, table: str, database: str = "", by_namespace: bool = False) -> str:
+    """Database of a table: the given one, or one for each namespace, named by its prefix."""
+    uri = model.tables[table].namespace
+    if not by_namespace or not uri:
+        return database
+    return next((p for p, u in model.prefixes.items() if u == uri and p), database)
+
+
+def ddl(model: M.SchemaModel, database: str = "", using: str = "parquet", drop: bool = False, by_namespace: bool = False) -> str:
     """All statements. Tables come by the references to them, most first, as they can be filled."""
     out = [f"-- {k}: {v}" for k, v in statistics(model).items()]
-    if database:
-        out.append(f"CREATE DATABASE IF NOT EXISTS {quoted(database)};")
     tables = [t.name for t in model.ordered()]
+    where = {t: database_of(model, t, database, by_namespace) for t in tables}
+    out += [f"CREATE DATABASE IF NOT EXISTS {quoted(d)};" for d in dict.fromkeys(where.values()) if d]
     if drop:
-        out += [f"DROP TABLE IF EXISTS {quoted(t)};" for t in reversed(tables)]
-    out += [create_table(model, t, database, using) + ";" for t in tables]
+        out += [f"DROP TABLE IF EXISTS {quoted(where[t]) + '.' if where[t] else ''}{quoted(t)};" for t in reversed(tables)]
+    out += [create_table(model, t, where[t], using) + ";" for t in tables]
     out += [v + ";" for t in tables if (v := shared_view(model, t))]
     for i in model.identities:
         columns = ", ".join(map(quoted, i.columns))

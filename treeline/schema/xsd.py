@@ -51,11 +51,14 @@ class Compiler:
         self.substitutes: dict[str, list[str]] = {}
         self.messages: list[str] = []
         self.turn, self.group_place = 0, None
+        #: Documents loaded: their top, prefixes and namespace; and declarations by kind, name and namespace.
+        self.documents: list[tuple[ET.Element, dict[str, str], str]] = []
+        self.owners: dict[tuple[str, str], dict[str, ET.Element]] = {}
 
     # Sources -------------------------------------------------------------------------------------------------------
 
-    def load(self, source: str) -> None:
-        """source: a path, or the text of a schema document."""
+    def load(self, source: str, including: str = "") -> None:
+        """source: a path, or the text of a schema document. including: namespace of the one that includes it."""
         text = source.lstrip().startswith("<")
         key = source if text else os.path.realpath(source)
         if key in self.seen:
@@ -67,18 +70,21 @@ class Compiler:
         else:
             body = source
         try:
+            prefixes: dict[str, str] = {}
             parser = ET.XMLPullParser(["start-ns", "end"])
             parser.feed(body)
             parser.close()
             for event, x in parser.read_events():
                 if event == "start-ns":
                     self.prefixes.setdefault(x[0], x[1])
+                    prefixes.setdefault(x[0], x[1])
             top = ET.fromstring(body)
         except ET.ParseError as e:
             raise SchemaError(f"not well-formed: {e}") from e
         if top.tag != f"{XS}schema":
             raise SchemaError(f"the document element is {_local(top.tag)}, not xs:schema")
-        target = top.get("targetNamespace", "")
+        target = top.get("targetNamespace", "") or including
+        self.documents.append((top, prefixes, target))
         if len(self.seen) == 1:
             self.namespace, self.doc = target, _doc(top)
         base = os.path.dirname(source) if not text else "."
@@ -92,10 +98,11 @@ class Compiler:
                         if _local(own.tag) in self.kinds and own.get("name"):
                             self.replaced(own, kind, where)
                 if os.path.exists(where):
-                    self.load(where)
+                    self.load(where, "" if kind == "import" else target)
                 else:
                     self.messages.append(f"{kind} not found: {node.get('schemaLocation')}")
             if kind in self.kinds and node.get("name"):
+                self.owners.setdefault((kind, node.get("name")), {}).setdefault(target, node)
                 if self.kinds[kind].setdefault(node.get("name"), node) is node and kind == "element":
                     self.order.append(node.get("name"))
                 self.namespaces[node.get("name")] = target
@@ -105,6 +112,31 @@ class Compiler:
                 if x.tag == f"{XS}element" and x.get("ref"):
                     self.referred.add(_local(x.get("ref")))
 
+    def separate(self) -> None:
+        """Declarations of one name in several namespaces get names of their own, and what refers to them those names.
+
+        The first that is loaded keeps its name. Elements keep theirs in documents, where one name is one table.
+        """
+        renamed: dict[tuple[str, str, str], str] = {}
+        for (kind, name), by in self.owners.items():
+            for k, (target, node) in enumerate(list(by.items())[1:]):
+                renamed[kind, name, target] = alias = f"{name}..{k + 2}"
+                self.kinds[kind][alias] = node
+                self.namespaces.setdefault(alias, target)
+        if not renamed:
+            return
+        for top, prefixes, target in self.documents:
+            for node in top.iter():
+                for key in ("type", "base", "itemType", "memberTypes", "ref", "substitutionGroup"):
+                    if node.get(key):
+                        kinds = ("element",) if key == "substitutionGroup" else (_local(node.tag),) if key == "ref" else ("complexType", "simpleType")
+                        out = []
+                        for x in node.get(key).split():
+                            prefix, _, name = x.rpartition(":")
+                            uri = prefixes.get(prefix, "" if prefix else target)
+                            out.append(next((renamed[k, name, uri] for k in kinds if (k, name, uri) in renamed), x))
+                        node.set(key, " ".join(out))
+
     def replaced(self, own: ET.Element, kind: str, where: str) -> None:
         """A declaration of xs:redefine or xs:override; a redefined type that is built on itself is built on what it was."""
         name = own.get("name")
@@ -197,7 +229,11 @@ class Compiler:
 
     def compile(self, source: str, root: str | None = None) -> M.SchemaModel:
         self.load(source)
-        candidates = [n for n in self.order if self.kinds["element"][n].get("abstract") != "true" and n not in self.referred] or [n for n in self.order if self.kinds["element"][n].get("abstract") != "true"]
+        self.separate()
+        whole = [n for n in self.order if self.kinds["element"][n].get("abstract") != "true"]
+        free = [n for n in whole if n not in self.referred]
+        # Members of substitution groups stand where their head is referred to.
+        candidates = [n for n in free if not self.kinds["element"][n].get("substitutionGroup")] or free or whole
         if root is None:
             if not candidates:
                 raise SchemaError("no element declaration can be the document element")

@@ -88,6 +88,9 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("trim(value) != ''").select(F.get(parts, F.lit(0)).alias("word"), F.coalesce(F.get(parts, F.lit(1)).try_cast("bigint"), F.lit(1)).alias("freq"))
 
 
-def read_search_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of an xmlpipe2 stream, one row each."""
-    return spark.read.format("xml").option("rowTag", "sphinx:document").load(path)
+def read_search_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(id, ...): documents of an xmlpipe2 stream, one row each. schema: its field and attributes, as the stream's head has them."""
+    fields = T._parse_datatype_string(schema).fields
+    raw = T.StructType([T.StructField("_id", T.StringType()), *[T.StructField(f.name, T.StringType()) for f in fields]])
+    rows = spark.read.schema(raw).format("xml").option("rowTag", "sphinx:document").option("ignoreSurroundingSpaces", "false").load(path)
+    return rows.select(F.col("_id").alias("id"), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])

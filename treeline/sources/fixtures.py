@@ -155,8 +155,20 @@ def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAKERS = {"geo": geo, "catalog": catalog, "corpus": corpus, "dialog": dialog, "log": log, "shared": shared}
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Writes all documents made from a folder of tables once, to be read by what asks for them in this process."""
+    for name in MAKERS:
+        MAKERS[name](spark, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
+    for name in MAKERS:
+        _stored[sf_dir, name] = f"{folder}/{name}"
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return MAKERS[name](spark, sf_dir)
+    path = _stored.get((sf_dir, name))
+    return spark.read.schema("document_id string, xml string").parquet(path) if path else MAKERS[name](spark, sf_dir)
 
 
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +44,20 @@ def write_documents(df: DataFrame, path: str, column: str = "xml", id_col: str =
     shards = ["shard"] if "shard" in df.columns else []
     out = df.select(*shards, F.col(id_col).alias("document_id"), F.col(column).cast("string").alias("value"))
     out.write.mode("overwrite").partitionBy(*shards, "document_id").text(path)
+
+
+def write_docset(df: DataFrame, path: str, head: str = "") -> None:
+    """Search documents (xml) as xmlpipe2 files, each a whole docset that begins with the given schema."""
+
+    def run(batches):
+        first = True
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            if first:
+                rows.insert(0, f'<?xml version="1.0" encoding="utf-8"?>\n<sphinx:docset xmlns:sphinx="sphinx">{head}')
+            first = False
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+        if not first:
+            yield pa.RecordBatch.from_arrays([pa.array(["</sphinx:docset>"], pa.string())], names=["value"])
+
+    df.select(F.col("xml").cast("string")).where("xml is not null").mapInArrow(run, "value string").write.mode("overwrite").text(path)
