@@ -10,7 +10,7 @@ from treeline.engine import Engine
 from treeline.functions import text as text_functions
 from treeline.operators import fulltext, publish, split, sync, validate
 from treeline.operators.shred import Filters, shred_all
-from treeline.plans.catalogue import DF, NUMBERED, TERMS, M2, O, _engine, _query, _values
+from treeline.plans.catalogue import DF, NUMBERED, TERMS, M2, O, _engine, _path, _query, _values
 from treeline.schema.xsd import compile_schema
 from treeline.sources import documents as readers
 from treeline.sources import fixtures, sinks
@@ -43,7 +43,11 @@ PRICE = f"""<xs:schema {_XS}><xs:complexType name="money"><xs:simpleContent><xs:
 #: Two tables that only hold others.
 BRIDGES = f"""<xs:schema {_XS}><xs:element name="r"><xs:complexType><xs:sequence><xs:element name="outer"><xs:complexType><xs:sequence><xs:element name="inner"><xs:complexType><xs:sequence>
  <xs:element name="leaf" maxOccurs="unbounded"><xs:complexType><xs:attribute name="v" type="xs:string"/></xs:complexType></xs:element></xs:sequence></xs:complexType></xs:element></xs:sequence></xs:complexType></xs:element></xs:sequence></xs:complexType></xs:element></xs:schema>"""
-TEXTS = {"book": BOOK, "nest": NEST, "mix": MIX, "merged": MERGED, "price": PRICE, "bridges": BRIDGES}
+#: Two document elements.
+ROOTS = f"""<xs:schema {_XS}><xs:element name="even"><xs:complexType><xs:attribute name="size" type="xs:int"/></xs:complexType></xs:element><xs:element name="odd"><xs:complexType><xs:attribute name="size" type="xs:int"/></xs:complexType></xs:element></xs:schema>"""
+#: Names that are words of SQL, have signs of it, or differ by case alone.
+NAMES = f"""<xs:schema {_XS}><xs:element name="Select"><xs:complexType><xs:sequence><xs:element name="From-Where" type="xs:string"/><xs:element name="from-where" type="xs:int"/></xs:sequence><xs:attribute name="Order" type="xs:long"/><xs:attribute name="a.b" type="xs:string"/></xs:complexType></xs:element></xs:schema>"""
+TEXTS = {"roots": ROOTS, "names": NAMES, "book": BOOK, "nest": NEST, "mix": MIX, "merged": MERGED, "price": PRICE, "bridges": BRIDGES}
 
 
 def _model(name: str, **options):
@@ -76,6 +80,10 @@ def _docs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     elif name == "mix":
         day, zone = F.concat(lit("2015-10-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0")), F.when(F.col("p_size") % 2 == 0, "+01:00").otherwise("")
         xml = F.concat(lit("<t><a>"), text_functions.xml_escape(F.col("p_brand")), lit("</a>"), F.array_join(F.transform(F.split("p_type", " "), lambda w: F.concat(lit('<c x="'), text_functions.xml_escape(w), lit('"/>'))), ""), lit("<b>"), day, lit("T01:02:03.5"), zone, lit("</b><e>1.50</e><d>"), day, zone, lit("</d><e>"), _s("p_size"), lit("</e></t>"))
+    elif name == "roots":
+        xml = F.concat(F.when(F.col("p_size") % 2 == 0, "<even").otherwise("<odd"), fixtures.attr("size", F.col("p_size")), lit("/>"))
+    elif name == "names":
+        xml = F.concat(lit("<Select"), fixtures.attr("Order", F.col("p_partkey")), fixtures.attr("a.b", F.col("p_brand")), lit("><From-Where>"), text_functions.xml_escape(F.col("p_name")), lit("</From-Where><from-where>"), _s("p_size"), lit("</from-where></Select>"))
     elif name == "merged":
         xml = F.concat(lit('<t><a><v x="'), _s("p_size"), lit('"/></a><b><v x="'), text_functions.xml_escape(F.col("p_brand")), lit('"/></b></t>'))
     elif name == "price":
@@ -89,6 +97,17 @@ def _of(spark: SparkSession, sf_dir: str, name: str, **options) -> Engine:
     return Engine.of_documents(_docs(spark, sf_dir, name), _model(name, **options))
 
 
+def _raised(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
+    """The expression, and whether it is refused."""
+    from treeline.xpath.parser import XPathError
+
+    try:
+        _engine(spark, sf_dir, "catalog").xpath(expression)
+    except XPathError:
+        return spark.createDataFrame([(expression, True)], "expression string, refused boolean")
+    return spark.createDataFrame([(expression, False)], "expression string, refused boolean")
+
+
 def _ask(name: str, fixture: str, expression: str, sql: str, *, model_options: dict | None = None, **options) -> None:
     _query(name, sql)(lambda spark, sf_dir: _of(spark, sf_dir, fixture, **(model_options or {})).xpath(expression, **options))
 
@@ -107,6 +126,33 @@ _ask("prj2_namespace_uri", "book", "namespace-uri(//supplier)", "SELECT 'urn:boo
 _ask("prj2_prefixed_name", "book", "name(//supplier)", "SELECT 'b:supplier' AS name")
 _ask("prj2_prefixed_steps", "book", "/b:book/b:supplier/@key", "SELECT s_suppkey AS key FROM supplier")
 
+_ask("xsd1_document_element", "roots", "/odd/@size", "SELECT p_size AS size FROM part WHERE p_size % 2 = 1", model_options={"root": "odd"})
+_ask("xsd7_repeated_choice", "mix", "/t/e/text()", "SELECT content::DECIMAL(38,18)::VARCHAR AS content FROM (SELECT unnest([1.5, p_size]) AS content FROM part)")
+_ask("xsd20_quoted_names", "names", "/Select[from-where > 20]/From-Where", "SELECT p_name AS \"From_Where\" FROM part WHERE p_size > 20")
+_ask("xsd20_signs_in_names", "names", "/Select/@a.b", "SELECT p_brand AS a_b FROM part")
+for _n, _e in (("fn04_id", "//part[id('x')]"), ("ax9_namespace", "/catalog/namespace::x"), ("nt4_comment", "/catalog/part/comment()"), ("nt4_processing_instruction", "/catalog/part/processing-instruction()")):
+    _query(_n, f"SELECT '{_e.replace(chr(39), chr(39) * 2)}' AS expression, true AS refused")(lambda spark, sf_dir, e=_e: _raised(spark, sf_dir, e))
+
+# Axes in predicates ----------------------------------------------------------------------------------------------------
+
+_path("ax7_following_in_predicate", "geo", "/geo/customer/order[following-sibling::order/@status='P']/@key", "SELECT o_orderkey AS key FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < (SELECT max(p.o_orderkey) FROM orders p WHERE p.o_custkey = orders.o_custkey AND p.o_orderstatus = 'P')")
+_path("ax7_preceding_in_predicate", "geo", "/geo/customer/order[not(preceding-sibling::order)]/@key", f"SELECT o_orderkey AS key FROM {NUMBERED} WHERE i = 1")
+_path("ax8_preceding_in_predicate", "geo", "/geo/customer/order[preceding::lineitem/@quantity > 49]/@key", f"SELECT o_orderkey AS key FROM {O} WHERE o_orderkey > (SELECT min(l_orderkey) FROM lineitem JOIN orders p ON l_orderkey = p.o_orderkey WHERE p.o_custkey = orders.o_custkey AND l_quantity > 49)")
+
+
+@_query("xsd19_database_of_namespace", "SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance FROM supplier")
+def _by_namespace(spark, sf_dir):
+    """A table made in the database of its namespace, filled and read."""
+    from treeline.schema import ddl
+
+    e, folder = _of(spark, sf_dir, "book"), workspace.new_folder(spark, "database")
+    name = ddl.database_of(e.model, "supplier", by_namespace=True) + "_" + folder.rpartition("-")[2]
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{folder}'")
+    spark.sql(ddl.create_table(e.model, "supplier", name))
+    e.table("supplier").write.insertInto(f"{name}.supplier")
+    return spark.table(f"{name}.supplier").select("key", "name", "balance")
+
+
 # Recursion -------------------------------------------------------------------------------------------------------------
 
 DEPTH = "(SELECT p_partkey, p_size % 7 + 1 AS depth, unnest(range(1, p_size % 7 + 2))::INT AS k FROM part)"

@@ -250,6 +250,10 @@ class Planner:
                     return k, c
         return None
 
+    def one_beside(self, ctx: Context, n: Nodes) -> tuple[int, Beside] | None:
+        """aside() of a single bound whose column has no conditions of its own."""
+        return self.aside(ctx, n.bounds[0]) if len(n.bounds) == 1 and not n.absolute and not n.bounds[0].conditions and not self.bag else None
+
     def column(self, b: Bound) -> Column:
         """Value of a bound column: typed, or text of what lies in open content."""
         t = self.model.tables[b.table]
@@ -301,12 +305,12 @@ class Planner:
             all_ = all_.unionByName(r)
         return all_
 
-    def beside_values(self, ctx: Context, b: Bound, at: int, c: Beside) -> DataFrame:
-        """values() of nodes before or after the context's row."""
+    def beside_rows(self, ctx: Context, b: Bound, at: int, c: Beside) -> tuple[DataFrame, tuple[str, str, str]]:
+        """(k, x, y, __value, __order) of the nodes that b leads to: what they have in common with the context's row, and the
+        span of the node beside it that they are at or below; and the names of the first three."""
         if not self.source.ordered:
             raise XPathError("this axis needs tables with document order")
         level = replace(b.levels[at], conditions=tuple(x for x in b.levels[at].conditions if x is not c))
-        table, own = ctx.levels[-1].table, ctx.levels[-1]
         k, x, y = self.new("k"), self.new("x"), self.new("y")
         first = self.restricted(self.rows(level.table), (*b.levels[:at], level)) if c.siblings else self.frame((*b.levels[:at], level))
         key = self.foreign(level) if c.siblings else self.document(level.table)
@@ -318,11 +322,27 @@ class Planner:
             rows = self.restricted(self.rows(nxt.table), (*b.levels[:at], level, nxt)).join(up, self.foreign(nxt) == F.col(p)).drop(p)
             here = nxt
         rows = rows.select(k, x, y, self.column(b).alias("__value"), self.order(b.table).alias("__order"))
-        if b.field is not None:
-            rows = rows.where(F.col("__value").isNotNull())
-        mine = ctx.df.select(self.primary(table).alias("__key"), (self.foreign(own) if c.siblings else self.document(table)).alias("__mine"), self.col(table, "_begin").alias("__b"), self.col(table, "_end").alias("__e"))
+        return (rows if b.field is None else rows.where(F.col("__value").isNotNull())), (k, x, y)
+
+    def beside_own(self, ctx: Context, c: Beside) -> DataFrame:
+        """(__key, __mine, __b, __e) of the context's rows: what beside_rows() shares with them, and their span."""
+        table, own = ctx.levels[-1].table, ctx.levels[-1]
+        return ctx.df.select(self.primary(table).alias("__key"), (self.foreign(own) if c.siblings else self.document(table)).alias("__mine"), self.col(table, "_begin").alias("__b"), self.col(table, "_end").alias("__e"))
+
+    def beside_values(self, ctx: Context, b: Bound, at: int, c: Beside) -> DataFrame:
+        """values() of nodes before or after the context's row."""
+        rows, (k, x, y) = self.beside_rows(ctx, b, at, c)
         where = (F.col(x) > F.col("__e")) if c.before else (F.col(y) < F.col("__b"))
-        return mine.join(rows, (F.col("__mine") == F.col(k)) & where).select("__key", "__value", "__order")
+        return self.beside_own(ctx, c).join(rows, (F.col("__mine") == F.col(k)) & where).select("__key", "__value", "__order")
+
+    def beside_keys(self, ctx: Context, b: Bound, at: int, c: Beside, ok: Column | None) -> DataFrame:
+        """Keys of the context's rows that have a node before or after them whose __value is ok: the last one that begins, or
+        the first that ends, tells it for all rows of a parent or document, so that no pairs are made."""
+        rows, (k, x, y) = self.beside_rows(ctx, b, at, c)
+        rows = rows if ok is None else rows.where(ok)
+        edge = rows.groupBy(k).agg((F.max(x) if c.before else F.min(y)).alias("__edge"))
+        where = (F.col("__edge") > F.col("__e")) if c.before else (F.col("__edge") < F.col("__b"))
+        return self.beside_own(ctx, c).join(edge, (F.col("__mine") == F.col(k)) & where).select("__key")
 
     def field_condition(self, ctx: Context, b: Bound, c: tuple) -> DataFrame:
         inner = Context(ctx.df, b.levels, b.field, c[1])
@@ -412,6 +432,8 @@ class Planner:
         if isinstance(ast, (Path, Union)):
             n = self.nodes(ctx, ast)
             if n is not None and n.bounds and not any(self.is_local(ctx, b) for b in n.bounds):
+                if (beside := self.one_beside(ctx, n)) is not None:
+                    return self.beside_keys(ctx, n.bounds[0], *beside, None)
                 return self.values(ctx, n).select("__key")
             return None
         if isinstance(ast, Binary) and ast.op in FLIP:
@@ -419,8 +441,10 @@ class Planner:
                 if isinstance(a, (Path, Union)) and isinstance(b, (Literal, Variable)):
                     n = self.nodes(ctx, a)
                     if n.bounds and not any(self.is_local(ctx, x) for x in n.bounds):
-                        v = self.values(ctx, n)
                         kind, c = self.value(ctx, b)
+                        if (beside := self.one_beside(ctx, n)) is not None:
+                            return self.beside_keys(ctx, n.bounds[0], *beside, self.compared(op, self.raw(n, F.col("__value")), (kind, c, self.constant(b))))
+                        v = self.values(ctx, n)
                         return v.where(self.compared(op, self.raw(n, F.col("__value")), (kind, c, self.constant(b)))).select("__key")
         return None
 
