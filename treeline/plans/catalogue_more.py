@@ -161,7 +161,7 @@ _ask("ax1_deep_steps", "nest", "/t/n/n/n/n/n/@k", f"SELECT k FROM {DEPTH} WHERE
 _ask("ax3_below_at_any_depth", "nest", "//n[@k=3]//n/@k", f"SELECT k FROM {DEPTH} WHERE k > 3")
 _ask("ax5_ancestors_at_any_depth", "nest", "//n[@k=5]/ancestor::n/@k", f"SELECT k FROM {DEPTH} WHERE k < 5 AND depth >= 5")
 _ask("flt4_deepest", "nest", "//n[not(n)]/@k", f"SELECT k FROM {DEPTH} WHERE k = depth")
-_ask("agg1_any_depth", "nest", "count(//n)", "SELECT p_partkey::VARCHAR AS document_id, p_size % 7 + 1 AS count FROM part", keys=True)
+_ask("agg1_any_depth", "nest", "count(//n)", "SELECT p_partkey::VARCHAR AS document_id, (p_size % 7 + 1)::BIGINT AS count FROM part", keys=True)
 
 
 # Publishing ------------------------------------------------------------------------------------------------------------
