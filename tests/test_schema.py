@@ -221,3 +221,10 @@ def test_databases_by_namespace():
     text = ddl.ddl(m, "main", by_namespace=True)
     assert "CREATE DATABASE IF NOT EXISTS `b`;" in text and "CREATE TABLE `b`.`supplier`" in text and "`main`" not in text
     assert "CREATE TABLE `main`.`supplier`" in ddl.ddl(m, "main")
+
+
+@pytest.mark.parametrize("allowed,fine,bad", [("##other", '<o:x xmlns:o="urn:o"/>', "<x/>"), ("##local", "<x/>", '<o:x xmlns:o="urn:o"/>'), ("urn:o urn:p", '<o:x xmlns:o="urn:p"/>', '<o:x xmlns:o="urn:q"/>'), ("##any", "<x/>", None)])
+def test_namespaces_of_wildcards(allowed, fine, bad):
+    m = compile_schema(f'<xs:schema {XS}><xs:element name="t"><xs:complexType><xs:sequence><xs:any namespace="{allowed}" maxOccurs="2"/></xs:sequence></xs:complexType></xs:element></xs:schema>')
+    assert validate.structural_errors(m, f"<t>{fine}</t>") == []
+    assert bad is None or validate.structural_errors(m, f"<t>{bad}</t>") == ["/t/x: namespace"]

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.operators.shred import checked, local, raw_rows
+from treeline.operators.shred import checked, local, raw_rows, raw_tables
 from treeline.schema import model as M
 from treeline.schema.types import parsed
+from treeline.workspace import new_folder
 
 
 @F.arrow_udf(T.BooleanType())
@@ -42,8 +43,29 @@ def member_types(c: Column, f: M.Field) -> Column:
 
 def invalid_values(docs: DataFrame, model: M.SchemaModel, table: str) -> DataFrame:
     """(document_id, column, value, reason) of values that are not of their type or beyond their facets."""
-    fields = [f for f in model.tables[table].content if f.role not in (M.ANY, M.ANY_ATTRIBUTE)]
-    raw = raw_rows(docs, model, table, ["document_id", *[f.name for f in fields]])
+    fields = _checked_fields(model, table)
+    return _invalid(raw_rows(docs, model, table, ["document_id", *[f.name for f in fields]]), model, fields)
+
+
+def document_errors(docs: DataFrame, model: M.SchemaModel) -> DataFrame:
+    """(document_id, error): all that invalid_documents() finds, and `table.column: reason` for each invalid value of any table.
+
+    Values are read by one parse; what is not well-formed has no values.
+    """
+    names = [t for t in model.reachable(model.root) if _checked_fields(model, t)]
+    wanted = {t: ["document_id", *[f.name for f in _checked_fields(model, t)]] for t in names}
+    out = invalid_documents(docs, model)
+    for t, raw in raw_tables(docs, model, wanted, new_folder(docs.sparkSession, "values"), malformed="drop").items():
+        bad = _invalid(raw, model, _checked_fields(model, t))
+        out = out.unionAll(bad.select("document_id", F.concat(F.lit(f"{t}."), "column", F.lit(": "), "reason")))
+    return out
+
+
+def _checked_fields(model: M.SchemaModel, table: str) -> list[M.Field]:
+    return [f for f in model.tables[table].content if f.role not in (M.ANY, M.ANY_ATTRIBUTE)]
+
+
+def _invalid(raw: DataFrame, model: M.SchemaModel, fields: list[M.Field]) -> DataFrame:
     checks = []
     for f in fields:
         c = F.col(f"`{f.name}`")
@@ -110,6 +132,23 @@ def content_pattern(part: list) -> str:
     return f"(?:{one}){_times(least, most)}" if (least, most) != (1, 1) or "|" in one else one
 
 
+def _wild(part: list) -> list[str]:
+    """Namespaces that the wildcards of a content model allow."""
+    if part[0] == "any":
+        return [part[3]]
+    return [x for p in part[3] if isinstance(p, list) for x in _wild(p)] if part[0] != "el" else []
+
+
+def _allowed(uri: str, wild: list[str], target: str) -> bool:
+    """Whether a namespace is one that a wildcard allows; no namespace is the empty one."""
+    for w in wild:
+        if w == "##any" or w == "##other" and uri not in ("", target):
+            return True
+        if any(x == uri or x == "##local" and not uri or x == "##targetNamespace" and uri == target for x in w.split()):
+            return True
+    return False
+
+
 def _times(least: int, most: int | None) -> str:
     return f"{{{least},{'' if most is None else most}}}"
 
@@ -136,6 +175,7 @@ def structural_errors(model: M.SchemaModel, text: str) -> list[str]:
             out.extend(f"{path}/@{a}: unknown" for a in sorted(have - set(attributes)))
         out.extend(f"{path}/@{a}: missing" for a, f in attributes.items() if f.required and a not in have)
         count: dict[str, int] = {}
+        wild = _wild(t.model) if t.model is not None and M.ANY in roles else []
         for c in el:
             n = local(c.tag)
             count[n] = count.get(n, 0) + 1
@@ -143,6 +183,8 @@ def structural_errors(model: M.SchemaModel, text: str) -> list[str]:
                 visit(edges[n].child, c, f"{path}/{n}")
             elif n not in elements and M.ANY not in roles:
                 out.append(f"{path}/{n}: unknown")
+            elif n not in elements and wild and not _allowed(c.tag[1:].partition("}")[0] if c.tag.startswith("{") else "", wild, model.namespace):
+                out.append(f"{path}/{n}: namespace")
         for n, f in elements.items():
             if f.required and not count.get(n):
                 out.append(f"{path}/{n}: missing")

@@ -213,6 +213,14 @@ def _members(spark, sf_dir):
     return validate.invalid_values(_docs(spark, sf_dir, "book"), _model("book"), "supplier")
 
 
+@_query("val3_all_errors", "SELECT s_suppkey::VARCHAR AS document_id, 'supplier.mark: type' AS error FROM supplier WHERE s_suppkey % 3 = 2 UNION ALL SELECT s_suppkey::VARCHAR, 'supplier.codes: type' FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey::VARCHAR, '/book/supplier: order of children' FROM supplier WHERE s_suppkey % 5 = 0")
+def _all_errors(spark, sf_dir):
+    """Documents of suppliers, of which every fifth has its last two children before the mark."""
+    docs = _docs(spark, sf_dir, "book")
+    turned = F.regexp_replace("xml", "(<mark>.*</mark>)(<home>.*</abroad>)", "$2$1")
+    return validate.document_errors(docs.select("document_id", F.when(F.col("document_id").cast("bigint") % 5 == 0, turned).otherwise(F.col("xml")).alias("xml")), _model("book"))
+
+
 @_query("val3_order_of_children", "SELECT p_partkey::VARCHAR AS document_id, '/item: order of children' AS error FROM part WHERE p_size > 25")
 def _order_of_children(spark, sf_dir):
     turned = F.when(F.col("p_size") > 25, F.regexp_replace("xml", "(<name>.*</name>)(<price.*</price>)", "$2$1")).otherwise(F.col("xml"))
