@@ -90,7 +90,8 @@ def edit_distance_within(item: bytes, region: bytes) -> int:
 class Index:
     """Items with their pieces, and buckets of their sampled embeddings."""
 
-    def __init__(self, items: list[tuple[object, bytes]], share: float = SHARE, recall: float = RECALL, repeats: int = REPEATS, seed: int = 1):
+    def __init__(self, items: list[tuple[object, bytes]], share: float = SHARE, recall: float = RECALL, repeats: int = REPEATS, seed: int = 1, places: int = PLACES):
+        """places: the most sampled places that are tried."""
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.size = np.array([len(t) for t in self.texts], np.int64)
@@ -118,9 +119,9 @@ class Index:
         self.of, self.within, self.last, self.further = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], _U), np.array([r[4] for r in rows], np.int64)
         self.bloom = np.zeros(1 << 18, bool)
         self.bloom[self._slot(self.piece)] = True
-        self.recall = 1.0
+        self.recall, self.places = 1.0, places
         if units:
-            self._choose(recall, repeats, np.random.default_rng(seed))
+            self._choose(recall, repeats, places, np.random.default_rng(seed))
 
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
@@ -158,7 +159,7 @@ class Index:
             key ^= key >> _U(29)
         return key
 
-    def _choose(self, recall: float, repeats: int, rng) -> None:
+    def _choose(self, recall: float, repeats: int, most: int, rng) -> None:
         """The most sampled places at which copies with the most edits are found with the wanted recall."""
         texts, want = [], []
         for n in np.tile(np.arange(len(self.units)), -(-200 // len(self.units))).tolist():
@@ -176,7 +177,7 @@ class Index:
         data = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         found = self.windows(data, offsets)
-        for places, times in [(p, repeats) for p in range(PLACES, 0, -1)] + [(1, t) for t in (2 * repeats, 4 * repeats) if t <= MOST_REPEATS] + [(0, 1)]:
+        for places, times in [(p, repeats) for p in range(most, 0, -1)] + [(1, t) for t in (2 * repeats, 4 * repeats) if t <= MOST_REPEATS] + [(0, 1)]:
             self._buckets(places, times)
             row, unit, _ = self._meeting(data, offsets, *found)
             hit = set(zip(row.tolist(), unit.tolist()))
@@ -276,13 +277,16 @@ def build_indexes(bench: DataFrame, id_col: str = "item_id", text_col: str = "te
     items = pick(bench, id=id_col, text=text_col).where("text is not null and id is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = max(1, -(-int(total) // size))
-    out = []
+    out, places = [], PLACES
     placed = items.withColumn("s", F.pmod(F.xxhash64("id", "text"), F.lit(slices))).orderBy("s", "id", "text")
     for _, rows in groupby(placed.toLocalIterator(), lambda r: r["s"]):
         folded = [(r["id"], fold(np.frombuffer(r["text"].encode(), np.uint8)).tobytes()) for r in rows]
         folded = [(i, t) for i, t in folded if len(t) >= max(1, min_item)]
         if folded:
-            out.append(spark.sparkContext.broadcast(Index(folded, share)))
+            # Items of one benchmark are alike: the next index tries few more places than did for this one.
+            index = Index(folded, share, places=places)
+            places = min(PLACES, index.places + 2)
+            out.append(spark.sparkContext.broadcast(index))
     return [out[k : k + AT_ONCE] for k in range(0, len(out), AT_ONCE)]
 
 
