@@ -117,3 +117,42 @@ def test_empty_tables_and_bad_thresholds(spark):
     assert J.near_duplicates(df).count() == 0
     with pytest.raises(ValueError):
         J.ngram_jaccard_links(df, threshold=0)
+
+
+def test_pairs_are_handed_on_before_they_fill_a_task(monkeypatch):
+    # Held until the end, the pairs of a part took ever more memory of a worker as tables grew.
+    import pyarrow as pa
+
+    class Classes:
+        value = bytes(1 << J.CLASS_BITS)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([x for _, x in corpus(5, 300)])], names=["text"])
+    entries = [b for b in J._index(2, 0.7, 1, Classes, 1)([batch])]
+
+    def summed():
+        got, most = {}, 0
+        for b in J._candidates(0.7)(iter(entries)):
+            most = max(most, len(b))
+            for r in b.to_pylist():
+                shared, need = got.get((r["a"], r["b"]), (0, r["need"]))
+                assert need == r["need"]
+                got[r["a"], r["b"]] = shared + r["shared"], need
+        return got, most
+
+    whole, _ = summed()
+    monkeypatch.setattr(J, "PAIRS", 256)
+    assert summed() == (whole, 32) and len(whole) > 1000
+
+
+def test_a_bucket_of_pairs_has_few_bytes_of_sets(spark, monkeypatch):
+    monkeypatch.setattr(J, "HELD", 16_000)
+    ids = list(range(200))
+    # All sets have one least hash, so that all pairs have one key.
+    sets = spark.createDataFrame([(i, 7, bytes(1000)) for i in ids], "fp bigint, m bigint, grams binary")
+    pairs = [(a, b) for a in ids for b in ids if a < b]
+    got = J._placed(spark.createDataFrame(pairs, "a bigint, b bigint"), sets).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == pairs
+    held = {}
+    for r in got:
+        held.setdefault(r["at"], set()).update((r["a"], r["b"]))
+    assert 1000 * max(map(len, held.values())) <= 6 * J.HELD < 1000 * len(ids)

@@ -21,6 +21,7 @@ is known by 64 bits of fingerprint.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ LEAST, SHARE, MOST = 64, 64, 16384
 FLUSH = 1 << 22
 #: Pairs that a task gathers before it adds up equal ones, and entries that it pairs at a time.
 PAIRS = 1 << 20
+#: Pairs, and bytes of sets, that are verified at a time.
+TOGETHER, HELD = 1 << 16, 1 << 24
 #: What a common combination counts.
 COMBINED = 1 << 40
 _U = np.uint64
@@ -181,28 +184,38 @@ def _index(n: int, t: float, parts: int, classes, frequent: int):
 
 
 def _candidates(t: float):
-    """Reduce side: pairs of different sets whose sizes allow t, with how many entries of this part they share and need."""
+    """Reduce side: pairs of different sets whose sizes allow t, with how many entries of this part they share and need.
 
-    def run(batch: pa.Table) -> pa.Table:
+    A pair may come more than once: when more than PAIRS different ones are gathered, they are handed on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, owners, prints, sizes, base = [], [], [], [], 0
-        for r in batch.to_pylist():
-            tk, fp = unpack(r["token"]), np.frombuffer(r["fp"], np.int64)
-            ow = np.frombuffer(r["owner"], np.uint16 if len(fp) <= 1 << 16 else np.uint32)
-            tokens.append(tk)
-            owners.append(ow.astype(np.int64) + base)
-            prints.append(fp)
-            sizes.append(np.frombuffer(r["size"], np.int32))
-            base += len(fp)
-        token, owner, fp, size = (np.concatenate(x) for x in (tokens, owners, prints, sizes))
-        del tokens, owners, prints, sizes
+        for batch in batches:
+            for r in range(len(batch)):
+                blob, own, fp, size = (batch.column(c)[r].as_buffer() for c in ("token", "owner", "fp", "size"))
+                fp = np.frombuffer(fp, np.int64).copy()
+                own = np.frombuffer(own, np.uint16 if len(fp) <= 1 << 16 else np.uint32)
+                tokens.append(unpack(memoryview(blob)))
+                owners.append(own.astype(np.uint32) + np.uint32(base))
+                prints.append(fp)
+                sizes.append(np.frombuffer(size, np.int32).copy())
+                base += len(fp)
+        fp, size = np.concatenate(prints), np.concatenate(sizes)
+        del prints, sizes
         # Equal sets become one: the number of a set is its place among the distinct fingerprints.
         sets, first, same = np.unique(fp, return_index=True, return_inverse=True)
-        size, owner = size[first].astype(np.int64), same[owner]
-        key = (token.astype(_U) << _U(32)) | owner.astype(_U)
+        size, same = size[first].astype(np.int64), same.astype(np.uint32)
+        del fp, first
+        key = np.concatenate(tokens).astype(_U)
+        tokens.clear()
+        key <<= _U(32)
+        key |= same[np.concatenate(owners)]
+        del owners, same
         key.sort()
         key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
         token, owner = (key >> _U(32)).astype(np.uint32), key.astype(np.uint32)
-        del key, fp, first, same
+        del key
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         last = np.repeat(np.append(starts[1:], len(token)), np.diff(starts, append=len(token))) if len(token) else starts
         held, weights, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
@@ -216,6 +229,15 @@ def _candidates(t: float):
             at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
             return pair[at], np.add.reduceat(weight, at) if len(at) else weight
 
+        def handed(found, shared):
+            for lo in range(0, len(found), PAIRS // 8):
+                pair = found[lo : lo + PAIRS // 8]
+                a, b = pair // len(sets), pair % len(sets)
+                # One less than the theorem needs, for two tokens of a set that look alike in 32 bits.
+                need = np.maximum(1, K - 2 + np.minimum(size[a], size[b]) // EXTEND)
+                a, b = sets[a], sets[b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared[lo : lo + len(pair)]), pa.array(need)], names=["a", "b", "shared", "need"])
+
         for lo in range(0, len(token), PAIRS):
             left, d = np.arange(lo, min(lo + PAIRS, len(token))), 1
             while len(left := left[left + d < last[left]]):
@@ -227,17 +249,14 @@ def _candidates(t: float):
                 # As much is gathered as was found before, so that adding up stays in proportion.
                 if count > max(PAIRS, len(held[0])):
                     pair, weight = merged()
+                    if len(pair) > PAIRS:
+                        yield from handed(pair, weight)
+                        pair, weight = pair[:0], weight[:0]
                     held, weights, count = [pair], [weight], 0
                 d += 1
-        found, shared = merged()
+        yield from handed(*merged())
         del token, owner, last
-        a, b = found // max(len(sets), 1), found % max(len(sets), 1)
-        # One less than the theorem needs, for two tokens of a set that look alike in 32 bits.
-        need = np.maximum(1, K - 2 + np.minimum(size[a], size[b]) // EXTEND)
-        a, b = sets[a], sets[b]
-        out = pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "shared": pa.array(shared), "need": pa.array(need)})
         give_back()
-        return out
 
     return run
 
@@ -294,6 +313,22 @@ def _prints(text, n: int):
     return of(text)
 
 
+def _placed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, at) of all pairs: pairs with the same least hash of a set lie in one bucket, as long as they and their sets
+    are no more than a task may hold."""
+    about = sets.select("fp", "m", F.octet_length("grams").cast("long").alias("bytes"))
+    both = pairs.join(about.toDF("a", "ma", "bytes_a"), "a").join(about.toDF("b", "mb", "bytes_b"), "b")
+    keyed = cut(both.select("a", "b", F.least("ma", "mb").alias("key"), "bytes_a", "bytes_b"))
+    own = keyed.select("key", F.explode(F.array(F.struct(F.col("a").alias("fp"), F.col("bytes_a").alias("bytes")), F.struct(F.col("b").alias("fp"), F.col("bytes_b").alias("bytes")))).alias("s")).select("key", "s.*").distinct()
+    held = own.groupBy("key").agg(F.sum("bytes").alias("bytes")).join(keyed.groupBy("key").agg(F.count("*").alias("pairs")), "key")
+    # A key of very many pairs or bytes is cut into squares, each with a part of the sets for either side.
+    squares = F.greatest(F.ceil(F.sqrt(F.col("pairs") / TOGETHER)), F.when(F.col("bytes") > HELD, F.ceil(2 * F.col("bytes") / HELD)).otherwise(1))
+    cells = cut(held.withColumn("s", squares))
+    sums = cells.agg(F.coalesce(F.sum(F.when(F.col("s") > 1, 2 * F.col("s")).otherwise(1) * F.col("bytes")), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+    buckets = max(pieces(int(sums[0]), HELD, 16), pieces(int(sums[1]), TOGETHER, 16))
+    return keyed.join(cells.select("key", "s"), "key").select("a", "b", F.pmod(F.xxhash64("key", F.pmod("a", "s"), F.pmod("b", "s")), F.lit(buckets)).cast("int").alias("at"))
+
+
 def set_pairs(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(id, th, fp) of all texts with words, and (a, b, jaccard) of the pairs of different sets."""
     if not 0 < threshold <= 1:
@@ -318,12 +353,7 @@ def set_pairs(df: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     sets = docs.join(one, ["id", "th"], "left_semi").select("text").mapInArrow(_sets(n), "fp bigint, m bigint, grams binary")
     # Repeated rows of a document give its set more than once.
     sets = cut(sets.dropDuplicates(["fp"]))
-    m = sets.select("fp", "m")
-    keyed = pairs.join(m.toDF("a", "ma"), "a").join(m.toDF("b", "mb"), "b").select("a", "b", F.least("ma", "mb").alias("key"))
-    # A key of very many pairs is cut into squares.
-    hot = keyed.groupBy("key").agg(F.ceil(F.sqrt(F.count("*") / (1 << 20))).alias("s"))
-    buckets = pieces(pairs.count(), 1 << 16, 16)
-    placed = cut(keyed.join(hot, "key").select("a", "b", F.pmod(F.xxhash64("key", F.pmod("a", "s"), F.pmod("b", "s")), F.lit(buckets)).cast("int").alias("at")))
+    placed = cut(_placed(pairs, sets))
     where = placed.select("at", F.explode(F.array("a", "b")).alias("fp")).distinct()
     sent = where.join(sets, "fp").select(F.col("at").alias("to"), "fp", "grams")
     verified = placed.groupBy("at").cogroup(sent.groupBy("to")).applyInArrow(_verify(threshold), "a bigint, b bigint, jaccard double")
