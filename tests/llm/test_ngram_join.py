@@ -156,3 +156,12 @@ def test_a_bucket_of_pairs_has_few_bytes_of_sets(spark, monkeypatch):
     for r in got:
         held.setdefault(r["at"], set()).update((r["a"], r["b"]))
     assert 1000 * max(map(len, held.values())) <= 6 * J.HELD < 1000 * len(ids)
+
+
+def test_small_buckets_drop_the_same_copies(spark, monkeypatch):
+    # The pipeline's third stage, with keys cut into squares.
+    df = spark.createDataFrame(corpus(11, 100), "doc_id bigint, text string")
+    usual = sorted(map(tuple, J.near_duplicates(df).collect()))
+    monkeypatch.setattr(J, "HELD", 500)
+    monkeypatch.setattr(J, "TOGETHER", 4)
+    assert usual and sorted(map(tuple, J.near_duplicates(df).collect())) == usual
