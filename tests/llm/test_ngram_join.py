@@ -165,3 +165,40 @@ def test_small_buckets_drop_the_same_copies(spark, monkeypatch):
     monkeypatch.setattr(J, "HELD", 500)
     monkeypatch.setattr(J, "TOGETHER", 4)
     assert usual and sorted(map(tuple, J.near_duplicates(df).collect())) == usual
+
+
+def test_a_set_is_worked_out_once(spark):
+    # A condition on the fingerprints' size ran the whole of it again, in a second worker of each task.
+    docs = J._prepared(spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string"), "doc_id", "text")
+    assert J._known(docs, 2)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_pairs_are_counted_where_both_sizes_allow():
+    # Sets that meet only where no pair of their sizes needs to were candidates: billions of rows at some GB.
+    import pyarrow as pa
+
+    class Classes:
+        value = bytes(1 << J.CLASS_BITS)
+
+    r = random.Random(1)
+    rows = corpus(5, 300) + [(1000 + i, " ".join(f"v{r.randrange(40)}" for _ in range(120))) for i in range(100)]
+    rows = [(i, x) for i, x in rows if grams(x, 2)]
+    rows = [(i, x.lower()) for i, x in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array([x for _, x in rows])], names=["text"])
+    g = [J.gram_sets(J.np.frombuffer(x.encode(), J.np.uint8), J.np.array([0, len(x.encode())]), 2)[1] for _, x in rows]
+    fp = [int(J._set_prints(J.np.zeros(len(x), J.np.int64), x, 1)[0][0]) for x in g]
+    size = dict(zip(fp, map(len, g)))
+    for frequent in (1, 0):
+        got = {}
+        for part in J._candidates(0.7)(J._index(2, 0.7, 1, Classes, frequent)([batch])):
+            for c in part.to_pylist():
+                got[c["a"], c["b"]] = got.get((c["a"], c["b"]), 0) + c["shared"], c["need"]
+        own = {f: set(x.tolist()) for f, x in zip(fp, g)}
+        linked = {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) >= 0.7 * len(own[a] | own[b]) - 1e-12}
+        assert linked and linked <= {p for p, (shared, need) in got.items() if shared >= need}
+        if frequent:
+            # What they share lies in the prefixes of this pair, in order of hash.
+            for (a, b), (shared, _) in got.items():
+                x, y = sorted(own[a]), sorted(own[b])
+                o, k = J.math.ceil(0.7 / 1.7 * (size[a] + size[b]) - 1e-9), J.K + min(size[a], size[b]) // J.EXTEND
+                assert shared <= len(set(x[: len(x) - o + k]) & set(y[: len(y) - o + k]))

@@ -6,6 +6,10 @@ k is 2 for small sets and grows with the set, and the smaller of two sets' k hol
 are common to both prefixes, or all but one of the k are rare: rare tokens are indexed singly and counted, frequent ones
 are indexed only in combinations of two. What passes is verified on whole sets.
 
+Prefixes are indexed for the smallest set that a set may be linked to. With the sizes of both sets known, they must have
+o = t(|x| + |y|) / (1 + t) tokens in common, and the first |x| - o + k and |y| - o + k have k of them: what two sets share
+is counted only there.
+
 Frequency classes come from counts over all documents. They only order the tokens and tell rare from frequent; they
 never decide about a pair, so that hash collisions among them cost time alone.
 
@@ -45,7 +49,7 @@ PART = 1 << 26
 LEAST, SHARE, MOST = 64, 64, 16384
 FLUSH = 1 << 22
 #: Pairs that a task gathers before it adds up equal ones, and entries that it pairs at a time.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: Pairs, and bytes of sets, that are verified at a time.
 TOGETHER, HELD = 1 << 16, 1 << 24
 #: What a common combination counts.
@@ -119,33 +123,35 @@ def frequency_classes(texts: DataFrame, n: int, total_bytes: int) -> bytes:
 
 
 def _index(n: int, t: float, parts: int, classes, frequent: int):
-    """Map side of the index: for each part, entries of (token, number of the set) and the sets' fingerprints and sizes."""
+    """Map side of the index: for each part, entries of (token, number of the set, place of the token in the set) and the
+    sets' fingerprints and sizes."""
     pbits = int(math.log2(parts))
     # Within a part 32 bits of a token, or all that are left, tell it from others; a rare mistake makes a candidate that
     # fails. The last of them tells combinations from single ones.
     spare = max(0, GRAM_BITS - pbits - 32)
     mark = _U(1 << spare)
 
-    def flush(entries, owners, prints, sizes):
-        token, owner, fp, size = (np.concatenate(x) for x in (entries, owners, prints, sizes))
+    def flush(entries, owners, ranks, prints, sizes):
+        token, owner, rank, fp, size = (np.concatenate(x) for x in (entries, owners, ranks, prints, sizes))
         order = np.argsort(token)
-        token, owner = token[order], owner[order]
+        token, owner, rank = token[order], owner[order], rank[order]
         at = np.searchsorted(token, np.arange(1, parts, dtype=np.uint64) << _U(GRAM_BITS - pbits))
-        out = {k: [] for k in ("p", "token", "owner", "fp", "size")}
-        for p, (tk, ow) in enumerate(zip(np.split(token, at), np.split(owner, at))):
+        out = {k: [] for k in ("p", "token", "owner", "rank", "fp", "size")}
+        for p, (tk, ow, rk) in enumerate(zip(np.split(token, at), np.split(owner, at), np.split(rank, at))):
             if len(tk):
                 used, ow = np.unique(ow, return_inverse=True)
                 code = (tk >> _U(spare)).astype(np.uint32)
                 out["p"].append(p)
                 out["token"].append(pack(code))
                 out["owner"].append(ow.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes())
+                out["rank"].append(rk.tobytes())
                 out["fp"].append(fp[used].tobytes())
                 out["size"].append(size[used].astype(np.int32).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(out["p"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("token", "owner", "fp", "size")]], names=list(out))
+        return pa.RecordBatch.from_arrays([pa.array(out["p"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("token", "owner", "rank", "fp", "size")]], names=list(out))
 
     def run(batches):
         table_ = np.frombuffer(classes.value, np.uint8)
-        entries, owners, prints, sizes, count, sets = [], [], [], [], 0, 0
+        entries, owners, ranks, prints, sizes, count, sets = [], [], [], [], [], 0, 0
         for rows, row, g in _tokens(batches, n):
             fp, size = _set_prints(row, g, rows)
             cls = table_[(g >> _U(GRAM_BITS - CLASS_BITS)).astype(np.int64)]
@@ -155,10 +161,13 @@ def _index(n: int, t: float, parts: int, classes, frequent: int):
             need = np.ceil(t * size - 1e-9).astype(np.int64)
             rank = np.arange(len(g)) - ends[row]
             inside = rank < (size - need + K + size // EXTEND)[row]
+            # A place that is said to be nearer the front than it is makes a candidate that fails.
+            rank = np.minimum(rank, 0xFFFF).astype(np.uint16)
             often = (cls >= frequent) & (size > (K - 1) / t)[row]
             single = inside & ~often
             entries.append(g[single] & ~mark)
             owners.append(row[single] + sets)
+            ranks.append(rank[single])
             both = np.flatnonzero(inside & often)
             # Pairs of frequent tokens of one prefix: with the 1st, 2nd, ... next one as long as any row has it.
             left, d = np.arange(len(both)), 1
@@ -167,6 +176,7 @@ def _index(n: int, t: float, parts: int, classes, frequent: int):
                 a, b = both[left], both[left + d]
                 entries.append((mix(g[a] * _U(0xC2B2AE3D27D4EB4F) + g[b]) >> _U(64 - GRAM_BITS)) | mark)
                 owners.append(row[a] + sets)
+                ranks.append(rank[b])
                 count += len(a)
                 d += 1
             prints.append(fp)
@@ -174,10 +184,10 @@ def _index(n: int, t: float, parts: int, classes, frequent: int):
             sets += rows
             count += int(single.sum())
             if count >= FLUSH // 2:
-                yield flush(entries, owners, prints, sizes)
-                entries, owners, prints, sizes, count, sets = [], [], [], [], 0, 0
+                yield flush(entries, owners, ranks, prints, sizes)
+                entries, owners, ranks, prints, sizes, count, sets = [], [], [], [], [], 0, 0
         if sets:
-            yield flush(entries, owners, prints, sizes)
+            yield flush(entries, owners, ranks, prints, sizes)
         give_back()
 
     return run
@@ -190,14 +200,15 @@ def _candidates(t: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, owners, prints, sizes, base = [], [], [], [], 0
+        tokens, owners, ranks, prints, sizes, base = [], [], [], [], [], 0
         for batch in batches:
             for r in range(len(batch)):
-                blob, own, fp, size = (batch.column(c)[r].as_buffer() for c in ("token", "owner", "fp", "size"))
+                blob, own, rank, fp, size = (batch.column(c)[r].as_buffer() for c in ("token", "owner", "rank", "fp", "size"))
                 fp = np.frombuffer(fp, np.int64).copy()
                 own = np.frombuffer(own, np.uint16 if len(fp) <= 1 << 16 else np.uint32)
                 tokens.append(unpack(memoryview(blob)))
                 owners.append(own.astype(np.uint32) + np.uint32(base))
+                ranks.append(np.frombuffer(rank, np.uint16).copy())
                 prints.append(fp)
                 sizes.append(np.frombuffer(size, np.int32).copy())
                 base += len(fp)
@@ -212,10 +223,17 @@ def _candidates(t: float):
         key <<= _U(32)
         key |= same[np.concatenate(owners)]
         del owners, same
-        key.sort()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        order = np.argsort(key)
+        key, rank = key[order], np.concatenate(ranks)[order]
+        del order, ranks
+        if len(key):
+            once = np.concatenate([[True], key[1:] != key[:-1]])
+            key, rank = key[once], rank[once]
         token, owner = (key >> _U(32)).astype(np.uint32), key.astype(np.uint32)
         del key
+        # How many tokens of its set are from an entry's on.
+        rest = size[owner].astype(np.int32) - rank
+        del rank
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         last = np.repeat(np.append(starts[1:], len(token)), np.diff(starts, append=len(token))) if len(token) else starts
         held, weights, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
@@ -242,7 +260,9 @@ def _candidates(t: float):
             left, d = np.arange(lo, min(lo + PAIRS, len(token))), 1
             while len(left := left[left + d < last[left]]):
                 a, b = owner[left].astype(np.int64), owner[left + d].astype(np.int64)
-                ok = np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9
+                less, more = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+                common = np.ceil(t / (1 + t) * (less + more) - 1e-9) - K - less // EXTEND
+                ok = (less >= t * more - 1e-9) & (np.minimum(rest[left], rest[left + d]) > common)
                 held.append(np.minimum(a, b)[ok] * len(sets) + np.maximum(a, b)[ok])
                 weights.append(np.where(token[left][ok] & np.uint32(1), COMBINED, 1))
                 count += len(held[-1])
@@ -255,7 +275,7 @@ def _candidates(t: float):
                     held, weights, count = [pair], [weight], 0
                 d += 1
         yield from handed(*merged())
-        del token, owner, last
+        del token, owner, rest, last
         give_back()
 
     return run
@@ -300,7 +320,11 @@ def _prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _prints(text, n: int):
-    """struct(fp, size) of a text's set."""
+    """struct(fp, size) of a text's set.
+
+    Said to be nondeterministic, as a condition on it is otherwise moved before it and works out the sets a second time, in
+    a second Python worker for each task.
+    """
 
     @F.arrow_udf("struct<fp:bigint,size:int>")
     def of(column: pa.Array) -> pa.Array:
@@ -310,7 +334,12 @@ def _prints(text, n: int):
             fp[lo:hi], size[lo:hi] = _set_prints(row, g, hi - lo)
         return pa.StructArray.from_arrays([pa.array(fp), pa.array(size)], ["fp", "size"])
 
-    return of(text)
+    return of.asNondeterministic()(text)
+
+
+def _known(docs: DataFrame, n: int) -> DataFrame:
+    """(id, th, fp) of all texts with words."""
+    return docs.select("id", "th", _prints(F.col("text"), n).alias("s")).where("s.size > 0").select("id", "th", "s.fp")
 
 
 def _placed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -340,10 +369,10 @@ def set_pairs(df: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     total, documents = int(sized[0]), int(sized[1])
     parts = pieces(total, PART // 2)
 
-    known = cut(docs.select("id", "th", _prints(F.col("text"), n).alias("s")).where("s.size > 0").select("id", "th", "s.fp"))
+    known = cut(_known(docs, n))
     classes = spark.sparkContext.broadcast(frequency_classes(texts, n, total))
     frequent = int(math.log2(max(LEAST, min(documents // SHARE, MOST)))) + 1
-    index = texts.mapInArrow(_index(n, threshold, parts, classes, frequent), "p int, token binary, owner binary, fp binary, size binary")
+    index = texts.mapInArrow(_index(n, threshold, parts, classes, frequent), "p int, token binary, owner binary, rank binary, fp binary, size binary")
     found = index.groupBy("p").applyInArrow(_candidates(threshold), "a bigint, b bigint, shared bigint, need bigint")
     pairs = cut(found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b"))
 
