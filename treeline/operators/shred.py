@@ -1,17 +1,21 @@
 """Shredding: XML documents to the rows of the model's tables.
 
 Documents are parsed next to the data, in Arrow batches, and only what a query needs of them becomes rows: the walk goes
-down only where a wanted table lies, and only wanted columns leave Python. Values leave as text and get their types in
-the JVM. An empty value is null; a row that lacks a required value is left out with all below it. Children beyond their
+down only where a wanted table lies, and only wanted columns leave Python. The nodes of one table in many documents are
+taken together, column by column; documents with names of namespaces are walked node by node. Values leave as text and get
+their types in the JVM. An empty value is null; a row that lacks a required value is left out with all below it. Children beyond their
 greatest number are kept: validation reports them. A null or empty document has no rows, and one that is not well-formed
 is an error unless `malformed` is "drop".
 """
 
 from __future__ import annotations
 
+import hashlib
 import xml.etree.ElementTree as ET
+from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +23,11 @@ from pyspark.sql import functions as F
 from treeline.functions.keys import node_key
 from treeline.schema import model as M
 from treeline.schema.types import parsed
+from treeline.workspace import small_batches
 
-#: Rows of one Arrow batch that leaves Python.
-BATCH = 50_000
+#: Characters of XML whose trees a worker holds at a time, but for a document that is longer (few fit the CPU's caches and
+#: leave Python's collector little to look at), and bytes of rows that leave it together.
+CHUNK, BATCH = 1 << 16, 1 << 20
 _XSI = "{http://www.w3.org/2001/XMLSchema-instance}"
 
 
@@ -53,6 +59,47 @@ def parse(text: str | None, document: str | None = None, malformed: str = "raise
         raise ValueError(f"document {document} is not well-formed: {e}") from e
 
 
+def is_plain(text: str) -> bool:
+    """Whether no name in a document can be one of a namespace."""
+    return "xmlns" not in text and "xml:" not in text and "<!DOCTYPE" not in text
+
+
+def trees(batches, malformed: str):
+    """Lists of (document_id, document element, is_plain) from batches (document_id, xml)."""
+    for batch in batches:
+        found, size = [], 0
+        for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            root = parse(x, d, malformed)
+            if root is None:
+                continue
+            found.append((d, root, is_plain(x)))
+            size += len(x)
+            if size > CHUNK:
+                yield found
+                found, size = [], 0
+        if found:
+            yield found
+
+
+def gathered(parts):
+    """Batches of at least BATCH bytes; the first are smaller, for what ends with the first rows, and so is the last."""
+    held, size, least = [], 0, 1
+    for part in parts:
+        held.append(part)
+        size += part.nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size, least = [], 0, min(2 * size, BATCH)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _last(el: ET.Element) -> ET.Element:
+    while len(el):
+        el = el[-1]
+    return el
+
+
 def _plain(el: ET.Element) -> str:
     tail, el.tail = el.tail, None
     try:
@@ -62,7 +109,7 @@ def _plain(el: ET.Element) -> str:
 
 
 class Walker:
-    """Rows of some tables from one document at a time."""
+    """Rows of some tables: of many documents at a time as columns(), of one document as rows()."""
 
     def __init__(self, model: M.SchemaModel, wanted: dict[str, list[str]], order: bool = False):
         self.model, self.wanted, self.order = model, wanted, order
@@ -77,6 +124,9 @@ class Walker:
         self.hashed = {f.table for fs in self.fields.values() for f in fs if f.role == M.FOREIGN} | {n for n, fs in self.fields.items() if any(f.role == M.PRIMARY for f in fs)}
         #: Tables for which children are looked up by their name.
         self.looks = {n for n in model.tables if self.way[n] or any(f.role == M.ELEMENT for f in self.required[n]) or any(f.role in (M.ELEMENT, M.NESTED, M.INLINE) for f in self.fields.get(n, ()))}
+        #: Tables at or below which the paths of nodes are used.
+        pathed = self.hashed | {n for n, fs in self.fields.items() if any(f.role in (M.NESTED, M.XPATH) for f in fs)}
+        self.pathed = {t for t in model.tables if below[t] & pathed}
         self.names: dict = {}
 
     def name(self, tag) -> str:
@@ -93,6 +143,107 @@ class Walker:
             self.visit(top.name, root, f"{document}/{top.xml_name}", None, None, 1)
         return out
 
+    def columns(self, found: list[tuple]) -> dict[str, tuple[list[list], list[int]]]:
+        """For each wanted table the values of each column and the number of rows in each document of trees()."""
+        parts: dict[str, list[tuple[list[int], list]]] = {t: [] for t in self.wanted}
+        self.level([(k, d, root) for k, (d, root, plain) in enumerate(found) if plain], parts)
+        for k, (d, root, plain) in enumerate(found):
+            if not plain:
+                for t, rows in self.rows(d, root).items():
+                    if rows:
+                        parts[t].append(([k] * len(rows), list(zip(*rows))))
+        out = {}
+        for t, own in parts.items():
+            at = [k for ks, _ in own for k in ks]
+            width = len(self.wanted[t]) + 2 * self.order
+            cells = own[0][1] if len(own) == 1 else [[v for _, cs in own for v in cs[c]] for c in range(width)]
+            if len(own) > 1:
+                order = sorted(range(len(at)), key=at.__getitem__)
+                cells = [[c[i] for i in order] for c in cells]
+            count = Counter(at)
+            out[t] = cells, [count[k] for k in range(len(found))]
+        return out
+
+    def keys(self, paths: list[str]) -> list:
+        algorithm, size = self.keyed
+        if size != "long":
+            return [node_key(p, algorithm, size) for p in paths]
+        new = getattr(hashlib, algorithm)
+        # The least number has no positive counterpart here either.
+        return np.abs(np.frombuffer(b"".join([new(p.encode()).digest()[-8:] for p in paths]), ">i8").astype("i8")).tolist()
+
+    def level(self, found: list[tuple], parts: dict[str, list]) -> None:
+        """Adds (places of documents, columns) of each table's nodes that lie at the same path but for positions, from
+        documents (place, document_id, element) without namespaces."""
+        top = self.model.tables[self.model.root]
+        found = [x for x in found if x[2].tag == top.xml_name]
+        if not found:
+            return
+        names = {k: d for k, d, _ in found}
+        clock = {el: n for _, _, root in found for n, el in enumerate(root.iter(), 1)} if self.order else {}
+        paths = [f"{d}/{top.xml_name}" for _, d, _ in found] if top.name in self.pathed else None
+        todo = [(top.name, [x[2] for x in found], [x[0] for x in found], paths, None, None, [1] * len(found))]
+        while todo:
+            table, els, at, paths, parent, up, serial = todo.pop()
+            for f in self.required[table]:
+                there = self.texts(f, table, els)
+                if None in there:
+                    keep = [i for i, v in enumerate(there) if v is not None]
+                    els, at, serial = ([x[i] for i in keep] for x in (els, at, serial))
+                    paths, up = (x and [x[i] for i in keep] for x in (paths, up))
+            if not els:
+                continue
+            keys = self.keys(paths) if table in self.hashed else None
+            if table in self.wanted:
+                cells = []
+                for f in self.fields[table]:
+                    role = f.role
+                    if role == M.DOCUMENT:
+                        cells.append([names[k] for k in at])
+                    elif role == M.PRIMARY:
+                        cells.append(keys)
+                    elif role == M.FOREIGN:
+                        cells.append(up if parent == f.table else [None] * len(els))
+                    elif role == M.NESTED:
+                        name = self.edges[table][f.table].xml_name
+                        have = [i for i, el in enumerate(els) if el.find(name) is not None]
+                        nested = dict(zip(have, self.keys([f"{paths[i]}/{name}" for i in have])))
+                        cells.append([nested.get(i) for i in range(len(els))])
+                    elif role == M.SERIAL:
+                        cells.append(serial)
+                    elif role == M.XPATH:
+                        cells.append(self.keys([p[len(names[k]) :] for p, k in zip(paths, at)]))
+                    else:
+                        cells.append(self.texts(f, table, els))
+                if self.order:
+                    cells += [[clock[el] for el in els], [clock[_last(el)] for el in els]]
+                parts[table].append((at, cells))
+            for name, e in self.way[table].items():
+                below, idx, ks = [], [], []
+                for i, el in enumerate(els):
+                    got = el.findall(name)
+                    if got:
+                        below += got
+                        idx += [i] * len(got)
+                        ks += range(1, len(got) + 1)
+                if below:
+                    own = [f"{paths[i]}/{name}[{k}]" if e.repeated or k > 1 else f"{paths[i]}/{name}" for i, k in zip(idx, ks)] if e.child in self.pathed else None
+                    todo.append((e.child, below, [at[i] for i in idx], own, table, keys and [keys[i] for i in idx], ks))
+
+    def texts(self, f: M.Field, table: str, els: list) -> list:
+        """value() of the same column of several elements without namespaces."""
+        role, name = f.role, f.xml_name
+        if role == M.ATTRIBUTE:
+            return [el.get(name) or None for el in els]
+        if role == M.ELEMENT:
+            return [None if c is None else (c.text if not len(c) else "".join(c.itertext())) or None for c in [el.find(name) for el in els]]
+        if role == M.CONTENT:
+            return [el.text if el.text and el.text.strip() else None for el in els]
+        if role == M.INLINE:
+            name, _, attribute = name.partition("/@")
+            return [None if c is None else c.get(attribute) or None for c in [el.find(name) for el in els]]
+        return [self.value(f, table, el, el.attrib, {}) for el in els]
+
     def value(self, f: M.Field, table: str, el: ET.Element, attributes: dict, kids: dict) -> object:
         role = f.role
         if role == M.ATTRIBUTE:
@@ -189,6 +340,7 @@ def _kinds(model: M.SchemaModel, table: str, columns: list[str], order: bool) ->
 
 
 def _plain_docs(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("document_id").cast("string").alias("document_id"), F.col("xml").cast("string").alias("xml"))
 
 
@@ -197,21 +349,14 @@ def raw_rows(docs: DataFrame, model: M.SchemaModel, table: str, columns: list[st
     walker = Walker(model, {table: columns}, order)
     kinds, names = _kinds(model, table, columns, order), _names(columns, order)
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = parse(x, d, malformed)
-                if root is not None:
-                    rows += walker.rows(d, root)[table]
-                if len(rows) > BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    def made(batches):
+        for found in trees(batches, malformed):
+            cells, counts = walker.columns(found)[table]
+            if any(counts):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names=names)
 
     schema = ", ".join([f"`{c}` {_raw(model.tables[table].field(c), model.options)}" for c in columns] + ["_begin int", "_end int"] * order)
-    return _plain_docs(docs).mapInArrow(run, schema)
+    return _plain_docs(docs).mapInArrow(lambda batches: gathered(made(batches)), schema)
 
 
 def raw_tables(docs: DataFrame, model: M.SchemaModel, wanted: dict[str, list[str]], store: str, order: bool = False, malformed: str = "raise") -> dict[str, DataFrame]:
@@ -221,37 +366,19 @@ def raw_tables(docs: DataFrame, model: M.SchemaModel, wanted: dict[str, list[str
     kinds = {t: _kinds(model, t, cs, order) for t, cs in wanted.items()}
     names = {t: _names(cs, order) for t, cs in wanted.items()}
 
-    def packed(found: list[dict]) -> pa.RecordBatch:
-        columns = []
-        for t in wanted:
-            rows = [r for doc in found for r in doc[t]]
-            ends, at = [0], 0
-            for doc in found:
-                at += len(doc[t])
-                ends.append(at)
-            cells = zip(*rows) if rows else [()] * len(kinds[t])
-            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds[t])], names[t])))
-        return pa.RecordBatch.from_arrays(columns, names=list(wanted))
-
-    def run(batches):
-        for batch in batches:
-            found, count = [], 0
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = parse(x, d, malformed)
-                if root is not None:
-                    found.append(walker.rows(d, root))
-                    count += sum(map(len, found[-1].values()))
-                if count > BATCH:
-                    yield packed(found)
-                    found, count = [], 0
-            if found:
-                yield packed(found)
+    def made(batches):
+        for found in trees(batches, malformed):
+            columns = []
+            for t, (cells, counts) in walker.columns(found).items():
+                ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cells or [()] * len(kinds[t]), kinds[t])], names[t])))
+            yield pa.RecordBatch.from_arrays(columns, names=list(wanted))
 
     def struct(t: str) -> str:
         return ", ".join([f"`{c}`: {_raw(model.tables[t].field(c), model.options)}" for c in wanted[t]] + ["_begin: int", "_end: int"] * order)
 
     schema = ", ".join(f"`{t}` array<struct<{struct(t)}>>" for t in wanted)
-    _plain_docs(docs).mapInArrow(run, schema).write.mode("overwrite").parquet(store)
+    _plain_docs(docs).mapInArrow(lambda batches: gathered(made(batches)), schema).write.mode("overwrite").option("compression", "zstd").parquet(store)
     stored = docs.sparkSession.read.schema(schema).parquet(store)
     return {t: stored.select(F.explode(f"`{t}`").alias("r")).select("r.*") for t in wanted}
 

@@ -105,6 +105,9 @@ def parsed(text: Column, xs: str, facets: dict | None = None, **options: str) ->
     if xs in _INT:
         low, high = _INT[xs]
         v = F.when(t.rlike(r"^[+-]?\d+$"), t).try_cast(kind)
+        if _INT.get({"smallint": "short", "int": "int", "bigint": "long"}.get(kind)) == (low, high):
+            # The Spark type has the same range, and a cast beyond it is null.
+            return v
         wide = F.when(t.rlike(r"^[+-]?\d+$"), t).try_cast("decimal(38,0)")
         return F.when((wide >= low if low is not None else F.lit(True)) & (wide <= high if high is not None else F.lit(True)), v) if (low, high) != (None, None) else v
     if xs == "decimal":
@@ -116,5 +119,5 @@ def parsed(text: Column, xs: str, facets: dict | None = None, **options: str) ->
     if xs == "gYearMonth":
         return F.when(t.rlike(r"^\d{4}-\d{2}" + f"({_ZONE[:-1]})?$"), F.concat(F.substring(t, 1, 7), F.lit("-01"))).try_cast("date")
     if xs == "dateTime":
-        return F.when(t.rlike(r"^-?\d{4,}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"), F.when(t.rlike(_ZONE), F.to_utc_timestamp(t.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")).otherwise(t.try_cast("timestamp_ntz")))
+        return F.when(t.rlike(r"^-?\d{4,}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"), F.when(F.length(t) == 19, t.try_cast("timestamp_ntz")).when(t.rlike(_ZONE), F.to_utc_timestamp(t.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")).otherwise(t.try_cast("timestamp_ntz")))
     return t.try_cast(kind)

@@ -24,6 +24,24 @@ def new_folder(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch that is sent to a Python worker, unless the session sets its own: Spark's 64 MB are held several times
+#: over by each worker.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    name, usual = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    if spark.conf.get(name).rstrip("bB") == str(usual):
+        spark.conf.set(name, BATCH)
+
+
+def stored(df: DataFrame, stem: str = "rows") -> DataFrame:
+    """df computed once and written to the shared folder as compressed columns, for what is read more than once."""
+    path = new_folder(df.sparkSession, stem)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)
