@@ -68,50 +68,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain(name: str, value: Column) -> Column:
+    """An attribute whose value has nothing to escape: a number or a moment."""
+    return F.coalesce(F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"')), F.lit(""))
+
+
 def attr(name: str, value: Column) -> Column:
-    return F.when(value.isNotNull(), F.concat(F.lit(f' {name}="'), xml_escape(value.cast("string")), F.lit('"'))).otherwise(F.lit(""))
+    return plain(name, xml_escape(value.cast("string")))
 
 
 def money(c: str) -> Column:
-    return F.col(c).cast("decimal(18,2)")
+    """Text of the number as decimal(18,2). One that is so many hundredths, and no less than 0, is written from these: it is
+    what they give when divided, and has too few digits for any other decimal to be the same number."""
+    x = F.col(c).cast("double")
+    hundredths = F.rint(x * 100)
+    n = hundredths.cast("bigint")
+    text = F.concat(((n - n % 100) / 100).cast("bigint").cast("string"), F.lit("."), F.substring((n % 100 + 100).cast("string"), 2, 2))
+    return F.when((hundredths >= 0) & (hundredths < 1e15) & (hundredths / 100 == x), text).otherwise(F.col(c).cast("decimal(18,2)").cast("string"))
 
 
 def moment(c: str) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    """The moment in the session's zone without parts of seconds."""
+    text = F.col(c).cast("timestamp_ntz").cast("string")
+    return F.replace(F.substring_index(text, ".", 1), F.lit(" "), F.lit("T"))
 
 
 def joined(items: Column) -> Column:
     """Text of (order..., xml) structs in order."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda x: x["xml"]), "")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(items)), lambda x: x["xml"]), "")
 
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document per customer, with its nation, orders and line items."""
-    li = table(spark, sf_dir, "lineitem")
+    """One document per customer, with its nation, orders and line items. Line items become text after they were brought
+    together, as their values are shorter than their XML."""
+    li = table(spark, sf_dir, "lineitem").repartition("l_orderkey")
     line = F.concat(
-        F.lit("<lineitem"), attr("linenumber", F.col("l_linenumber")), attr("quantity", money("l_quantity")), attr("extendedprice", money("l_extendedprice")), attr("discount", money("l_discount")), attr("tax", money("l_tax")),
-        attr("returnflag", F.col("l_returnflag")), attr("linestatus", F.col("l_linestatus")), attr("shipdate", moment("l_shipdate")),
+        F.lit("<lineitem"), plain("linenumber", F.col("l_linenumber")), plain("quantity", money("l_quantity")), plain("extendedprice", money("l_extendedprice")), plain("discount", money("l_discount")), plain("tax", money("l_tax")),
+        attr("returnflag", F.col("l_returnflag")), attr("linestatus", F.col("l_linestatus")), plain("shipdate", moment("l_shipdate")),
         F.lit("><part>"), F.col("l_partkey").cast("string"), F.lit("</part><supplier>"), F.col("l_suppkey").cast("string"), F.lit("</supplier></lineitem>"),
     )
     lines = li.select("l_orderkey", F.struct(*LINE_ORDER, line.alias("xml")).alias("x")).groupBy("l_orderkey").agg(joined(F.col("x")).alias("lines"))
     orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    order = F.concat(F.lit("<order"), attr("key", F.col("o_orderkey")), attr("status", F.col("o_orderstatus")), attr("totalprice", money("o_totalprice")), attr("date", moment("o_orderdate")), attr("priority", F.col("o_orderpriority")), F.when(F.col("lines").isNull(), "/>").otherwise(F.concat(F.lit(">"), F.col("lines"), F.lit("</order>"))))
+    order = F.concat(F.lit("<order"), plain("key", F.col("o_orderkey")), attr("status", F.col("o_orderstatus")), plain("totalprice", money("o_totalprice")), plain("date", moment("o_orderdate")), attr("priority", F.col("o_orderpriority")), F.when(F.col("lines").isNull(), "/>").otherwise(F.concat(F.lit(">"), F.col("lines"), F.lit("</order>"))))
     per = orders.select("o_custkey", F.struct("o_orderkey", order.alias("xml")).alias("x")).groupBy("o_custkey").agg(joined(F.col("x")).alias("orders"))
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     c = table(spark, sf_dir, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     xml = F.concat(
-        F.lit("<geo><customer"), attr("key", F.col("c_custkey")), attr("name", F.col("c_name")), attr("segment", F.col("c_mktsegment")), attr("acctbal", money("c_acctbal")), F.lit("><nation"),
-        attr("key", F.col("n_nationkey")), attr("name", F.col("n_name")), attr("region", F.col("r_name")), F.lit("/>"), F.coalesce("orders", F.lit("")), F.lit("</customer></geo>"),
+        F.lit("<geo><customer"), plain("key", F.col("c_custkey")), attr("name", F.col("c_name")), attr("segment", F.col("c_mktsegment")), plain("acctbal", money("c_acctbal")), F.lit("><nation"),
+        plain("key", F.col("n_nationkey")), attr("name", F.col("n_name")), attr("region", F.col("r_name")), F.lit("/>"), F.coalesce("orders", F.lit("")), F.lit("</customer></geo>"),
     )
     return c.select(F.col("c_custkey").cast("string").alias("document_id"), xml.alias("xml"))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document per part; its tags are the words of its type."""
-    p = table(spark, sf_dir, "part")
+    """One document per part; its tags are the words of its type. Rows are spread, as a file of few bytes has many parts."""
+    p = table(spark, sf_dir, "part").repartition("p_partkey")
     el = lambda n, c: F.concat(F.lit(f"<{n}>"), xml_escape(c.cast("string")), F.lit(f"</{n}>"))
     tags = F.array_join(F.transform(F.split("p_type", " "), lambda w: F.concat(F.lit("<tag>"), xml_escape(w), F.lit("</tag>"))), "")
     xml = F.concat(F.lit("<catalog><part"), attr("key", F.col("p_partkey")), F.lit(">"), el("name", F.col("p_name")), el("brand", F.col("p_brand")), el("type", F.col("p_type")), el("size", F.col("p_size")), el("price", F.col("p_retailprice")), tags, F.lit("</part></catalog>"))
@@ -135,7 +149,7 @@ def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per event; its properties are open content and its user an undeclared attribute."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").repartition("event_id")
     props = F.array_join(F.transform(F.map_entries(F.from_json("props", "map<string,string>")), lambda p: F.concat(F.lit("<"), p["key"], F.lit(">"), xml_escape(p["value"]), F.lit("</"), p["key"], F.lit(">"))), "")
     xml = F.concat(F.lit("<log><event"), attr("id", F.col("event_id")), attr("type", F.col("event_type")), attr("user", F.col("user_id")), F.lit("><value>"), F.col("value").cast("string"), F.lit("</value>"), F.coalesce(props, F.lit("")), F.lit("</event></log>"))
     return e.select(F.col("event_id").cast("string").alias("document_id"), xml.alias("xml"))
