@@ -71,6 +71,21 @@ def lexical(c: Column, f: M.Field) -> Column:
     return c.cast("string")
 
 
+def json_value(c: Column, kind: T.DataType) -> Column:
+    """JSON of a value as to_json writes it, or null; what has one plain form is written without it."""
+    whole = F.to_json(F.struct(c.alias("v")), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"})
+    slow = F.when(c.isNotNull(), F.substr(whole, F.lit(6), F.length(whole) - 6))
+    if isinstance(kind, (T.ShortType, T.IntegerType, T.LongType, T.BooleanType)) or isinstance(kind, T.DecimalType) and kind.scale <= 6:
+        return c.cast("string")
+    if isinstance(kind, T.StringType):
+        return F.when(c.rlike(r'["\\\x00-\x1f]'), slow).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+    if isinstance(kind, T.TimestampNTZType):
+        # Without parts of seconds and with a year of four digits.
+        text = F.substring_index(c.cast("string"), ".", 1)
+        return F.when((F.length(text) == 19) & ~F.startswith(text, F.lit("-")), F.concat(F.lit('"'), F.replace(text, F.lit(" "), F.lit("T")), F.lit('"'))).otherwise(slow)
+    return slow
+
+
 def laid_out(text: str, indent: int, key_space: str, linefeed: str) -> str:
     """JSON text with line breaks and indentation; values stay as they are written."""
     out, depth = [], 0
@@ -141,15 +156,17 @@ def _together(engine, table: str, rendered, text: bool) -> tuple[DataFrame, list
         df = rows[n]
         ups = [F.col(e.column) for e in model.parents(n)]
         order = F.col("_begin") if "_begin" in df.columns else F.col("serial_id") if model.tables[n].field("serial_id") else F.lit(0)
-        node = F.struct(F.lit(k).alias("t"), F.col(model.tables[n].primary).alias("id"), (F.coalesce(*ups) if ups else F.lit(None).cast(model.options.key_type)).alias("up"), order.cast("int").alias("o"), rendered(model.tables[n], is_text).alias("own"))
+        # Nothing refers to a row that has none below it, but for those that are published.
+        own = F.col(model.tables[n].primary) if k == 0 or model.children(n) else F.lit(None).cast(model.options.key_type)
+        node = F.struct(F.lit(k).alias("t"), own.alias("id"), (F.coalesce(*ups) if ups else F.lit(None).cast(model.options.key_type)).alias("up"), order.cast("int").alias("o"), rendered(model.tables[n], is_text).alias("own"))
         part = df.select("document_id", node.alias("node"))
         out = part if out is None else out.unionAll(part)
     return out.groupBy("document_id").agg(F.collect_list("node").alias("nodes")), names
 
 
-def _nested(model: M.SchemaModel, names: list[str], made, top) -> object:
+def _nested(model: M.SchemaModel, names: list[str], made, top, read=pa.Array.to_pylist) -> object:
     """Arrow UDF from nodes to (key, value) of the first table's rows. made: row's table, own part and children's (edge, value)
-    lists to the row's value; top: that value to text."""
+    lists to the row's value; top: that value to text; read: array of own parts to their list."""
     edges = {(e.parent, e.child): (e.place, k, e) for k, e in enumerate(model.edges)}
     place = {(a, b): edges.get((names[a], names[b])) for a in range(len(names)) for b in range(len(names))}
     key = T._parse_datatype_string(model.options.key_type)
@@ -160,12 +177,13 @@ def _nested(model: M.SchemaModel, names: list[str], made, top) -> object:
         out = []
         for nodes in column:
             v = nodes.values
-            t, id_, up, o, own = (v.field(k).to_pylist() for k in range(5))
-            at = {x: k for k, x in enumerate(id_)}
+            t, id_, up, o = (v.field(k).to_pylist() for k in range(4))
+            own = read(v.field(4))
+            at = {x: k for k, x in enumerate(id_) if x is not None}
             below: dict[int, list[int]] = {}
             roots = []
             for k, x in enumerate(up):
-                if x in at and x is not None:
+                if x in at:
                     below.setdefault(at[x], []).append(k)
                 else:
                     roots.append(k)
@@ -176,7 +194,12 @@ def _nested(model: M.SchemaModel, names: list[str], made, top) -> object:
             value: dict[int, object] = {}
             found = []
             for k in reversed(order):
-                kids = sorted(below.get(k, ()), key=lambda c: (place[t[k], t[c]][0], o[c], place[t[k], t[c]][1], t[c]))
+                if k not in below:
+                    value[k] = made(t[k], own[k], ())
+                    if t[k] == 0:
+                        found.append({"key": id_[k], "value": top(value[k])})
+                    continue
+                kids = sorted(below[k], key=lambda c: (place[t[k], t[c]][0], o[c], place[t[k], t[c]][1], t[c]))
                 value[k] = made(t[k], own[k], [(place[t[k], t[c]][2], t[c], value.pop(c) if t[c] else value[c]) for c in kids])
                 if t[k] == 0:
                     found.append({"key": id_[k], "value": top(value[k])})
@@ -201,7 +224,8 @@ def to_xml(engine, table: str | None = None, subset: DataFrame | None = None, st
         raise ValueError(f"{table} is not the document element, and fragments are not allowed")
 
     def rendered(t: M.Table, is_text: bool) -> Column:
-        """Attributes, and the elements and text of the row itself by their place in the content."""
+        """Attributes, and the elements and text of the row itself: by their place in the content, or at once if no rows can lie
+        between them."""
         attributes, body = [F.lit("")], []
         written = (lambda c, f: c) if is_text else lexical
         for f in t.fields:
@@ -219,8 +243,12 @@ def to_xml(engine, table: str | None = None, subset: DataFrame | None = None, st
                 body.append((f.place, F.when(c.isNotNull(), F.concat(F.lit(f"<{f.xml_name}"), *inline, F.lit(">"), xml_escape(written(c, f)), F.lit(f"</{f.xml_name}>"))).otherwise(empty)))
             elif f.role == M.ANY:
                 body.append((f.place, c))
-        parts = F.array(*[F.struct(F.lit(k).alias("place"), x.cast("string").alias("text")) for k, x in sorted(body, key=lambda x: x[0])]) if body else F.array().cast("array<struct<place:int,text:string>>")
-        return F.struct(F.concat(*attributes).alias("attributes"), F.filter(parts, lambda x: x["text"].isNotNull()).alias("parts"))
+        body.sort(key=lambda x: x[0])
+        if not model.children(t.name):
+            text = F.concat(F.lit(""), *[F.coalesce(x.cast("string"), F.lit("")) for _, x in body])
+            return F.struct(F.concat(*attributes).alias("attributes"), text.alias("text"), F.lit(None).cast("array<struct<place:int,text:string>>").alias("parts"))
+        parts = F.array(*[F.struct(F.lit(k).alias("place"), x.cast("string").alias("text")) for k, x in body]) if body else F.array().cast("array<struct<place:int,text:string>>")
+        return F.struct(F.concat(*attributes).alias("attributes"), F.lit(None).cast("string").alias("text"), F.filter(parts, lambda x: x["text"].isNotNull()).alias("parts"))
 
     nodes, names = _together(engine, table, rendered, True)
     tags = [model.tables[n].xml_name for n in names]
@@ -231,17 +259,22 @@ def to_xml(engine, table: str | None = None, subset: DataFrame | None = None, st
             head += f' xsi:schemaLocation="{model.namespace} {style.schema_location}"'
     begin = '<?xml version="1.0" encoding="UTF-8"?>\n' if style.declaration else ""
 
-    def made(t: int, own: dict, kids: list) -> tuple[str, str]:
+    def read(own: pa.Array) -> list[tuple]:
+        return list(zip(*(own.field(k).to_pylist() for k in range(3))))
+
+    def made(t: int, own: tuple, kids) -> tuple[str, str]:
         """What precedes and what follows the place of namespace declarations."""
-        parts = [(p["place"], p["text"]) for p in own["parts"]]
-        inside = "".join(x for _, x in sorted(parts + [(e.place, "".join(v)) for e, _, v in kids], key=lambda x: x[0]))
-        return f"<{tags[t]}", own["attributes"] + (f">{inside}</{tags[t]}>" if inside else "/>")
+        attributes, inside, parts = own
+        if inside is None:
+            parts = [(p["place"], p["text"]) for p in parts]
+            inside = "".join([x for _, x in sorted(parts + [(e.place, "".join(v)) for e, _, v in kids], key=lambda x: x[0])])
+        return f"<{tags[t]}", attributes + (f">{inside}</{tags[t]}>" if inside else "/>")
 
     def top(v: tuple[str, str]) -> str:
         text = f"{v[0]}{head}{v[1]}"
         return begin + (indented(text, style.indent, style.linefeed) if style.indent else text)
 
-    return _published(engine, table, subset, nodes, _nested(model, names, made, top)).withColumnRenamed("value", "xml")
+    return _published(engine, table, subset, nodes, _nested(model, names, made, top, read)).withColumnRenamed("value", "xml")
 
 
 def to_json(engine, table: str | None = None, dialect: str = "object", subset: DataFrame | None = None, style: JsonStyle | None = None) -> DataFrame:
@@ -257,43 +290,55 @@ def to_json(engine, table: str | None = None, dialect: str = "object", subset: D
     def label(f: M.Field) -> str:
         return style.attribute_prefix + f.xml_name if f.role == M.ATTRIBUTE else style.content_name if f.role == M.CONTENT else f.xml_name if f.role == M.ELEMENT else f.xml_name.replace("/", "") if f.role == M.INLINE else f.name
 
+    names = model.reachable(table)
+    labels = [[label(f) for f in model.tables[n].content] for n in names]
+    below = [[(e, names.index(e.child)) for e in sorted(model.children(n), key=lambda e: e.place)] for n in names]
+    quoted = {k: json.dumps(k, ensure_ascii=False) for k in [*(x for own in labels for x in own), *(model.tables[n].xml_name for n in names)]}
+    #: Tables whose rows are whole objects when they are rendered.
+    whole = [dialect == "object" and not below[k] and len(set(labels[k])) == len(labels[k]) for k in range(len(names))]
+
     def rendered(t: M.Table, is_text: bool) -> Column:
-        """JSON of each value of the row itself."""
-        cells = []
-        for f in t.content:
-            whole = F.to_json(F.struct(F.col(f"`{f.name}`").alias("v")), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"})
-            cells.append(F.when(F.col(f"`{f.name}`").isNotNull(), F.substr(whole, F.lit(6), F.length(whole) - 6)))
+        """JSON of each value of the row itself, or of the whole row."""
+        kinds = model.struct(t.name)
+        cells = [json_value(F.col(f"`{f.name}`"), kinds[f.name].dataType) for f in t.content]
+        k = names.index(t.name)
+        if whole[k]:
+            pairs = [F.concat(F.lit(f"{quoted[x]}:"), F.coalesce(c, F.lit("null")) if style.nulls else c) for x, c in zip(labels[k], cells)]
+            return F.array(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")))
         return F.array(*cells) if cells else F.array().cast("array<string>")
 
     nodes, names = _together(engine, table, rendered, False)
-    labels = [[label(f) for f in model.tables[n].content] for n in names]
-    below = [[(e, names.index(e.child)) for e in sorted(model.children(n), key=lambda e: e.place)] for n in names]
 
     def members(t: int) -> list[str]:
         return labels[t] + [model.tables[names[c]].xml_name for _, c in below[t]]
 
     def written(pairs) -> str:
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{'null' if v is None else v}" for k, v in pairs if v is not None or style.nulls) + "}"
+        return "{" + ",".join([f"{quoted[k]}:{'null' if v is None else v}" for k, v in pairs if v is not None or style.nulls]) + "}"
+
+    def text(row: dict | str) -> str:
+        return row if isinstance(row, str) else written(row.items())
 
-    def made(t: int, own: list, kids: list) -> dict:
+    def made(t: int, own: list, kids) -> dict | str:
+        if whole[t]:
+            return own[0]
         out = dict(zip(labels[t], own))
         for e, c in below[t]:
             values = [v for _, k, v in kids if k == c]
             if not values:
                 v = None
             elif dialect == "column":
-                v = "{" + ",".join(f"{json.dumps(m, ensure_ascii=False)}:[{','.join('null' if x.get(m) is None else x[m] for x in values)}]" for m in dict.fromkeys(members(c))) + "}"
+                v = "{" + ",".join(f"{quoted[m]}:[{','.join('null' if x.get(m) is None else x[m] for x in values)}]" for m in dict.fromkeys(members(c))) + "}"
             elif e.repeated or style.arrays_always or len(values) > 1:
-                v = f"[{','.join(written(x.items()) for x in values)}]"
+                v = f"[{','.join(map(text, values))}]"
             else:
-                v = written(values[0].items())
+                v = text(values[0])
             out[model.tables[names[c]].xml_name] = v
         return out
 
     name = json.dumps(model.tables[table].xml_name, ensure_ascii=False)
 
-    def top(v: dict) -> str:
-        return f"{name}:{written(v.items())}"
+    def top(v: dict | str) -> str:
+        return f"{name}:{text(v)}"
 
     nest = _nested(model, names, made, top)
     front = F.concat(F.lit('{"document_id":'), F.regexp_replace(F.to_json(F.struct(F.col("document_id").alias("v"))), r'^\{"v":(.*)\}$', "$1"), F.lit(",")) if style.document_id else F.lit("{")
