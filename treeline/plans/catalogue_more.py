@@ -328,7 +328,7 @@ def _index_reader(spark, sf_dir):
 @_query("syn5_index_update", f"SELECT t.term, t.document_id, count(*) AS tf FROM {TERMS} t JOIN part ON t.document_id = p_partkey::VARCHAR WHERE p_size % 3 <> 0 AND (p_size % 3 = 1 OR t.field = 'part.name') GROUP BY ALL")
 def _index_update(spark, sf_dir):
     """An index from which a third of the documents leave and in which another third are read anew, by name alone."""
-    values = _values(spark, sf_dir).join(fixtures.table(spark, sf_dir, "part").select(_s("p_partkey").alias("document_id"), (F.col("p_size") % 3).alias("kind")), "document_id")
+    values = workspace.stored(_values(spark, sf_dir).join(fixtures.table(spark, sf_dir, "part").select(_s("p_partkey").alias("document_id"), (F.col("p_size") % 3).alias("kind")), "document_id"))
     store = fulltext.PostingsStore(spark, workspace.new_folder(spark, "index"))
     store.update(values.drop("kind"))
     store.update(values.where("kind = 2 and field = 'part.name'").drop("kind"), gone=values.where("kind = 0").select("document_id"))
