@@ -251,7 +251,7 @@ _query("snk2_comma_separated", TURN_ROWS)(lambda spark, sf_dir: _written(spark,
 @_query("snk3_append", f"SELECT o_orderkey AS key, o_orderstatus AS status FROM {O} UNION ALL SELECT o_orderkey, o_orderstatus FROM {O}")
 def _append(spark, sf_dir):
     folder = workspace.new_folder(spark, "append")
-    rows = _engine(spark, sf_dir, "geo").table("order", ["key", "status"])
+    rows = workspace.stored(_engine(spark, sf_dir, "geo").table("order", ["key", "status"]))
     for _ in range(2):
         sinks.write_tables({"order": rows}, folder, append=True)
     return sinks.read_tables(spark, folder, ["order"])["order"]
