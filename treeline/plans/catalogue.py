@@ -265,9 +265,9 @@ def _upsert(spark, sf_dir):
 
 @_query("snk5_delete_cascade", f"SELECT 'customer' AS name, count(*) AS n FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'order', count(*) FROM {O} WHERE c_acctbal >= 0 UNION ALL SELECT 'lineitem', count(*) FROM {L} WHERE c_acctbal >= 0")
 def _delete(spark, sf_dir):
-    e = _engine(spark, sf_dir, "geo")
-    gone = e.table("customer", ["document_id", "acctbal"]).where("acctbal < 0").select("document_id")
-    left = sync.delete_documents({t: e.table(t, ["document_id"]) for t in ("customer", "order", "lineitem")}, gone)
+    rows, _ = _engine(spark, sf_dir, "geo").tables({"customer": ["document_id", "acctbal"], "order": ["document_id"], "lineitem": ["document_id"]})
+    gone = rows["customer"].where("acctbal < 0").select("document_id")
+    left = sync.delete_documents({t: df.select("document_id") for t, df in rows.items()}, gone)
     out = None
     for name, df in left.items():
         n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
