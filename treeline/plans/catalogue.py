@@ -337,8 +337,8 @@ def _duplicate_keys(spark, sf_dir):
 
 @_query("xsd13_orphans", f"SELECT o_orderkey AS key FROM {O} WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def _orphans(spark, sf_dir):
-    e = _engine(spark, sf_dir, "geo")
-    return validate.orphans(e.table("order", ["order_id", "key"]), ["order_id"], e.table("lineitem", ["order_id"]).withColumnRenamed("order_id", "of"), ["of"]).select("key")
+    rows, _ = _engine(spark, sf_dir, "geo").tables({"order": ["order_id", "key"], "lineitem": ["order_id"]})
+    return validate.orphans(rows["order"], ["order_id"], rows["lineitem"].withColumnRenamed("order_id", "of"), ["of"]).select("key")
 
 
 # Publishing ------------------------------------------------------------------------------------------------------------
