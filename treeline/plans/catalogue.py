@@ -259,7 +259,7 @@ def _append(spark, sf_dir):
 
 @_query("snk4_upsert", f"SELECT c_custkey AS key, CASE WHEN c_mktsegment = 'BUILDING' THEN 'new' ELSE c_mktsegment END AS segment FROM customer")
 def _upsert(spark, sf_dir):
-    rows = _engine(spark, sf_dir, "geo").table("customer", ["key", "segment"])
+    rows = workspace.stored(_engine(spark, sf_dir, "geo").table("customer", ["key", "segment"]))
     return sync.upsert(rows, rows.where("segment = 'BUILDING'").withColumn("segment", F.lit("new")), "key")
 
 
