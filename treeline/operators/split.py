@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.operators.shred import _plain, local
-from treeline.workspace import kept
+from treeline.workspace import kept, stored
 
 #: Characters that the parser is fed at a time, and units in a batch that leaves Python.
 PIECE, UNITS = 1 << 16, 1000
@@ -110,7 +110,8 @@ def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     Rows are sorted by ranges of the keys and kept so; a row's rank is its place in its range and how many rows are in the
     ranges before, of which there are as many as partitions.
     """
-    ranged = kept(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id()))
+    # Rows are computed once for the choice of ranges and the sort.
+    ranged = kept(stored(df).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id()))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("__p").agg(F.count("*").alias("__n")).select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     own = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
