@@ -32,7 +32,7 @@ class Engine:
 
     def exists(self, expression: str, variables: dict | None = None) -> DataFrame:
         """(found): whether a path has any node; the search ends with the first."""
-        return self.xpath(expression, variables).limit(1).agg((F.count("*") > 0).alias("found"))
+        return Planner(self.model, self.source, variables).run(expression, bare=True).limit(1).agg((F.count("*") > 0).alias("found"))
 
     def paths(self, expression: str) -> list[str]:
         """Absolute paths that an expression is bound to."""

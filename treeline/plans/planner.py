@@ -83,7 +83,7 @@ class Planner:
         self.model, self.source, self.variables, self.bag, self.strict = model, source, variables or {}, bag, strict
         self.binder = Binder(model)
         self.used: dict[str, list[str]] = {}
-        self.dry = False
+        self.dry = self.bare = False
         self.names = self.reads = 0
 
     # Tables --------------------------------------------------------------------------------------------------------
@@ -749,7 +749,7 @@ class Planner:
             ctx.df = self.field_condition(ctx, b, c) if isinstance(c, tuple) else self.condition(ctx, c)
         front = [self.document(t.name), self.primary(t.name)] if keys else []
         if b.field is None:
-            names = [f.name for f in t.fields]
+            names = ["document_id", t.primary] if self.bare else [f.name for f in t.fields]
             return ctx.df.select(*[self.col(t.name, n) for n in names])
         c = self.column(b)
         name = b.field.name if not b.inner else b.inner.rpartition("/")[2].lstrip("@") or b.field.name
@@ -848,9 +848,10 @@ class Planner:
             return self.has_path(ast.of)
         return isinstance(ast, Call) and (any(self.has_path(a) for a in ast.args) or not ast.args and ast.name not in ("true", "false"))
 
-    def run(self, expression: str, keys: bool = False) -> DataFrame:
+    def run(self, expression: str, keys: bool = False, bare: bool = False) -> DataFrame:
+        """bare: of nodes that are rows of tables only their keys, as for a question whether there are any."""
         ast = parse(expression)
-        self.used, self.dry, self.reads = {}, True, 0
+        self.used, self.dry, self.reads, self.bare = {}, True, 0, bare
         try:
             self.plan(ast, keys)
         finally:
