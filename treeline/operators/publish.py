@@ -14,6 +14,7 @@ import json
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from treeline.schema import model as M
 
 
 _JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
+#: Beginnings of Spark types whose texts have nothing to escape.
+PLAIN = ("smallint", "int", "bigint", "decimal", "float", "double", "boolean", "timestamp", "date")
 _XML_TOKEN = re.compile(r"<!\[CDATA\[.*?\]\]>|<!--.*?-->|<[^>]+>|[^<]+", re.S)
 
 
@@ -164,7 +167,26 @@ def _together(engine, table: str, rendered, text: bool) -> tuple[DataFrame, list
     return out.groupBy("document_id").agg(F.collect_list("node").alias("nodes")), names
 
 
-def _nested(model: M.SchemaModel, names: list[str], made, top, read=pa.Array.to_pylist) -> object:
+def _list(a: pa.Array) -> list:
+    """to_pylist() without a scalar of Arrow for each whole number, text or list of texts."""
+    if pa.types.is_list(a.type) and pa.types.is_string(a.type.value_type) and not a.null_count:
+        ends = a.offsets.to_numpy()
+        cells = _list(a.values.slice(ends[0], ends[-1] - ends[0])) if len(a) else []
+        ends = (ends - ends[0]).tolist() if len(a) else []
+        return [cells[x:y] for x, y in zip(ends, ends[1:])]
+    if a.null_count == len(a):
+        return [None] * len(a)
+    if pa.types.is_string(a.type) or pa.types.is_integer(a.type) and not a.null_count:
+        return a.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_integer(a.type):
+        out = a.fill_null(0).to_numpy().tolist()
+        for k in np.flatnonzero(a.is_null().to_numpy(zero_copy_only=False)).tolist():
+            out[k] = None
+        return out
+    return a.to_pylist()
+
+
+def _nested(model: M.SchemaModel, names: list[str], made, top, read=_list) -> object:
     """Arrow UDF from nodes to (key, value) of the first table's rows. made: row's table, own part and children's (edge, value)
     lists to the row's value; top: that value to text; read: array of own parts to their list."""
     edges = {(e.parent, e.child): (e.place, k, e) for k, e in enumerate(model.edges)}
@@ -175,10 +197,12 @@ def _nested(model: M.SchemaModel, names: list[str], made, top, read=pa.Array.to_
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("key", key), T.StructField("value", T.StringType())])))
     def of(column: pa.Array) -> pa.Array:
         out = []
-        for nodes in column:
-            v = nodes.values
-            t, id_, up, o = (v.field(k).to_pylist() for k in range(4))
-            own = read(v.field(4))
+        ends = column.offsets.to_numpy()
+        v = column.values.slice(ends[0], ends[-1] - ends[0])
+        cells = [*(_list(v.field(k)) for k in range(4)), read(v.field(4))]
+        ends = (ends - ends[0]).tolist()
+        for x, y in zip(ends, ends[1:]):
+            t, id_, up, o, own = (c[x:y] for c in cells)
             at = {x: k for k, x in enumerate(id_) if x is not None}
             below: dict[int, list[int]] = {}
             roots = []
@@ -199,8 +223,12 @@ def _nested(model: M.SchemaModel, names: list[str], made, top, read=pa.Array.to_
                     if t[k] == 0:
                         found.append({"key": id_[k], "value": top(value[k])})
                     continue
-                kids = sorted(below[k], key=lambda c: (place[t[k], t[c]][0], o[c], place[t[k], t[c]][1], t[c]))
-                value[k] = made(t[k], own[k], [(place[t[k], t[c]][2], t[c], value.pop(c) if t[c] else value[c]) for c in kids])
+                kids, up_t = below[k], t[k]
+                kinds = {t[c] for c in kids}
+                # Siblings of one table only have their order to go by.
+                kids.sort(key=o.__getitem__ if len(kinds) == 1 else lambda c: (place[up_t, t[c]][0], o[c], place[up_t, t[c]][1], t[c]))
+                edge = {c: place[up_t, c][2] for c in kinds}
+                value[k] = made(up_t, own[k], [(edge[t[c]], t[c], value.pop(c) if t[c] else value[c]) for c in kids])
                 if t[k] == 0:
                     found.append({"key": id_[k], "value": top(value[k])})
             out.append(found[::-1])
@@ -227,20 +255,20 @@ def to_xml(engine, table: str | None = None, subset: DataFrame | None = None, st
         """Attributes, and the elements and text of the row itself: by their place in the content, or at once if no rows can lie
         between them."""
         attributes, body = [F.lit("")], []
-        written = (lambda c, f: c) if is_text else lexical
+        written = (lambda c, f: xml_escape(c)) if is_text else (lambda c, f: lexical(c, f) if f.type(model.options).startswith(PLAIN) else xml_escape(lexical(c, f)))
         for f in t.fields:
             c = F.col(f"`{f.name}`")
             if f.role == M.ATTRIBUTE:
-                attributes.append(F.when(c.isNotNull(), F.concat(F.lit(f' {f.xml_name}="'), xml_escape(written(c, f)), F.lit('"'))).otherwise(""))
+                attributes.append(F.when(c.isNotNull(), F.concat(F.lit(f' {f.xml_name}="'), written(c, f), F.lit('"'))).otherwise(""))
             elif f.role == M.ANY_ATTRIBUTE:
                 pairs = F.array_sort(F.map_entries(c))
                 attributes.append(F.coalesce(F.array_join(F.transform(pairs, lambda p: F.concat(F.lit(" "), p["key"], F.lit('="'), xml_escape(p["value"]), F.lit('"'))), ""), F.lit("")))
             elif f.role == M.CONTENT:
-                body.append((-1, xml_escape(written(c, f))))
+                body.append((-1, written(c, f)))
             elif f.role == M.ELEMENT:
-                inline = [F.when(F.col(f"`{g.name}`").isNotNull(), F.concat(F.lit(f' {g.xml_name.partition("/@")[2]}="'), xml_escape(written(F.col(f"`{g.name}`"), g)), F.lit('"'))).otherwise("") for g in t.of_role(M.INLINE) if g.xml_name.partition("/@")[0] == f.xml_name]
+                inline = [F.when(F.col(f"`{g.name}`").isNotNull(), F.concat(F.lit(f' {g.xml_name.partition("/@")[2]}="'), written(F.col(f"`{g.name}`"), g), F.lit('"'))).otherwise("") for g in t.of_role(M.INLINE) if g.xml_name.partition("/@")[0] == f.xml_name]
                 empty = F.lit(f'<{f.xml_name} xsi:nil="true"/>' if f.nillable and style.nil else f"<{f.xml_name}/>" if style.keep_empty else None)
-                body.append((f.place, F.when(c.isNotNull(), F.concat(F.lit(f"<{f.xml_name}"), *inline, F.lit(">"), xml_escape(written(c, f)), F.lit(f"</{f.xml_name}>"))).otherwise(empty)))
+                body.append((f.place, F.when(c.isNotNull(), F.concat(F.lit(f"<{f.xml_name}"), *inline, F.lit(">"), written(c, f), F.lit(f"</{f.xml_name}>"))).otherwise(empty)))
             elif f.role == M.ANY:
                 body.append((f.place, c))
         body.sort(key=lambda x: x[0])
@@ -260,14 +288,18 @@ def to_xml(engine, table: str | None = None, subset: DataFrame | None = None, st
     begin = '<?xml version="1.0" encoding="UTF-8"?>\n' if style.declaration else ""
 
     def read(own: pa.Array) -> list[tuple]:
-        return list(zip(*(own.field(k).to_pylist() for k in range(3))))
+        return list(zip(_list(own.field(0)), _list(own.field(1)), _list(own.field(2))))
 
     def made(t: int, own: tuple, kids) -> tuple[str, str]:
         """What precedes and what follows the place of namespace declarations."""
         attributes, inside, parts = own
         if inside is None:
-            parts = [(p["place"], p["text"]) for p in parts]
-            inside = "".join([x for _, x in sorted(parts + [(e.place, "".join(v)) for e, _, v in kids], key=lambda x: x[0])])
+            if parts:
+                parts = [(p["place"], p["text"]) for p in parts]
+                inside = "".join([x for _, x in sorted(parts + [(e.place, "".join(v)) for e, _, v in kids], key=lambda x: x[0])])
+            else:
+                # Children come by their places already.
+                inside = "".join([x for _, _, v in kids for x in v])
         return f"<{tags[t]}", attributes + (f">{inside}</{tags[t]}>" if inside else "/>")
 
     def top(v: tuple[str, str]) -> str:
